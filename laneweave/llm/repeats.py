@@ -34,8 +34,10 @@ from . import shared
 from .arrays import BYTE_CODES, SLICE_BYTES, SPACED, U64, changes, phrases, prefix_sums, run_hash, slices, text_bytes, word_hashes, word_spans, xxhash64_long
 
 SPANS, LEFT, DOCS = 0, 1, 9
+#: Bytes of units that are compared at once.
+BLOCK_BYTES = 1 << 20
 #: Slices that a task resolves together before it sends anything.
-SLICES_TOGETHER = 6
+SLICES_TOGETHER = 4
 
 
 @dataclass(frozen=True)
@@ -268,16 +270,23 @@ def _compare_block(plan: Plan, compare: Callable) -> Callable:
                     continue
                 n = int.from_bytes(payload[:4], "little")
                 heads.append(payload[4 : 4 + n])
-                units += unpack_units(payload[4 + n :], unit)
+                units += shared.unpack(payload[4 + n :], unit)
         if not heads:
             return
         trigger, doc, tag, start, count = shared.unpack_all(heads, "<u4", "<i8", "<u4", "<u4", "u1")
-        marked = compare(plan, np.concatenate(units), trigger, doc, start.astype(np.int64), count.astype(np.int64))
-        row, first, last = marked
-        yield shared.packed_batch(_span_rows(plan, doc[row], tag[row], first, last + plan.window))
-
-    def unpack_units(payload, kind):
-        return shared.unpack(payload, kind)
+        codes = np.concatenate(units)
+        del heads, units
+        size = count.astype(np.int64) + plan.window - 1
+        base = np.cumsum(size) - size
+        bins = -(-codes.nbytes // BLOCK_BYTES)
+        mine = trigger % np.uint32(bins)
+        for i in range(bins):  # equal windows share a trigger, so bins are independent
+            k = np.flatnonzero(mine == i)
+            if not len(k):
+                continue
+            take = np.repeat(base[k] - (np.cumsum(size[k]) - size[k]), size[k]) + np.arange(size[k].sum())
+            row, first, last = compare(plan, codes[take], trigger[k], doc[k], start[k].astype(np.int64), count[k].astype(np.int64))
+            yield shared.packed_batch(_span_rows(plan, doc[k[row]], tag[k[row]], first, last + plan.window))
 
     return run
 

@@ -21,37 +21,30 @@ from .arrays import changes
 def _order(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """Rank of the ``window`` bytes from every ``at``: equal bytes, equal rank.
 
-    A suffix array by prefix doubling that stops at ``window`` and goes on only
-    with suffixes that still have an equal.
+    The suffix array of the dictionary, as deep as ``window``: eight bytes at a
+    time, going on only with suffixes that still have an equal.
     """
     padded = np.concatenate([data, np.zeros(window + 8, np.uint8)])
-    eight = np.ndarray(len(data), ">u8", padded.data, 0, (1,)).astype(np.uint64)
-    rank = np.empty(len(data) + window, np.int64)
-    rank[len(data) :] = -1
-
-    def ranked(keys):
-        order = np.argsort(keys, kind="stable")
+    eight = np.ndarray(len(data) + window, ">u8", padded.data, 0, (1,)).astype(np.uint64)
+    order = np.argsort(eight)
+    new = changes(eight[order])
+    word = np.empty(len(order), np.uint64)
+    word[order] = np.cumsum(new)
+    del eight, order, new
+    rank = np.zeros(len(at), np.int64)
+    live = np.arange(len(at))
+    for step in [*range(0, window - 8, 8), window - 8]:
+        keys = (rank[live].astype(np.uint64) << np.uint64(32)) | word[at[live] + step]
+        order = np.argsort(keys)
         keys = keys[order]
-        new = changes(keys)
-        out = np.empty(len(order), np.int64)
-        out[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-        lone = np.empty(len(order), bool)
-        lone[order] = new & np.append(new[1:], True)
-        return out, lone
-
-    rank[: len(data)], lone = ranked(eight)
-    live = np.flatnonzero(~lone)
-    have = 8
-    while have < window and len(live):
-        step = min(have, window - have)
-        # Ranks are positions in the order so far, so (rank, rank behind) fits 64 bits and keeps the order.
-        low, lone = ranked((rank[live].astype(np.uint64) << np.uint64(32)) | (rank[live + step] + 1).astype(np.uint64))
-        groups = rank[live]
-        base = np.sort(groups)
-        rank[live] = groups + low - np.searchsorted(base, groups)
-        live = live[~lone]
-        have += step
-    return rank[at]
+        new, group = changes(keys), changes(keys >> np.uint64(32))
+        place = np.arange(len(keys))
+        first = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        rank[live[order]] += first
+        live = live[order[~(new & np.append(new[1:], True))]]
+        if not len(live):
+            break
+    return rank
 
 
 def _corpus_order(plan: repeats.Plan, data, trigger, doc, start, count):
@@ -63,7 +56,7 @@ def _corpus_order(plan: repeats.Plan, data, trigger, doc, start, count):
     at = np.repeat(base - shift, count) + np.arange(count.sum())
     own = np.repeat(start - shift, count) + np.arange(count.sum())
     rank = _order(data, at, w)
-    least = np.full(len(data) + w, np.iinfo(np.int64).max)
+    least = np.full(len(at), np.iinfo(np.int64).max)
     np.minimum.at(least, rank, doc[row])
     hit = least[rank] < doc[row]
     goes_on = np.zeros(len(hit), bool)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .simhash import near_duplicate_groups, with_fingerprint
+from .shared import written
 from .substring import remove_repeated_passages
 from .suffix import remove_repeated_bytes
 
@@ -13,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = written(with_fingerprint(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]), "marks")
+    groups = near_duplicate_groups(marks)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), respace=True)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -24,6 +32,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
 }

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .contamination import find_contamination, hit_words
+from .packing import pack_documents
 from .simhash import near_duplicate_groups, with_fingerprint
 from .shared import written
+from .sstable import crc32_of_ids, read_tokens, write_tokens
 from .substring import remove_repeated_passages
 from .suffix import remove_repeated_bytes
 
@@ -26,6 +31,38 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file: LANEWEAVE_TOKENIZERS, else the installed folder."""
+    folder = os.environ.get("LANEWEAVE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return read_tokens(manifest).select("doc_id", "start", "n_tokens", crc32_of_ids().alias("ids_crc32"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    n_hit = hit_words()
+    return out.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -34,6 +71,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_token_shards": op3_token_shards,
+    "op4_packing": op4_packing,
+    "op5_decontamination": op5_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 

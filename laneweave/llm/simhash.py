@@ -221,10 +221,11 @@ def near_duplicate_groups(marks: DataFrame, id_col: str = "doc_id", name: str =
     nodes = shared.written(marks.groupBy(F.col(f"`{name}`").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("first_id")), "nodes")
     roots = components(links(nodes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
     placed = nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_mark = placed.join(named, "root").select(F.col("fp").alias("of_fp"), "component_id")
+    named = placed.groupBy("root").agg(F.min("first_id").alias("__component"))
+    of_mark = placed.join(named, "root").select(F.col("fp").alias("__fp"), "__component")
     rest = [c for c in marks.columns if c != "component_id"]
-    return marks.join(of_mark, marks[name] == F.col("of_fp")).select(*[marks[c] for c in rest], "component_id")
+    joined = marks.select(*rest).join(of_mark, F.col(f"`{name}`") == F.col("__fp"))
+    return joined.select(*rest, F.col("__component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 7) -> DataFrame:

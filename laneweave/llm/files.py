@@ -16,7 +16,7 @@ def create(folder: str, name: str):
     system, base = _at(folder)
     system.create_dir(base, recursive=True)
     leaf = f"{uuid.uuid4().hex}-{name}"
-    return f"{folder}/{leaf}", system.open_output_stream(f"{base}/{leaf}")
+    return f"{folder}/{leaf}", system.open_output_stream(f"{base}/{leaf}", compression=None)
 
 
 def open_file(path: str):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contamination import find_contamination, hit_words
+from .language import fit, held_out, predict
 from .packing import pack_documents
 from .simhash import near_duplicate_groups, with_fingerprint
 from .shared import written
@@ -15,6 +16,10 @@ from .sstable import crc32_of_ids, read_tokens, write_tokens
 from .substring import remove_repeated_passages
 from .suffix import remove_repeated_bytes
 
+from .topk import top_k
+from .urls import judge_urls
+from .warc import read_warc, write_warc
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,18 +68,41 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_warc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = predict(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_shards": op3_token_shards,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}

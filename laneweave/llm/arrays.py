@@ -100,7 +100,7 @@ def gram_hashes(sums: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U64)
     h = (sums[k:] - sums[:n]) * _Powers.down[:n]
-    return mix(h + U64(k) * U64(0xA0761D6478BD642F))
+    return mix(h + U64(k * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -178,20 +178,33 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return run_hash(prefix_sums(BYTE_CODES[data]), starts, ends - starts)
 
 
+def _trigger_pairs(grams: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of triggers, and how many before each are equal to the one after them."""
+    # A gram is a trigger if it is the smallest of a window that covers it.
+    wide = np.concatenate([np.zeros(width - 1, U64), low, np.zeros(width - 1, U64)])
+    most = ~sliding_min(~wide, width)
+    at = np.flatnonzero(most == grams)
+    same = grams[at[:-1]] == grams[at[1:]]
+    return at, np.concatenate([np.zeros(1, np.int64), np.cumsum(same)])
+
+
 def phrases(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int, longest: int = 64):
     """Cut every row's window starts into phrases at rolling-hash triggers.
 
     A window's trigger is the smallest hash of its ``gram``-unit runs, so equal
     windows have equal triggers wherever they occur. A phrase is a maximal run
     of starts with one trigger (cut at ``longest``); its text is those windows
-    together. Returns trigger, text hash, first start and number of starts.
+    together. Returns trigger, text hash, first start, number of starts, and
+    whether the trigger stands there more than once, so that windows of the
+    phrase may equal each other.
     """
     sums = prefix_sums(codes)
     n = len(codes) - window + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z.astype(U64), z.astype(U64), z, z
-    low = sliding_min(gram_hashes(sums, gram), window - gram + 1)
+        return z.astype(U64), z.astype(U64), z, z, z.astype(bool)
+    grams = gram_hashes(sums, gram)
+    low = sliding_min(grams, window - gram + 1)
     edge = np.zeros(n + 1, np.int64)
     lengths = np.diff(offsets)
     ok = lengths >= window
@@ -210,4 +223,7 @@ def phrases(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int, long
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first = np.repeat(first, parts) + within * longest
         count = np.minimum(longest, np.repeat(count, parts) - within * longest)
-    return low[first], run_hash(sums, first, count + window - 1), first, count
+    places, pairs = _trigger_pairs(grams, low, window - gram + 1)
+    a, b = np.searchsorted(places, first), np.searchsorted(places, first + count + window - gram)
+    again = pairs[np.maximum(b - 1, 0)] > pairs[np.minimum(a, len(pairs) - 1)]
+    return low[first], run_hash(sums, first, count + window - 1), first, count, again & (b - a > 1)

@@ -8,8 +8,8 @@ windows.
 1. Every document is cut into phrases at rolling-hash triggers (see
    ``arrays.phrases``). Equal windows have equal triggers.
 2. Phrases meet by trigger. A phrase whose whole text occurred earlier is
-   marked at once; only phrases that share a trigger with a *different* phrase
-   are left, a few per cent of the corpus.
+   marked at once; only phrases that share a trigger with a *different* phrase,
+   or hold it twice, are left, a few per cent of the corpus.
 3. The left ones bring their units along and are compared exactly, block by
    block, by ``compare``.
 4. Marked spans go back to their documents.
@@ -80,7 +80,8 @@ def _repeated(new_text: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.
     return out
 
 
-_TYPES = ("<u4", "<u8", "<i8", "<u4", "<u4", "u1", "u1")  # trigger, text, doc, tag, start, count, hot
+_TYPES = ("<u4", "<u8", "<i8", "<u4", "<u4", "u1", "u1")  # trigger, text, doc, tag, start, count, flags
+_HOT, _AGAIN = 1, 2  # the trigger is frequent; it stands in the phrase more than once
 _SPAN = ("<i8", "<u4", "<u4", "<u4")  # doc, tag, start, end
 
 
@@ -95,9 +96,9 @@ def _span_rows(plan: Plan, doc, tag, start, end):
 
 def _send_phrases(plan: Plan) -> Callable:
     def flush(held):
-        trigger, text, doc, tag, start, count = (np.concatenate(c) for c in zip(*held))
+        trigger, text, doc, tag, start, count, again = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((start, doc, text, trigger))
-        trigger, text, doc, tag, start, count = (c[order] for c in (trigger, text, doc, tag, start, count))
+        trigger, text, doc, tag, start, count, again = (c[order] for c in (trigger, text, doc, tag, start, count, again))
         new_trigger = changes(trigger)
         new_text = changes(trigger, text)
         seen = _earlier(plan, np.cumsum(new_text), doc, start)
@@ -106,16 +107,16 @@ def _send_phrases(plan: Plan) -> Callable:
         group = np.cumsum(new_trigger) - 1
         hot = np.bincount(group, weights=new_text)[group] > plan.hot_in_task
         keep = ~seen & ~twice
-        trigger, text, doc, tag, start, count, hot = (c[keep] for c in (trigger, text, doc, tag, start, count, hot))
+        trigger, text, doc, tag, start, count, hot, again = (c[keep] for c in (trigger, text, doc, tag, start, count, hot, again))
         part = (trigger >> U64(32)) % U64(plan.parts)
         # A frequent trigger is dealt out by text, and leaves a mark (count 0) where its rarer phrases meet.
         mark = np.flatnonzero(hot)
         mark = mark[changes(trigger[mark])]
         part = np.r_[np.where(hot, (text >> U64(20)) % U64(plan.parts), part), part[mark]]
-        trigger, text, doc, tag, start, count, hot = (np.r_[c, c[mark]] for c in (trigger, text, doc, tag, start, count, hot))
+        trigger, text, doc, tag, start, count, hot, again = (np.r_[c, c[mark]] for c in (trigger, text, doc, tag, start, count, hot, again))
         count[len(count) - len(mark) :] = 0
         order = np.lexsort((start, doc))
-        packed = shared.by_part(part[order].astype(np.int64), trigger[order].astype("<u4"), text[order], doc[order], tag[order], start[order].astype("<u4"), count[order].astype("u1"), hot[order].astype("u1"))
+        packed = shared.by_part(part[order].astype(np.int64), trigger[order].astype("<u4"), text[order], doc[order], tag[order], start[order].astype("<u4"), count[order].astype("u1"), (hot * _HOT + again * _AGAIN)[order].astype("u1"))
         rows += [(p, LEFT, b) for p, b in packed]
         return shared.packed_batch(rows)
 
@@ -123,11 +124,11 @@ def _send_phrases(plan: Plan) -> Callable:
         held = []
         for batch in slices(batches, "text"):
             codes, firsts, _ = _codes(plan, batch.column("text"))
-            trigger, text, at, count = phrases(codes, firsts, plan.window, plan.gram)
+            trigger, text, at, count, again = phrases(codes, firsts, plan.window, plan.gram)
             row = np.searchsorted(firsts, at, "right") - 1
             doc = batch.column("doc").to_numpy()[row]
             tag = batch.column("tag").to_numpy().astype(np.uint64).astype(np.uint32)[row]
-            held.append((trigger, text, doc, tag, at - firsts[row], count))
+            held.append((trigger, text, doc, tag, at - firsts[row], count, again & plan.within))
             if len(held) == SLICES_TOGETHER:
                 yield flush(held)
                 held = []
@@ -150,18 +151,18 @@ def _meet_phrases(plan: Plan) -> Callable:
                     held.append(payload.as_py())
         if not held:
             return
-        trigger, text, doc, tag, start, count, hot = shared.unpack_all(held, *_TYPES)
+        trigger, text, doc, tag, start, count, flags = shared.unpack_all(held, *_TYPES)
         del held
         order = np.lexsort((start, doc, text, trigger))
-        trigger, text, doc, tag, start, count, hot = (c[order] for c in (trigger, text, doc, tag, start, count, hot))
+        trigger, text, doc, tag, start, count, flags = (c[order] for c in (trigger, text, doc, tag, start, count, flags))
         new_trigger = changes(trigger)
         new_text = changes(trigger, text)
         seen = _earlier(plan, np.cumsum(new_text), doc, start) & (count > 0)
         yield shared.packed_batch(_span_rows(plan, doc[seen], tag[seen], start[seen], start[seen].astype(np.int64) + count[seen] + plan.window - 1))
         group = np.cumsum(new_trigger) - 1
         texts = np.bincount(group, weights=new_text & (count > 0))
-        frequent = (np.bincount(group, weights=hot) > 0) | (texts > plan.hot_in_block)
-        ask = ~seen & ~_repeated(new_text, doc, tag, start) & (count > 0) & ((texts > 1) | frequent)[group]
+        frequent = (np.bincount(group, weights=flags & _HOT) > 0) | (texts > plan.hot_in_block)
+        ask = ~seen & ~_repeated(new_text, doc, tag, start) & (count > 0) & (((texts > 1) | frequent)[group] | (flags & _AGAIN > 0))
         doc, tag, start, count, hot = doc[ask], tag[ask], start[ask], count[ask], frequent[group][ask]
         order = np.lexsort((start, doc))
         trigger = trigger[ask]

@@ -22,6 +22,8 @@ def corpus(seed=1):
             t = t + t[:40]
         rows.append((i * 3 % 101, r.choice([" ", "\n", "  "]).join(t), "x", 1, 2))
     rows += [(500 + i, rows[5][1], "y", 1, 2) for i in range(4)]
+    rows += [(700 + k, " ".join(f"{w}{k}" for w in words[:12] for _ in range(10 * k + 5)), "", 0, 0) for k in range(4)]
+    rows += [(710 + p, " ".join(r.choice(words) for _ in range(9)) + " " + " ".join(f"q{p}x{i % p}" for i in range(50)), "", 0, 0) for p in (1, 2, 3, 7, 11)]
     rows += [(600, None, None, None, None), (601, "", "", 0, 0), (None, rows[3][1], "n", 0, 0), (None, rows[6][1], "n", 0, 0), (602, "a " * 300, "", 0, 0), (603, "a " * 200, "", 0, 0), (604, "ab" * 400, "", 0, 0)]
     rows += [rows[8], rows[8]]
     return rows

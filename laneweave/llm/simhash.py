@@ -12,6 +12,7 @@ verified bit by bit.
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,75 +30,88 @@ PIVOTS = mix(np.arange(101, 109, dtype=U64))
 GROUP_LIMIT = 60_000
 
 
-def _fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
-    """Majority vote of the shingles' XXH64 bits, for many texts at once."""
+def _fingerprints(texts: list[bytes], shingle: int, words: int = 1) -> np.ndarray:
+    """Majority vote of the shingles' XXH64 bits, for many texts at once: a row for each.
+
+    Every further word votes on bits that are mixed anew from the XXH64.
+    """
     hashes, counts = [], []
     digest = xxhash.xxh64_intdigest
     for text in texts:
-        words = text.lower().split()
-        n = len(words)
+        split = text.lower().split()
+        n = len(split)
         counts.append(max(n - shingle + 1, min(n, 1)))
         if not n:
             continue
-        joined = b" ".join(words)
+        joined = b" ".join(split)
         if n <= shingle:
             hashes.append(digest(joined, 42))
             continue
-        starts = [0, *accumulate(len(w) + 1 for w in words)]
+        starts = [0, *accumulate(len(w) + 1 for w in split)]
         hashes += [digest(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])]
-    out = np.zeros(len(texts), U64)
+    out = np.zeros((len(texts), words), U64)
     n = np.array(counts, np.int64)
     full = n > 0
     if not full.any():
         return out
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(U64)
-    # Eight counters of a byte each in a word: runs of 255 at most, then their sums.
     n = n[full]
+    # Eight counters of a byte each in a word: runs of 255 at most, then their sums.
     runs = -(-n // 255)
     within = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
     at = np.repeat(np.cumsum(n) - n, runs) + within * 255
-    sums = np.add.reduceat(bits, at, axis=0).view(np.uint8).astype(np.uint32)
-    sums = np.add.reduceat(sums, np.cumsum(runs) - runs, axis=0)
-    votes = (2 * sums > n[:, None]).astype(np.uint8)
-    out[full] = np.packbits(votes, axis=1, bitorder="little").view("<u8").ravel()
+    hashes = np.array(hashes, U64)
+    for j in range(words):
+        h = mix(hashes + U64(j * 0x9E6C63D0876A9A99 & 0xFFFFFFFFFFFFFFFF)) if j else hashes
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(U64)
+        sums = np.add.reduceat(bits, at, axis=0).view(np.uint8).astype(np.uint32)
+        sums = np.add.reduceat(sums, np.cumsum(runs) - runs, axis=0)
+        votes = (2 * sums > n[:, None]).astype(np.uint8)
+        out[full, j] = np.packbits(votes, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 4, name: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 4, name: str = "fingerprint", keep: list[str] | None = None, words: int = 1) -> DataFrame:
     """The columns in ``keep`` (default: all) and a long of the 64 fingerprint bits.
 
     Words are split at ASCII white space, A-Z lower-cased; a shingle is
     ``shingle`` words joined by one space, repeats counted; a shorter text is
     one shingle. Null texts and texts without a word get 0. A bit is set if it
-    is set in more than half of the shingles' XXH64 (seed 42).
+    is set in more than half of the shingles' XXH64 (seed 42). With ``words``
+    over 1, longs of 64 further bits follow as name_1, name_2 and so on.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    names = [name, *[f"{name}_{j}" for j in range(1, words)]]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    inner = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
         for batch in slices(batches, "text"):
             data, offsets = text_bytes(batch.column("text"))
             data = data.tobytes()
-            got = _fingerprints([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(got.view(np.int64))], names=["row", "mark"])
+            got = _fingerprints([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], shingle, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(np.ascontiguousarray(got[:, j])) for j in range(words)]], names=["row", *[f"w{j}" for j in range(words)]])
 
-    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, mark long")
-    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("mark").alias(name))
+    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, " + ", ".join(f"w{j} long" for j in range(words)))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"w{j}").alias(n) for j, n in enumerate(names)])
 
 
-def _tables(max_bits: int, n: int, group: int = 2048) -> list[int]:
+def _tables(max_bits: int, n: int, group: int = 4096, most: int = 100) -> list[int]:
     """Bit masks such that fingerprints within ``max_bits`` agree under one.
 
     64 bits in max_bits + g blocks: at least g agree. g grows until n
-    fingerprints spread into groups of about ``group``.
+    fingerprints spread into groups of about ``group``, or as long as the
+    masks are not more than ``most``.
     """
+    found: list[int] = []
     for g in range(1, 5):
         blocks = max_bits + g
+        if found and comb(blocks, g) > most:
+            break
         edges = [64 * i // blocks for i in range(blocks + 1)]
         masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+        found = [sum(pick) for pick in combinations(masks, g)]
         if n >> (g * (64 // blocks)) <= group:
             break
-    return [sum(pick) for pick in combinations(masks, g)]
+    return found
 
 
 def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -120,84 +134,108 @@ def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root[label]
 
 
-def _survivors(x, tx, y, ty, max_bits: int):
-    """Linked pairs between two runs of fingerprints, by their pivot tables."""
-    near = np.ones((len(x), len(y)), bool)
-    span = np.uint8(2 * max_bits)
-    for c in range(tx.shape[1]):
-        near &= ((tx[:, c] + np.uint8(max_bits))[:, None] - ty[None, :, c]) <= span
-    at = np.flatnonzero(near)
-    i, j = at // len(y), at % len(y)
-    ok = np.bitwise_count(x[i] ^ y[j]) <= max_bits
-    return i[ok], j[ok]
-
-
-def link_group(x: np.ndarray, max_bits: int, tile: int = 1024) -> np.ndarray:
-    """Component label (an index into x) of each fingerprint of a group."""
-    n = len(x)
-    table = np.bitwise_count(x[:, None] ^ PIVOTS[None, :])
-    label = np.arange(n)
+class _Group:
+    """Fingerprints of a group with the pivot table of the word that brought them together."""
+
+    def __init__(self, words: np.ndarray, lead: int, max_bits: int, wide_bits: int | None):
+        self.words, self.x = words, np.ascontiguousarray(words[:, lead])
+        self.max_bits, self.wide_bits = max_bits, wide_bits
+        self.table = np.bitwise_count(self.x[:, None] ^ PIVOTS[None, :])
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs link, bit by bit."""
+        ok = np.bitwise_count(self.x[i] ^ self.x[j]) <= self.max_bits
+        if self.wide_bits is not None:
+            at = np.flatnonzero(ok)
+            ok[at] = np.bitwise_count(self.words[i[at]] ^ self.words[j[at]]).sum(axis=1) <= self.wide_bits
+        return ok
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs between two runs of rows: pivot tables first, then the survivors' bits."""
+        ta, tb = self.table[a], self.table[b]
+        pairs = np.ones((len(a), len(b)), bool)
+        span = np.uint8(2 * self.max_bits)
+        for c in range(ta.shape[1]):
+            pairs &= ((ta[:, c] + np.uint8(self.max_bits))[:, None] - tb[None, :, c]) <= span
+        at = np.flatnonzero(pairs)
+        i, j = a[at // len(b)], b[at % len(b)]
+        ok = self.near(i, j)
+        return i[ok], j[ok]
+
+
+def link_group(words: np.ndarray, max_bits: int, wide_bits: int | None = None, lead: int = 0, tile: int = 1024) -> np.ndarray:
+    """Component label (a row number) of each fingerprint of a group."""
+    n = len(words)
+    group = _Group(words, lead, max_bits, wide_bits)
+    label, every = np.arange(n), np.arange(n)
     if n <= tile:
-        return _settle(label, *_survivors(x, table, x, table, max_bits))
+        return _settle(label, *group.linked(every, every))
     # Dense clusters first: what lies within reach of one member needs no pair of its own.
     for _ in range(32):
-        own = np.flatnonzero(label == np.arange(n))
-        seed = own[len(own) // 2]
-        near = np.flatnonzero(np.bitwise_count(x ^ x[seed]) <= max_bits)
-        label = _settle(label, np.full(len(near), seed), near)
+        own = np.flatnonzero(label == every)
+        seed = np.full(n, own[len(own) // 2])
+        near = np.flatnonzero(group.near(seed, every))
+        label = _settle(label, seed[near], near)
     order = np.argsort(label, kind="stable")
     for a in range(0, n, tile):
-        ra = order[a : a + tile]
         for b in range(a, n, tile):
-            rb = order[b : b + tile]
-            la, lb = label[ra], label[rb]
-            if la.min() == la.max() == lb.min() == lb.max():
+            ra, rb = order[a : a + tile], order[b : b + tile]
+            if label[ra].min() == label[ra].max() == label[rb].min() == label[rb].max():
                 continue
-            i, j = _survivors(x[ra], table[ra], x[rb], table[rb], max_bits)
-            label = _settle(label, ra[i], rb[j])
+            label = _settle(label, *group.linked(ra, rb))
     return label
 
 
-def links(nodes: DataFrame, max_bits: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Edges (a, b) that join all fingerprints within ``max_bits``.
+def links(nodes: DataFrame, max_bits: int, group_limit: int = GROUP_LIMIT, wide_bits: int | None = None, sure_bits: int | None = None) -> DataFrame:
+    """Edges (a, b) that join the ids of all fingerprints that link.
 
-    ``nodes`` has distinct fingerprints (long ``fp``). Each group yields a star
-    per component, never all its pairs.
+    ``nodes`` has a long id first, then the words of its fingerprint. Two link
+    if one of their words differs in at most ``max_bits`` bits and, with
+    ``wide_bits``, all words together in at most that many. Links of up to
+    ``sure_bits`` (default: ``max_bits``) in a word are all found; farther ones
+    where a block agrees. Each group yields a star per component, never all its
+    pairs.
     """
-    n = nodes.count()
-    masks = _tables(max_bits, n)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    dealt = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])).alias("g")).select("fp", "g.t", "g.k")
+    node_id, *names = nodes.columns
+    words = len(names)
+    plain = nodes.select(F.col(node_id).alias("id"), *[F.col(c).alias(f"w{j}") for j, c in enumerate(names)])
+    columns = plain.columns
+    n = plain.count()
+    masks = [m - (1 << 64) if m >> 63 else m for m in _tables(max_bits if sure_bits is None else sure_bits, n)]
+    tables = F.array(*[F.struct(F.lit(j * len(masks) + i).alias("t"), F.col(f"w{j}").bitwiseAND(F.lit(m)).alias("k")) for j in range(words) for i, m in enumerate(masks)])
+    dealt = plain.select(*columns, F.explode(tables).alias("g")).select(*columns, "g.t", "g.k")
     large = dealt.groupBy("t", "k").count().where(F.col("count") > group_limit).select("t", "k", F.ceil(F.col("count") / group_limit).cast("int").alias("chunks"))
-    spread = dealt.join(large, ["t", "k"], "left").withColumn("own", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")))
+    spread = dealt.join(large, ["t", "k"], "left").withColumn("own", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
     # A chunk of a large group meets each of the others once.
     pairs = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
     )
-    spread = spread.select("fp", "t", "k", F.explode(pairs).alias("c")).select("fp", "t", "k", "c.i", "c.j")
-    parts = shared.part_count(n * len(masks), 150_000)
-    keyed = spread.select(F.pmod(F.xxhash64("t", "k", "i", "j"), F.lit(parts)).cast("int").alias("part"), "fp", "t", "k", "i", "j")
+    spread = spread.select(*columns, "t", "k", F.explode(pairs).alias("c")).select(*columns, "t", "k", "c.i", "c.j")
+    parts = shared.part_count(n * len(masks) * words, 150_000)
+    keyed = spread.select(F.pmod(F.xxhash64("t", "k", "i", "j"), F.lit(parts)).cast("int").alias("part"), *columns, "t", "k", "i", "j")
+    per_word = len(masks)
 
     def run(batches):
         held = None
 
         def edges(rows):
-            t, k, i, j, fp = rows
+            t, k, i, j, ids, *w = rows
             cut = np.flatnonzero(changes(t, k, i, j))
+            matrix = np.stack(w, axis=1).view(U64)
             out = []
-            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(fp)]):
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
                 if hi - lo > 1:
-                    x = fp[lo:hi]
-                    label = link_group(x.view(U64), max_bits)
-                    moved = np.flatnonzero(label != np.arange(len(x)))
+                    own = ids[lo:hi]
+                    label = link_group(matrix[lo:hi], max_bits, wide_bits, int(t[lo]) // per_word)
+                    moved = np.flatnonzero(label != np.arange(len(own)))
                     if len(moved):
-                        out.append((x[moved], x[label[moved]]))
+                        out.append((own[moved], own[label[moved]]))
             a = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)
             b = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:  # sorted by group: what follows the last group's first row may still grow
-            rows = [batch.column(c).to_numpy() for c in ("t", "k", "i", "j", "fp")]
+        for batch in batches:  # sorted by group: the last one may still grow
+            rows = [batch.column(c).to_numpy() for c in ("t", "k", "i", "j", *columns)]
             held = rows if held is None else [np.concatenate(p) for p in zip(held, rows)]
             last = np.flatnonzero(changes(*held[:4]))[-1]
             if last:
@@ -206,38 +244,45 @@ def links(nodes: DataFrame, max_bits: int, group_limit: int = GROUP_LIMIT) -> Da
         if held is not None and len(held[0]):
             yield edges(held)
 
-    return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("t", "k", "i", "j", "fp").mapInArrow(run, "a long, b long")
+    return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("t", "k", "i", "j", "id").mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_groups(marks: DataFrame, id_col: str = "doc_id", name: str = "fingerprint", max_bits: int = 4) -> DataFrame:
+def near_duplicate_groups(marks: DataFrame, id_col: str = "doc_id", name: str = "fingerprint", max_bits: int = 4, words: int = 1, wide_bits: int | None = None, sure_bits: int | None = None) -> DataFrame:
     """``marks`` (identifier and fingerprint of every row) with ``component_id``.
 
-    Two rows link if their fingerprints differ in at most ``max_bits`` bits;
-    the component's id is the smallest identifier in reach. Rows with equal
-    fingerprints are one node, so copies are never paired. Null identifiers
-    name no component: one of only such rows has a null id. Repeated rows stay
-    one for one; an empty table gives an empty result.
+    Two rows link if their fingerprints differ in at most ``max_bits`` bits
+    (see ``links`` for fingerprints of several words); the component's id is
+    the smallest identifier in reach. Rows with equal fingerprints are one
+    node, so copies are never paired. Null identifiers name no component: one
+    of only such rows has a null id. Repeated rows stay one for one; an empty
+    table gives an empty result.
     """
-    nodes = shared.written(marks.groupBy(F.col(f"`{name}`").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("first_id")), "nodes")
-    roots = components(links(nodes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
-    placed = nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    names = [name, *[f"{name}_{j}" for j in range(1, words)]]
+    node = F.col(f"`{name}`") if words == 1 else F.xxhash64(*[F.col(f"`{n}`") for n in names])
+    by = [F.col(f"`{n}`").alias(f"w{j}") for j, n in enumerate(names)]
+    nodes = shared.written(marks.groupBy(node.alias("node"), *by).agg(F.min(F.col(f"`{id_col}`")).alias("first_id")), "nodes")
+    roots = components(links(nodes.drop("first_id"), max_bits, wide_bits=wide_bits, sure_bits=sure_bits))
+    placed = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("__component"))
-    of_mark = placed.join(named, "root").select(F.col("fp").alias("__fp"), "__component")
+    of_mark = placed.join(named, "root").select(F.col("node").alias("__node"), "__component")
     rest = [c for c in marks.columns if c != "component_id"]
-    joined = marks.select(*rest).join(of_mark, F.col(f"`{name}`") == F.col("__fp"))
+    joined = marks.select(*rest).withColumn("__of", node).join(of_mark, F.col("__of") == F.col("__node"))
     return joined.select(*rest, F.col("__component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 7) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 18, words: int = 4, wide_bits: int = 50, sure_bits: int = 4) -> DataFrame:
     """One document of every near-duplicate group, that with the smallest identifier.
 
-    Shingles of five words; texts whose shingle sets are 0.8 alike differ in
-    about ten of 64 bits at most and those 0.9 alike in seven. Columns stay as
-    they are. Of rows that repeat the kept identifier and text, one stays.
+    Shingles of five words, and a similarity of 0.8 or more. Shingle sets that
+    are 0.8 alike differ in 15 per cent of fingerprint bits on average, 39 of
+    the 256 of four words, give or take 6; unrelated texts differ in half of
+    them. Pairs meet where one of the words' blocks agrees, which 19 of 20
+    pairs that are 0.8 alike do and 249 of 250 that are 0.9 alike. Columns stay
+    as they are. Of rows that repeat the kept identifier and text, one stays.
     """
     keyed = docs.withColumn("__tag", shared.text_tag(text_col))
-    marks = shared.written(with_fingerprint(keyed, text_col, shingle, "__mark", keep=[id_col, "__tag"]), "marks")
-    groups = near_duplicate_groups(marks, id_col, "__mark", max_bits)
+    marks = shared.written(with_fingerprint(keyed, text_col, shingle, "__mark", keep=[id_col, "__tag"], words=words), "marks")
+    groups = near_duplicate_groups(marks, id_col, "__mark", max_bits, words, wide_bits if words > 1 else None, sure_bits)
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("best"))
     keep = best.select(F.col("best.id").alias("__id"), F.col("best.tag").alias("__of"))
     kept = keyed.join(keep, keyed[id_col].eqNullSafe(F.col("__id")) & (keyed["__tag"] == F.col("__of")), "left_semi")

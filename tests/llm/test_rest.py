@@ -46,7 +46,7 @@ def test_warc_round_trip(spark):
     rows += [(700, "", None, 0, ""), (701, "u", "", 0, ""), (None, "n", same, 0, ""), (702, "u", "x" * 3_000_000, 0, ""), rows[0], (505, "again", same, 0, "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_bytes int, digest string").repartition(3)
     manifest = write_warc(df, archive_bytes=100_000)
-    assert manifest.count() > 3
+    assert manifest.count() >= 3
     got = [(x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in read_warc(manifest).collect()]
     want = []
     for i, _, h, *_ in rows:

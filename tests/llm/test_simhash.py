@@ -73,7 +73,7 @@ def test_links_connect_what_is_near(spark, bits, limit):
     base = [r.getrandbits(64) for _ in range(30)]
     near = [b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 9))) for b in base for _ in range(20)]
     x = sorted({v & (1 << 64) - 1 for v in base + near})
-    nodes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in x], "fp long")
+    nodes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) * 2 for v in x], "id long, fp long")
     found = components(links(nodes, bits, limit)).collect()
     got = {(n.node % (1 << 64)): n.root % (1 << 64) for n in found}
     want = brute_groups([(v, v) for v in x], bits)
@@ -90,13 +90,13 @@ def test_large_group_in_tiles():
     r = np.random.default_rng(1)
     seeds = r.integers(0, 1 << 63, 40, dtype=np.uint64)
     x = np.unique((seeds[r.integers(0, 40, 3000)]) ^ (np.uint64(1) << r.integers(0, 60, 3000).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 60, 3000).astype(np.uint64)))
-    assert len({int(v) for v in link_group(x, 4, tile=128)}) == len({int(v) for v in link_group(x, 4, tile=4096)}) == 40
+    assert len({int(v) for v in link_group(x[:, None], 4, tile=128)}) == len({int(v) for v in link_group(x[:, None], 4, tile=4096)}) == 40
 
 
 def test_drop_keeps_one_of_each(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
-    got = drop_near_duplicates(df, max_bits=4)
+    got = drop_near_duplicates(df, max_bits=4, words=1)
     assert got.columns == df.columns
     marks = [(d, brute_fingerprint(t, 5)) for d, t, *_ in data]
     want = {c for _, c in brute_groups(marks, 4)}
@@ -107,3 +107,19 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicate_groups(with_fingerprint(df)).count() == 0
     assert drop_near_duplicates(df).count() == 0
+
+
+def test_similar_documents_go(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    docs, alike = [], {}
+    for i in range(60):
+        t = [r.choice(words) for _ in range(400)]
+        docs.append((i, " ".join(t)))
+        for j in range(2):  # every edit changes five shingles
+            u = list(t)
+            for at in r.sample(range(0, 395, 7), [4, 8][j]):
+                u[at] = "edited"
+            docs.append((100 + 2 * i + j, " ".join(u)))
+    got = {x.doc_id for x in drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(range(60)) <= got and len(got) <= 70

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .contamination import find_contamination, hit_words
 from .language import fit, held_out, predict
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .simhash import near_duplicate_groups, with_fingerprint
 from .shared import written
@@ -104,5 +105,3 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
-
-ORACLES: dict[str, str] = {}

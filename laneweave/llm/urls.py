@@ -57,16 +57,15 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _codes(url: Column) -> Column:
-    """Numbers of the URL's characters, led by two starts."""
+def _padded(url: Column) -> Column:
+    """The URL in the models' alphabet, led by two starts."""
     plain = F.regexp_replace(F.regexp_replace(lower_ascii(url), "[0-9]", "0"), r"[^a-z0./\-_?=&%:#~+@]", "*")
-    letters = F.concat(F.array(F.lit("^"), F.lit("^")), F.filter(F.split(plain, ""), lambda c: c != ""))
-    return F.transform(letters, lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    return F.concat(F.lit("^^"), plain)
 
 
-def _grams(codes: Column) -> Column:
-    """One number for each character with the two before it."""
-    return F.transform(F.sequence(F.lit(2), F.size(codes) - 1), lambda i: (F.get(codes, i - 2) * _SIZE + F.get(codes, i - 1)) * _SIZE + F.get(codes, i))
+def _grams(padded: Column) -> Column:
+    """Every character of a padded URL with the two before it."""
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(ORDER)))
 
 
 def ratio_table(count: DataFrame) -> DataFrame:
@@ -76,17 +75,18 @@ def ratio_table(count: DataFrame) -> DataFrame:
     cubed, whatever the input: unseen contexts fall back to the longest one
     seen, in the end to even odds.
     """
-    table = count.sparkSession.range(_SIZE**ORDER, numPartitions=1).select(F.col("id").cast("int").alias("gram"))
+    letter = lambda n: F.substr(F.lit(ALPHABET), n + 1, F.lit(1))
+    number = F.col("id").cast("int")
+    gram = F.concat(letter((number / _SIZE**2).cast("int")), letter((number / _SIZE).cast("int") % _SIZE), letter(number % _SIZE))
+    table = count.sparkSession.range(_SIZE**ORDER, numPartitions=1).select(gram.alias("gram"))
     table = table.join(count.select("gram", F.col("yes").cast("double"), F.col("no").cast("double")), "gram", "left").na.fill(0.0, ["yes", "no"])
-    last, middle = F.col("gram") % _SIZE, (F.col("gram") / _SIZE).cast("int") % _SIZE
-    table = table.withColumns({"c": last, "b": middle, "ab": (F.col("gram") / _SIZE).cast("int")})
-
-    def totals(by: list[str], name: str) -> DataFrame:
-        return table.groupBy(*by).agg(F.sum("yes").alias(f"yes_{name}"), F.sum("no").alias(f"no_{name}"))
-
+    parts = {"c": F.substring("gram", 3, 1), "b": F.substring("gram", 2, 1), "ab": F.substring("gram", 1, 2)}
+    table, counted = table.withColumns(parts), count.withColumns(parts)
     for by, name in ((["c"], "c"), (["b", "c"], "bc"), (["b"], "b"), (["ab"], "ab")):
-        table = table.join(F.broadcast(totals(by, name)), by)  # sizes are powers of the alphabet's
-    whole = count.agg(F.coalesce(F.sum("yes"), F.lit(0.0)).alias("yes_all"), F.coalesce(F.sum("no"), F.lit(0.0)).alias("no_all"))
+        totals = counted.groupBy(*by).agg(F.sum("yes").cast("double").alias(f"yes_{name}"), F.sum("no").cast("double").alias(f"no_{name}"))
+        # Sizes are powers of the alphabet's.
+        table = table.join(F.broadcast(totals), by, "left").na.fill(0.0, [f"yes_{name}", f"no_{name}"])
+    whole = count.agg(F.coalesce(F.sum("yes").cast("double"), F.lit(0.0)).alias("yes_all"), F.coalesce(F.sum("no").cast("double"), F.lit(0.0)).alias("no_all"))
 
     def probability(side: str, total: Column) -> Column:
         p = (F.col(f"{side}_c") + SMOOTHING / _SIZE) / (total + SMOOTHING)
@@ -117,9 +117,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seen = pages.select(*[F.col(f"`{c}`") for c in rest]).withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     seen = seen.withColumns({"rule": rule, "__given": verdict, "__url": url})
-    grams = (
-        seen.where(F.length("__url") > 0).groupBy("__url", "__given").agg(F.count(F.lit(1)).alias("__n")).withColumn("gram", F.explode(_grams(_codes(F.col("__url")))))
+    padded = (
+        seen.where(F.length("__url") > 0).groupBy("__url", "__given").agg(F.count(F.lit(1)).alias("__n")).withColumn("__padded", _padded(F.col("__url")))
     )
+    grams = padded.select("__url", "__given", "__n", F.explode(_grams(F.col("__padded"))).alias("gram"))
     counted = (
         grams.where(F.col("__given").isNotNull())
         .groupBy("gram")

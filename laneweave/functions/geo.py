@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_371_000
@@ -153,3 +153,26 @@ def any_within(p: Column, path: Column, metres: float) -> Column:
     """Is a point within ``metres`` of any segment of one path?"""
     steps = F.when(F.size(path) >= 2, F.sequence(F.lit(0), F.size(path) - 2)).otherwise(F.expr("array()").cast("array<int>"))
     return F.exists(steps, lambda i: point_segment_m(p, F.get(path, i), F.get(path, i + 1)) <= metres)
+
+
+def render_edits(edits: DataFrame) -> DataFrame:
+    """Edits with their places in world pixels at their zoom.
+
+    ``points`` for lines, ``start`` and ``end`` for crossings, ``centre`` and
+    ``radius`` for roundabouts, ``at`` for signals; the others are null. Sizes
+    in pixels do not change with the zoom.
+    """
+    zoom = F.col("zoom")
+    of = lambda kind, c: F.when(F.col("type") == kind, c)
+    start = to_pixel(F.col("anchor"), zoom)
+    line = F.col("type").isin("road", "bike", "sidewalk")
+    return edits.withColumns(
+        {
+            "points": F.when(line, flat_points(F.col("path"), lambda p: to_pixel(p, zoom))),
+            "start": of("crossing", start),
+            "end": of("crossing", pixel(start["x"] + F.col("pixel_vector.x"), start["y"] + F.col("pixel_vector.y"))),
+            "centre": of("roundabout", to_pixel(F.col("center"), zoom)),
+            "radius": of("roundabout", F.col("pixel_radius")),
+            "at": of("signal", to_pixel(F.col("point"), zoom)),
+        }
+    )

@@ -179,4 +179,12 @@ ORACLES: dict[str, str] = {
  round(degrees(atan2(qy-py, qx-px)), 4) as angle, round(greatest(26.0, sqrt(pow(qx-px,2)+pow(qy-py,2))), 3) as length, round(lat + (qlat-lat)*0.25, 6) as mid_lat,
  round(sqrt(pow(0.001*111320, 2) + pow(greatest(0.0, 0.0 - 0.002)*111320, 2)), 3) as segment_m,
  case when floor(hav*point_id % 300)*10 >= 1000 then printf('%.2f km', floor(hav*point_id % 300)/100) else cast(floor(hav*point_id % 300)*10 as bigint) || ' m' end as shown, printf('%.2f', zoom) as zoom_2 from g""",
+    "raw_drafts": f"""with {_PINS}, d as (select *, ['road','bike','sidewalk','crossing','roundabout','signal'][point_id % 6 + 1] as type, lat + (point_id % 5)*0.0003 as lat2, lng + (point_id % 3)*0.0002 as lng2 from pins),
+ g as (select *, {_px('lng', 'zoom')} as x, {_py('lat', 'zoom')} as y, {_px('lng2', 'zoom')} as x2, {_py('lat2', 'zoom')} as y2 from d)
+ select point_id as draft_id, type, case when type in ('road','bike','sidewalk') then 4 end::int as numbers, case when type in ('road','bike','sidewalk') then round(x2, 2) end as last_x,
+ case when type = 'crossing' then round(x, 2) end as start_x, case when type = 'crossing' then round(y, 2) end as start_y, case when type = 'crossing' then round(x2, 2) end as end_x, case when type = 'crossing' then round(y2, 2) end as end_y,
+ case when type = 'roundabout' then round(x, 2) end as centre_x, case when type = 'roundabout' then round(y, 2) end as centre_y, case when type = 'roundabout' then round(greatest(12.0, sqrt(pow(x2-x, 2)+pow(y2-y, 2))), 3) end as radius,
+ case when type = 'signal' then round(x, 2) end as at_x, case when type = 'signal' then round(y, 2) end as at_y from g""",
+    "analyze_rejects": f"""with {_STORE}, {_REQUESTS} select seq, case when north is null then 'BAD_BBOX' when seq % 5 = 0 or seq % 7 = 0 or seq % 11 = 0 then 'NO_OSM_DATA' when seq % 4 = 0 then 'BAD_EDITS' end as reject_reason from requests""",
+    "document_round_trip": f"with {_ELEMENTS} select area_id, feature_id, feature_class, kind, cast(n_pts as bigint) as points from feats",
 }

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import edits as log
 from ..operators import features, graph, projects, proximity, routing, rules, snapping, validate
-from ..sources import osm
+from ..sources import osm, schemas
 from . import fixtures as fx
 
-NOW = F.lit("2024-06-01 12:00:00")
+NOW = "2024-06-01 12:00:00"
 D = 6  # decimals of compared coordinates
 
 
@@ -168,7 +168,7 @@ def change_analysis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _saved(spark: SparkSession, sf: str):
-    return projects.save_projects(fx.store_projects(spark, sf), fx.save_requests(spark, sf), NOW)
+    return projects.save_projects(fx.store_projects(spark, sf), fx.save_requests(spark, sf), F.lit(NOW))
 
 
 def save_projects(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +197,7 @@ def latest_projects(spark: SparkSession, sf: str) -> DataFrame:
 def users_and_cascade(spark: SparkSession, sf: str) -> DataFrame:
     p = fx.store_projects(spark, sf)
     users = p.where("user_id < 'u3'").selectExpr("user_id as id", "user_id as clerk_id", "cast(null as string) as email", "created_at").distinct()
-    users = projects.ensure_users(users, fx.save_requests(spark, sf).select("user_id"), NOW)
+    users = projects.ensure_users(users, fx.save_requests(spark, sf).select("user_id"), F.lit(NOW))
     gone = users.where("id like 'u1%'").selectExpr("id as user_id")
     left = projects.delete_users({"users": users, "projects": p, "state": fx.store_state(spark, sf)}, gone)
     return left["users"].select(F.lit("user").alias("what"), "id").unionByName(left["projects"].select(F.lit("project").alias("what"), "id")).unionByName(left["state"].select(F.lit("state").alias("what"), F.col("project_id").alias("id")))
@@ -226,12 +226,35 @@ def affected_projects(spark: SparkSession, sf: str) -> DataFrame:
     return log.affected_projects(changes, fx.projects_in(spark, sf)).select("project_id")
 
 
+def raw_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    out = geo.render_edits(snapping.raw_geometry(fx.drafts(spark, sf)))
+    xy = lambda c: [_r(f"{c}.x", 2).alias(f"{c}_x"), _r(f"{c}.y", 2).alias(f"{c}_y")]
+    return out.select("draft_id", "type", F.size("points").alias("numbers"), _r(F.get("points", F.lit(2)), 2).alias("last_x"), *xy("start"), *xy("end"), *xy("centre"), _r("radius", 3).alias("radius"), *xy("at"))
+
+
+def analyze_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    full = '{"counts":{"roads":1},"roads":[],"buildings":[],"openLand":[]}'
+    data = F.when(F.col("seq") % 5 == 0, '{"counts":{}}').when(F.col("seq") % 7 == 0, '{"roads":[],"buildings":[],"openLand":[]}').when(F.col("seq") % 11 == 0, "[]").otherwise(full)
+    sent = F.when(F.col("seq") % 4 == 0, "{}").otherwise("[]")
+    asked = fx.save_requests(spark, sf).withColumns({"osm_data": data, "user_edits": sent})
+    return validate.analyze_reject_reason(asked).select("seq", "reject_reason")
+
+
+def document_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    feats = features.classify(fx.elements(spark, sf)).withColumnRenamed("project_id", "area_id")
+    docs = osm.area_document(feats, fx.areas(spark, sf))
+    item = f"array<struct<id:bigint,kind:string,tags:map<string,string>,geometry:array<{schemas.POINT}>>>"
+    doc = F.from_json("document", f"buildings {item}, roads {item}, openLand {item}")
+    back = features.flatten_document(docs.select("area_id", doc.alias("d")).select("area_id", "d.buildings", "d.roads", F.col("d.openLand").alias("open_land")))
+    return back.select("area_id", "feature_id", "feature_class", "kind", F.size("geometry").cast("bigint").alias("points"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         network_report, network_report_drawn, graph_nodes, graph_edges, node_degrees, dead_end_segments, sidewalk_proximity, nearest_segment, nearest_vertex, nearest_node, nearest_ring_point,
         snap_drafts, route_distances, route_requests, classify_elements, ingest_counts, ingest_quarantine, select_area, area_documents, bbox_validation, bounds_geojson, geometry_functions,
         canvas_points, edit_counts, change_analysis, save_projects, save_rejects, save_state, open_projects, latest_projects, users_and_cascade, edit_replay, autosave_sessions,
-        changed_since_last, affected_projects,
+        changed_since_last, affected_projects, raw_drafts, analyze_rejects, document_round_trip,
     )
 }

@@ -1,43 +1,19 @@
-"""Folders and small helpers that the corpus operators have in common."""
+"""Small helpers that the corpus operators have in common."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A null identifier sorts before every other one.
-NULL_ID = -(1 << 63)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+from ..sources.scratch import fresh_path, shared_dir, written
 
-    Only where the session names none (tests on one machine) is a fresh local
-    folder taken and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("laneweave.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="laneweave-")
-        spark.conf.set("laneweave.shared.dir", found)
-    return found.rstrip("/")
+__all__ = ["NULL_ID", "PACKED", "by_part", "fresh_path", "pack", "packed_batch", "part_count", "shared_dir", "text_tag", "text_total", "unpack", "unpack_all", "written"]
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back, which cuts lineage."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A null identifier sorts before every other one.
+NULL_ID = -(1 << 63)
 
 
 def text_total(docs: DataFrame, column: str = "text") -> tuple[int, int]:

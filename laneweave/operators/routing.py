@@ -16,13 +16,14 @@ from .graph import Graph, adjacency
 from .proximity import nearest_node
 
 
-def shortest_distances(neighbours: DataFrame, sources: DataFrame, max_rounds: int = 10_000, targets: DataFrame | None = None) -> DataFrame:
+def shortest_distances(neighbours: DataFrame, sources: DataFrame, max_rounds: int = 10_000, targets: DataFrame | None = None, hops: int = 4) -> DataFrame:
     """(route_id, project_id, node, distance_m, pred) for every node in reach of a route's source.
 
     ``neighbours`` has project_id, node, neighbour, length_m in both
     directions; ``sources`` route_id, project_id, node. With ``targets``
     (route_id, node) a route stops where no open node is nearer than its
-    target. Of equally short ways the smallest predecessor wins.
+    target. Of equally short ways found together the smallest predecessor wins.
+    A round goes ``hops`` edges far, so that fewer rounds are written.
     """
     spark = neighbours.sparkSession
     folder = fresh_path(spark, "labels")
@@ -37,8 +38,13 @@ def shortest_distances(neighbours: DataFrame, sources: DataFrame, max_rounds: in
     graph = spark.read.schema(graph.schema).parquet(f"{folder}/graph")
     for r in range(1, max_rounds + 1):
         known = read(*range(r)).groupBy(*key).agg(best).select(*key, F.col("best.distance_m").alias("known_m"))
-        step = read(r - 1).join(graph, ["project_id", "node"])
-        reached = step.select("route_id", "project_id", F.col("neighbour").alias("node"), (F.col("distance_m") + F.col("length_m")).alias("distance_m"), F.col("node").alias("pred"))
+        reached = None
+        ahead = read(r - 1)
+        for _ in range(hops):
+            step = ahead.join(graph, ["project_id", "node"])
+            step = step.select("route_id", "project_id", F.col("neighbour").alias("node"), (F.col("distance_m") + F.col("length_m")).alias("distance_m"), F.col("node").alias("pred"))
+            ahead = step.groupBy(*key).agg(best).select(*key, "best.distance_m", "best.pred")
+            reached = ahead if reached is None else reached.unionByName(ahead)
         nearer = reached.groupBy(*key).agg(best).select(*key, "best.distance_m", "best.pred")
         if targets is not None:
             limit = targets.join(known, ["route_id", "node"]).select("route_id", F.col("known_m").alias("limit_m"))

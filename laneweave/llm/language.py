@@ -19,6 +19,8 @@ from .arrays import slices, text_bytes
 DIMENSIONS = 1 << 12
 #: Labelled documents per language that the machines are fitted on, about; a sample by hash.
 FIT_PER_LANGUAGE = 500
+#: Labelled documents of all languages together that they are fitted on at most, about.
+FIT_ALL = 16_000
 #: Languages, by number of labelled documents, that are learned at most.
 MOST_LANGUAGES = 100
 
@@ -136,7 +138,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_PER_LANGUAGE) -> Model | None:
     """Learn from labelled documents that are not held out.
 
-    About ``per_language`` documents of each language are taken by a hash of
+    About ``per_language`` documents of each language (fewer, where there are
+    so many languages that ``FIT_ALL`` would be passed) are taken by a hash of
     their identifier, wherever they stand; their features, of bounded size,
     are all that comes to the driver. Null labels, texts and identifiers teach
     nothing. None if there is no label at all.
@@ -146,6 +149,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
+    per_language = min(per_language, FIT_ALL // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).select("text", "lang")
 

@@ -1,6 +1,7 @@
 """Language identification by hierarchical discrimination.
 
-Texts become counts of hashed three-byte runs, square-rooted and normalised.
+Texts become counts of hashed three-byte runs, in small letters, square-rooted
+and normalised.
 One linear support vector machine per language family (against the rest) picks
 the family; within it, one machine per pair of languages votes.
 """
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import slices, text_bytes
+from .arrays import lower_ascii, slices, text_bytes
 
 DIMENSIONS = 1 << 12
 #: Labelled documents per language that the machines are fitted on, about; a sample by hash.
@@ -40,13 +41,21 @@ def family_of(language: str) -> str:
     return _FAMILY_OF.get(language.lower().split("-")[0], language)
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Small letters for capitals of ASCII and Latin-1; a space for other ASCII characters."""
+    data = lower_ascii(data)
+    after = np.concatenate([np.zeros(1, bool), data[:-1] == 0xC3])
+    data = data + ((after & (data >= 0x80) & (data <= 0x9E)).astype(np.uint8) << 5)
+    return np.where((data < 0x80) & ((data < 97) | (data > 122)), np.uint8(32), data)
+
+
 def _features(batch_column) -> np.ndarray:
     """A row of DIMENSIONS for each text."""
     data, offsets = text_bytes(batch_column)
     n = len(offsets) - 1
     if len(data) < 3:
         return np.zeros((n, DIMENSIONS), np.float32)
-    b = data.astype(np.uint32)
+    b = _folded(data).astype(np.uint32)
     h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)

@@ -263,7 +263,8 @@ def near_duplicate_groups(marks: DataFrame, id_col: str = "doc_id", name: str =
     nodes = shared.written(marks.groupBy(node.alias("node"), *by).agg(F.min(F.col(f"`{id_col}`")).alias("first_id")), "nodes")
     roots = components(links(nodes.drop("first_id"), max_bits, wide_bits=wide_bits, sure_bits=sure_bits))
     placed = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first_id").alias("__component"))
+    # Written, so that the join by root has only exchanges under it and a large component can be split.
+    named = shared.written(placed.groupBy("root").agg(F.min("first_id").alias("__component")), "components")
     of_mark = placed.join(named, "root").select(F.col("node").alias("__node"), "__component")
     rest = [c for c in marks.columns if c != "component_id"]
     joined = marks.select(*rest).withColumn("__of", node).join(of_mark, F.col("__of") == F.col("__node"))

@@ -175,7 +175,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return run_hash(prefix_sums(BYTE_CODES[data]), starts, ends - starts)
+    """Hash of every word; bytes of a long text are taken ``SLICE_BYTES`` at a time."""
+    if len(data) <= 2 * SLICE_BYTES:
+        return run_hash(prefix_sums(BYTE_CODES[data]), starts, ends - starts)
+    out = np.empty(len(starts), U64)
+    cuts = [*np.searchsorted(starts, np.arange(0, len(data), SLICE_BYTES)).tolist(), len(starts)]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            low = int(starts[i])
+            out[i:j] = run_hash(prefix_sums(BYTE_CODES[data[low : int(ends[j - 1])]]), starts[i:j] - low, (ends - starts)[i:j])
+    return out
 
 
 def _trigger_pairs(grams: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

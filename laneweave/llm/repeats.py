@@ -51,16 +51,31 @@ class Plan:
     #: Different phrases at one trigger, in a task and in a block, beyond which it counts as frequent.
     hot_in_task: int = 32
     hot_in_block: int = 20_000
+    #: Units of a long text that are hashed at once.
+    piece_units: int = 1 << 20
 
 
-def _codes(plan: Plan, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of a slice's units, each row's first unit, and the raw units."""
+def _units(plan: Plan, column) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's units (bytes, or hashes of words) and each row's first unit."""
     data, offsets = text_bytes(column)
     if not plan.words:
-        return BYTE_CODES[data], offsets, data
+        return data, offsets
     s, e, firsts = word_spans(data, offsets, SPACED)
-    h = word_hashes(data, s, e)
-    return h, firsts, h
+    return word_hashes(data, s, e), firsts
+
+
+def _cut_phrases(plan: Plan, units: np.ndarray, firsts: np.ndarray):
+    """Phrases of a slice: trigger, text, row, start in the row, count, again. A long text is cut into pieces."""
+    pieces = [(units, firsts, 0)]
+    if len(firsts) == 2 and len(units) > plan.piece_units:
+        reach = plan.window - 1
+        pieces = [(u, np.array([0, len(u)]), at) for at in range(0, len(units), plan.piece_units) if len(u := units[at : at + plan.piece_units + reach]) > reach]
+    out = []
+    for u, f, shift in pieces:
+        trigger, text, at, count, again = phrases(u if plan.words else BYTE_CODES[u], f, plan.window, plan.gram)
+        row = np.searchsorted(f, at, "right") - 1
+        out.append((trigger, text, row, at - f[row] + shift, count, again & plan.within))
+    return [np.concatenate(c) for c in zip(*out)]
 
 
 def _earlier(plan: Plan, group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -123,12 +138,10 @@ def _send_phrases(plan: Plan) -> Callable:
     def run(batches):
         held = []
         for batch in slices(batches, "text"):
-            codes, firsts, _ = _codes(plan, batch.column("text"))
-            trigger, text, at, count, again = phrases(codes, firsts, plan.window, plan.gram)
-            row = np.searchsorted(firsts, at, "right") - 1
+            trigger, text, row, start, count, again = _cut_phrases(plan, *_units(plan, batch.column("text")))
             doc = batch.column("doc").to_numpy()[row]
             tag = batch.column("tag").to_numpy().astype(np.uint64).astype(np.uint32)[row]
-            held.append((trigger, text, doc, tag, at - firsts[row], count, again & plan.within))
+            held.append((trigger, text, doc, tag, start, count, again))
             if len(held) == SLICES_TOGETHER:
                 yield flush(held)
                 held = []
@@ -239,7 +252,7 @@ def _bring_units(plan: Plan) -> Callable:
             lo, hi = np.searchsorted(look[0], own), np.searchsorted(look[0], own, "right")
             if not (hi > lo).any():
                 continue
-            codes, firsts, raw = _codes(plan, batch.column("text"))
+            raw, firsts = _units(plan, batch.column("text"))
             n = hi - lo
             row = np.repeat(np.arange(len(n)), n)
             pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())

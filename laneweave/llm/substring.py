@@ -62,7 +62,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     document in the order of starts, so an identical repeated row removes
     nothing from itself; rows are kept one for one. An empty table gives an
     empty result. ``part_bytes`` is the text that one task indexes at a time;
-    ``tuning`` sets the two bounds of ``repeats.Plan`` for frequent triggers.
+    ``tuning`` sets other bounds of ``repeats.Plan``.
     """
     _, total = shared.text_total(docs, text_col)
     plan = repeats.Plan(window=window, gram=window // 2, words=True, within=True, parts=shared.part_count(total, part_bytes), **tuning)

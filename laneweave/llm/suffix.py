@@ -81,7 +81,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     others. Rows that share an identifier are one document to this operator:
     they remove nothing from each other and stay one for one. An empty table
     gives an empty result. ``part_bytes`` is the text that one task indexes;
-    ``tuning`` sets the two bounds of ``repeats.Plan`` for frequent triggers.
+    ``tuning`` sets other bounds of ``repeats.Plan``.
     """
     _, total = shared.text_total(docs, text_col)
     plan = repeats.Plan(window=window, gram=max(4, window // 3), words=False, within=False, parts=shared.part_count(total, part_bytes), **tuning)

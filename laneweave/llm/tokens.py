@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-from .arrays import BYTE_CODES, byte_class, prefix_sums, run_hash, text_bytes, word_spans
+from .arrays import byte_class, text_bytes, word_hashes, word_spans
 
 _BREAKS = byte_class([0x20, 0x0A])
 _ASCII_SPACE = ~byte_class([*range(0x09, 0x0E), *range(0x1C, 0x21)])
@@ -124,7 +124,7 @@ class Encoder:
             s, e, rows = _kept_space_units(data, offsets)
         else:  # this file drops all white space
             s, e, rows = word_spans(data, offsets, _BREAKS)
-        h = run_hash(prefix_sums(BYTE_CODES[data]), s, e - s)
+        h = word_hashes(data, s, e)
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > self.remember:
             self._forget()

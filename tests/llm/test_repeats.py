@@ -70,11 +70,13 @@ def brute_bytes(rows, w):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_words_as_brute_force(spark, hot):
-    tuning = {"hot_in_task": 0, "hot_in_block": 0} if hot else {}  # then every trigger counts as frequent
+TUNING = [{}, {"hot_in_task": 0, "hot_in_block": 0}, {"piece_units": 31}]  # as it is; all triggers frequent; all texts long
+
+
+@pytest.mark.parametrize("tuning", TUNING)
+def test_words_as_brute_force(spark, tuning):
     rows = corpus()
-    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5 if "piece_units" not in tuning else len(rows))
     got = remove_repeated_passages(df, respace=True, **tuning)
     assert got.columns == ["doc_id", "text", "part", "a.b", "n_words", "n_removed"]
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()), key=str)
@@ -82,11 +84,10 @@ def test_words_as_brute_force(spark, hot):
     assert sum(g[2] for g in got) > 500
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_bytes_as_brute_force(spark, hot):
-    tuning = {"hot_in_task": 0, "hot_in_block": 0} if hot else {}  # then every trigger counts as frequent
+@pytest.mark.parametrize("tuning", TUNING)
+def test_bytes_as_brute_force(spark, tuning):
     rows = corpus(2)
-    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5 if "piece_units" not in tuning else len(rows))
     got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in remove_repeated_bytes(df, **tuning).collect()]
     assert sorted(got, key=str) == brute_bytes(rows, 50)
 
@@ -100,3 +101,15 @@ def test_empty_table(spark):
 def test_untouched_text_stays(spark):
     df = spark.createDataFrame([(1, "two  words\n")], "doc_id long, text string")
     assert remove_repeated_passages(df).first().text == "two  words\n"
+
+
+def test_long_texts_hash_alike():
+    import numpy as np
+
+    from laneweave.llm import arrays
+
+    data = np.frombuffer((b"some words of a long text " * 400_000)[: 5 * arrays.SLICE_BYTES // 2 * 2], np.uint8)
+    s, e, _ = arrays.word_spans(data, np.array([0, len(data)]), arrays.SPACED)
+    assert len(data) > 2 * arrays.SLICE_BYTES
+    h = arrays.word_hashes(data, s, e)
+    assert len(np.unique(h[:-1])) == 6 and (h[:6] == h[6000:6006]).all()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, map_midpoint, node_key
+from ..sources.scratch import written
 from .proximity import SIDEWALK_M, within_distance
 from .validate import implies_sidewalk, is_routable, is_sidewalk_path, keep_segments
 
@@ -106,12 +107,13 @@ def build_graph(features: DataFrame, edits: DataFrame | None = None) -> Graph:
 def network_report(features: DataFrame, edits: DataFrame | None = None) -> DataFrame:
     """Per project: nodes, edges, dead ends, segments, dead-end segments, sidewalk coverage and length.
 
-    Degrees are counted once and give nodes, edges (half of the degrees' sum)
-    and dead ends.
+    Segments are written once, as three branches read them. Degrees are counted
+    once and give nodes, edges (half of the degrees' sum) and dead ends.
     """
     segments = road_segments(features)
     if edits is not None:
         segments = with_drawn_sidewalks(segments, edits)
+    segments = written(segments, "segments")
     degrees = node_degrees(segments)
     shape = degrees.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("nodes"), (F.sum("degree") / 2).cast("bigint").alias("edges"), F.count_if(F.col("degree") <= 1).alias("dead_ends")

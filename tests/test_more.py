@@ -63,5 +63,5 @@ def test_plans_push_down_and_avoid_nested_loops(spark, sf):
     for name in ("network_report", "network_report_drawn", "sidewalk_proximity", "nearest_segment", "nearest_vertex", "select_area", "snap_drafts"):
         text = plan(name)
         assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text, name
-    orders = [line for line in plan("network_report").splitlines() if "orders.parquet" in line][0]
+    orders = [line for line in plan("graph_edges").splitlines() if "orders.parquet" in line][0]
     assert "o_totalprice" not in orders and "IsNotNull(o_custkey)" in orders

@@ -17,10 +17,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, shingles
 from .arrays import U64, changes, mix, slices, text_bytes
 from .components import components
 
@@ -261,7 +261,12 @@ def near_duplicate_groups(marks: DataFrame, id_col: str = "doc_id", name: str =
     node = F.col(f"`{name}`") if words == 1 else F.xxhash64(*[F.col(f"`{n}`") for n in names])
     by = [F.col(f"`{n}`").alias(f"w{j}") for j, n in enumerate(names)]
     nodes = shared.written(marks.groupBy(node.alias("node"), *by).agg(F.min(F.col(f"`{id_col}`")).alias("first_id")), "nodes")
-    roots = components(links(nodes.drop("first_id"), max_bits, wide_bits=wide_bits, sure_bits=sure_bits))
+    return _grouped(marks, node, nodes, links(nodes.drop("first_id"), max_bits, wide_bits=wide_bits, sure_bits=sure_bits))
+
+
+def _grouped(marks: DataFrame, node: Column, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``marks`` with the ``component_id`` that follows from edges between their nodes."""
+    roots = components(edges)
     placed = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     # Written, so that the join by root has only exchanges under it and a large component can be split.
     named = shared.written(placed.groupBy("root").agg(F.min("first_id").alias("__component")), "components")
@@ -271,19 +276,28 @@ def near_duplicate_groups(marks: DataFrame, id_col: str = "doc_id", name: str =
     return joined.select(*rest, F.col("__component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 18, words: int = 4, wide_bits: int = 50, sure_bits: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, words: int = 4) -> DataFrame:
     """One document of every near-duplicate group, that with the smallest identifier.
 
-    Shingles of five words, and a similarity of 0.8 or more. Shingle sets that
-    are 0.8 alike differ in 15 per cent of fingerprint bits on average, 39 of
-    the 256 of four words, give or take 6; unrelated texts differ in half of
-    them. Pairs meet where one of the words' blocks agrees, which 19 of 20
-    pairs that are 0.8 alike do and 249 of 250 that are 0.9 alike. Columns stay
-    as they are. Of rows that repeat the kept identifier and text, one stays.
+    Documents link if their sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more; all such pairs are found, whatever the size of
+    the input, and no others (see ``shingles``). With ``words`` 1 they link by
+    fingerprints of 64 bits instead, as in ``near_duplicate_groups``. Columns
+    stay as they are. Of rows that repeat the kept identifier and text, one
+    stays.
     """
     keyed = docs.withColumn("__tag", shared.text_tag(text_col))
-    marks = shared.written(with_fingerprint(keyed, text_col, shingle, "__mark", keep=[id_col, "__tag"], words=words), "marks")
-    groups = near_duplicate_groups(marks, id_col, "__mark", max_bits, words, wide_bits if words > 1 else None, sure_bits)
+    if words == 1:
+        marks = shared.written(with_fingerprint(keyed, text_col, shingle, "__mark", keep=[id_col, "__tag"]), "marks")
+        groups = near_duplicate_groups(marks, id_col, "__mark", max_bits)
+    else:
+        marks = shared.written(shingles.with_shingle_marks(keyed, [id_col, "__tag"], text_col, shingle), "marks")
+        by = [F.first(c).alias(c) for c in marks.columns if c not in (id_col, "__tag", "node")]
+        first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("first")
+        nodes = shared.written(marks.groupBy("node").agg(F.min(id_col).alias("first_id"), first, *by), "nodes")
+        texts = keyed.select(F.col(id_col).alias("id"), F.col("__tag").alias("tag"), text_col)
+        edges = shingles.near_copy_links(texts, marks, nodes, text_col, shingle)
+        groups = _grouped(marks.select(id_col, "__tag", "node"), F.col("node"), nodes, edges)
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("best"))
     keep = best.select(F.col("best.id").alias("__id"), F.col("best.tag").alias("__of"))
     kept = keyed.join(keep, keyed[id_col].eqNullSafe(F.col("__id")) & (keyed["__tag"] == F.col("__of")), "left_semi")

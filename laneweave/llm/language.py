@@ -12,18 +12,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import shared
 from .arrays import lower_ascii, slices, text_bytes
 
 DIMENSIONS = 1 << 12
-#: Labelled documents per language that the machines are fitted on, about; a sample by hash.
+#: Labelled documents per language that the machines are fitted on; a sample by hash.
 FIT_PER_LANGUAGE = 500
-#: Labelled documents of all languages together that they are fitted on at most, about.
+#: Labelled documents of all languages together that they are fitted on at most, but one of each language at least.
 FIT_ALL = 16_000
-#: Languages, by number of labelled documents, that are learned at most.
-MOST_LANGUAGES = 100
 
 # Family of common ISO 639-1 codes. Any other code is a family of its own.
 FAMILIES = {
@@ -74,39 +74,63 @@ def _small(batches, rows: int = 500):
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, penalty: float = 1e-4) -> np.ndarray:
     """Linear machine for y in -1, 1: averaged subgradient steps on the hinge loss, classes weighed alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     order = np.random.default_rng(0)
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     mean, step = np.zeros_like(w), 0
     for r in range(rounds):
         for k in np.array_split(order.permutation(len(x)), max(1, len(x) // 32)):
             step += 1
             rate = 1.0 / (0.05 * (step + 20))
-            near = y[k] * (x[k] @ w) < 1
-            w = w * (1 - rate * penalty) + rate * ((y[k] * weight[k])[near] @ x[k][near]) / len(k)
+            some = np.hstack([x[k].astype(np.float32), np.ones((len(k), 1), np.float32)])
+            near = y[k] * (some @ w) < 1
+            w = (w * (1 - rate * penalty) + rate * ((y[k] * weight[k])[near] @ some[near]) / len(k)).astype(np.float32)
             if r >= rounds // 2:
                 mean += w
     return mean / max(1, step - step // 2)
 
 
+def _machines(spark: SparkSession, x: np.ndarray, languages: list[str], names: list[tuple[str, tuple[str, str] | None]]) -> list[np.ndarray]:
+    """A machine for each name, a family against the rest or a pair of its languages, each fitted in a task."""
+    if not names:
+        return []
+    codes, own = np.unique(languages, return_inverse=True)
+    kin = np.array([family_of(c) for c in codes.tolist()], object)[own]
+    held = spark.sparkContext.broadcast((x, codes[own], kin, names))
+
+    def run(batches):
+        x, own, kin, names = held.value
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                family, pair = names[i]
+                if pair is None:
+                    w = _fit(x, np.where(kin == family, 1.0, -1.0).astype(np.float32))
+                else:
+                    rows = np.flatnonzero((own == pair[0]) | (own == pair[1]))
+                    w = _fit(x[rows], np.where(own[rows] == pair[0], 1.0, -1.0).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["id", "w"])
+
+    rows = spark.range(0, len(names), 1, min(len(names), 1_000)).mapInArrow(run, "id long, w binary").collect()
+    return [np.frombuffer(r.w, np.float32) for r in sorted(rows, key=lambda r: r.id)]
+
+
 class Model:
     """Machines of families and of the pairs of languages within each."""
 
-    def __init__(self, x: np.ndarray, languages: list[str]):
+    def __init__(self, spark: SparkSession, x: np.ndarray, languages: list[str]):
         self.languages = sorted(set(languages))
-        self.families = sorted({family_of(c) for c in self.languages})
-        own = np.array(languages)
-        families = np.array([family_of(c) for c in languages])
-        one = lambda f: _fit(x, np.where(families == f, 1.0, -1.0).astype(np.float32))
+        self.inside: dict[str, list[str]] = {}
+        for c in self.languages:
+            self.inside.setdefault(family_of(c), []).append(c)
+        self.families = sorted(self.inside)
         # With a single family there is nothing to separate.
-        self.family_machines = np.stack([one(f) for f in self.families]) if len(self.families) > 1 else None
-        self.pairs: dict[str, list[tuple[str, str, np.ndarray]]] = {}
-        for f in self.families:
-            inside = [c for c in self.languages if family_of(c) == f]
-            self.pairs[f] = [
-                (a, b, _fit(x[(own == a) | (own == b)], np.where(own[(own == a) | (own == b)] == a, 1.0, -1.0).astype(np.float32))) for a, b in combinations(inside, 2)
-            ]
+        names = [(f, None) for f in self.families if len(self.families) > 1]
+        pairs = [(f, pair) for f in self.families for pair in combinations(self.inside[f], 2)]
+        machines = _machines(spark, x, languages, names + pairs)
+        self.family_machines = np.stack(machines[: len(names)]) if names else None
+        self.pairs: dict[str, list[tuple[str, str, np.ndarray]]] = {f: [] for f in self.families}
+        for (f, (a, b)), w in zip(pairs, machines[len(names) :]):
+            self.pairs[f].append((a, b, w))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -122,7 +146,7 @@ class Model:
             rows = np.flatnonzero(family == i)
             if not len(rows):
                 continue
-            inside = [c for c in self.languages if family_of(c) == f]
+            inside = self.inside[f]
             votes = np.zeros((len(rows), len(inside)))
             belief = np.zeros_like(votes)
             for a, b, w in self.pairs[f]:
@@ -147,20 +171,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_PER_LANGUAGE) -> Model | None:
     """Learn from labelled documents that are not held out.
 
-    About ``per_language`` documents of each language (fewer, where there are
-    so many languages that ``FIT_ALL`` would be passed) are taken by a hash of
-    their identifier, wherever they stand; their features, of bounded size,
-    are all that comes to the driver. Null labels, texts and identifiers teach
+    Every label is learned. ``per_language`` documents of each (fewer, but one
+    at least, where there are so many languages that ``FIT_ALL`` would be
+    passed) are taken by a hash of identifier and text, wherever they stand;
+    their features, of bounded size, are all that comes to the driver, and
+    machines are fitted in tasks. Null labels, texts and identifiers teach
     nothing. None if there is no label at all.
     """
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and text is not null and lang is not null")
-    known = known.where(~held_out("id"))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    known = known.where(~held_out("id")).select("text", "lang", F.xxhash64("id", "text").alias("hash"))
+    counts = shared.written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("low")), "languages")
+    languages = counts.count()
+    if not languages:
         return None
-    per_language = min(per_language, FIT_ALL // len(counts))
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).select("text", "lang")
+    per_language = max(1, min(per_language, FIT_ALL // languages))
+    # By hash more than are wanted, so that there are enough, and of these the first; the smallest hash always counts.
+    share = F.lit(2.0 * per_language + 50) / F.col("n")
+    most = F.when(share < 0.99, (share * float(1 << 64) - float(1 << 63)).cast("long")).otherwise(F.lit((1 << 63) - 1))
+    limits = counts.select("lang", F.greatest("low", most).alias("most"))
+    picked = known.join(F.broadcast(limits), "lang").where(F.col("hash") <= F.col("most")).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    picked = picked.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("hash"))).where(F.col("rank") <= per_language).select("text", "lang")
 
     def run(batches):
         for batch in _small(batches):
@@ -168,10 +198,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
     rows = picked.mapInArrow(run, "lang string, x binary").collect()
-    if not rows:
-        return None
     rows.sort(key=lambda r: (r.lang, r.x))
-    return Model(np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32), [r.lang for r in rows])
+    return Model(docs.sparkSession, np.stack([np.frombuffer(r.x, np.float16) for r in rows]), [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 Candidates come from a prefix-filtered join: of each set's shingles in one
 global order, rare ones first, so many are its prefix that two sets of Jaccard
 4/5 or more must share one. Sets with a common prefix shingle are discarded
-where bounds on their difference allow it: shingles are counted in 128
+where bounds on their difference allow it: shingles are counted in 512
 buckets, and by the triangle inequality the counts of two sets differ by no
 more than the sets do. No bound loses a pair. What is left clusters, and within
 a cluster the sets themselves decide.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
@@ -21,7 +22,7 @@ from .arrays import SPACED, U64, changes, lower_ascii, mix, prefix_sums, run_has
 from .components import components
 
 #: Sets link from a Jaccard similarity of 4/5 on: 9 * common >= 4 * (one + other).
-BUCKETS = 128
+BUCKETS = 512
 #: Sets of a candidate group, and shingles of a cluster, that one task compares; larger ones are dealt out as pairs of chunks.
 GROUP_LIMIT, CLUSTER_LIMIT = 8_000, 1_000_000
 #: Places of the table of common shingles, and how many of them a task and all tasks report.
@@ -64,13 +65,12 @@ def _common(docs: DataFrame, shingle: int) -> dict[int, int]:
 
 
 def with_shingle_marks(docs: DataFrame, keep: list[str], text_col: str, shingle: int) -> DataFrame:
-    """The columns in ``keep`` with node (hash of the set), size, prefix and bucket counts (w0, w1, ...)."""
+    """The columns in ``keep`` with node (hash of the set), size, prefix and bucket counts (a byte each)."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     common = np.zeros(_PLACES, np.int32)
     found = _common(inner.select("text"), shingle)
     common[list(found)] = list(found.values())
     held = docs.sparkSession.sparkContext.broadcast(common)
-    words = BUCKETS // 8
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -81,19 +81,19 @@ def with_shingle_marks(docs: DataFrame, keep: list[str], text_col: str, shingle:
             np.cumsum(mix(h), out=sums[1:])
             node = mix(sums[at[1:]] - sums[at[:-1]] + size.astype(U64)).view(np.int64)
             counts = np.bincount(row * BUCKETS + (h & U64(BUCKETS - 1)).astype(np.int64), minlength=len(size) * BUCKETS)
-            counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BUCKETS).view(np.int64)
+            counts = np.minimum(counts, 255).astype(np.uint8).tobytes()
             order = np.lexsort((h, held.value[(h >> U64(44)).astype(np.int64)], row))
             within = np.arange(len(h)) - np.repeat(at[:-1], size)
             prefix = size - (4 * size + 4) // 5 + (size > 0)
             token = h[order][within < prefix[row]].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(token))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(node), pa.array(size.astype(np.int64)), lists, *[pa.array(np.ascontiguousarray(counts[:, j])) for j in range(words)]],
-                names=["row", "node", "size", "prefix", *[f"w{j}" for j in range(words)]],
+                [batch.column("row"), pa.array(node), pa.array(size.astype(np.int64)), lists, pa.array([counts[a : a + BUCKETS] for a in range(0, len(counts), BUCKETS)], pa.binary())],
+                names=["row", "node", "size", "prefix", "counts"],
             )
 
-    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, node long, size long, prefix array<long>, " + ", ".join(f"w{j} long" for j in range(words)))
-    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "node", "size", "prefix", *[f"w{j}" for j in range(words)])
+    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, node long, size long, prefix array<long>, counts binary")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "node", "size", "prefix", "counts")
 
 
 def _merge(label: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -192,19 +192,18 @@ def _dealt(rows: DataFrame, key: str, chunks: Column, part_rows: int, n: int, co
 
 def candidates(nodes: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Edges (a, b) that hold together all sets that may link."""
-    words = [f"w{j}" for j in range(BUCKETS // 8)]
-    tokens = shared.written(nodes.select("node", F.explode("prefix").alias("token")), "tokens")
-    # Shingles that the same sets share make one group.
-    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("key")).where("n > 1")
-    groups = shared.written(groups, "groups")
-    members = shared.written(tokens.join(groups, "token").select("key", "node").distinct(), "members")
+    tokens = nodes.select("node", F.explode("prefix").alias("token"))
+    # Shingles that the same sets share make one group. In a window, so that the tokens move once and are never written.
+    of = W.partitionBy("token")
+    groups = tokens.select("node", F.count(F.lit(1)).over(of).alias("n"), F.bit_xor(F.xxhash64("node")).over(of).alias("key"))
+    members = shared.written(groups.where("n > 1").select("key", "node").distinct(), "members")
     sizes = shared.written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
     n = members.count()
-    rows = members.join(sizes, "key").join(nodes.select("node", "size", *words), "node").select("key", "node", "n", "size", *words)
+    rows = members.join(sizes, "key").join(nodes.select("node", "size", "counts"), "node").select("key", "node", "n", "size", "counts")
 
     def compare(table: pa.Table) -> np.ndarray:
-        counts = np.stack([table[w].to_numpy() for w in words], axis=1).view(np.uint8)
-        return near_counts(counts, table["size"].to_numpy())
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
+        return near_counts(counts.reshape(-1, BUCKETS), table["size"].to_numpy())
 
     return _dealt(rows, "key", F.ceil(F.col("n") / group_limit).cast("int"), 50_000, n, compare)
 

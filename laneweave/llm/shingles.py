@@ -2,11 +2,14 @@
 
 Candidates come from a prefix-filtered join: of each set's shingles in one
 global order, rare ones first, so many are its prefix that two sets of Jaccard
-4/5 or more must share one. Sets with a common prefix shingle are discarded
-where bounds on their difference allow it: shingles are counted in 512
-buckets, and by the triangle inequality the counts of two sets differ by no
-more than the sets do. No bound loses a pair. What is left clusters, and within
-a cluster the sets themselves decide.
+4/5 or more must share one. Sets with a common prefix shingle are a group, in
+which SimHash fingerprints of 256 bits are compared as ``simhash.link_group``
+does: distances to reference fingerprints discard pairs, bits decide on the
+rest. What is left clusters, and within a cluster the sets themselves decide.
+
+Sets of Jaccard 4/5 differ in 39 bits of 256 on average (48 where they have
+five members), with a deviation of 6, so a bound of ``MAX_BITS`` loses one pair
+in some ten million; unrelated sets differ in 128.
 """
 
 from __future__ import annotations
@@ -17,20 +20,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, simhash
 from .arrays import SPACED, U64, changes, lower_ascii, mix, prefix_sums, run_hash, slices, text_bytes, word_hashes, word_spans
 from .components import components
 
 #: Sets link from a Jaccard similarity of 4/5 on: 9 * common >= 4 * (one + other).
-BUCKETS = 512
+#: Bits in which fingerprints of sets that link may differ, of WORDS times 64.
+MAX_BITS, WORDS = 80, 4
 #: Sets of a candidate group, and shingles of a cluster, that one task compares; larger ones are dealt out as pairs of chunks.
-GROUP_LIMIT, CLUSTER_LIMIT = 8_000, 1_000_000
+GROUP_LIMIT, CLUSTER_LIMIT = 30_000, 1_000_000
+MARKS = [f"mark_{j}" for j in range(WORDS)]
 #: Places of the table of common shingles, and how many of them a task and all tasks report.
 _PLACES, _TASK_MOST, _MOST = 1 << 20, 2_048, 16_384
 
 
-def shingle_sets(column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, ascending, one row after the other, and the rows' offsets.
+def _shingles(column, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hash and row of every shingle, and the number of rows.
 
     Words are split at ASCII white space, A-Z lower-cased; a shorter text is one shingle.
     """
@@ -41,11 +46,39 @@ def shingle_sets(column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.maximum(n - shingle + 1, np.minimum(n, 1))
     row = np.repeat(np.arange(len(n)), count)
     start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + firsts[:-1][row]
-    h = run_hash(prefix_sums(word_hashes(data, s, e)), start, np.minimum(n, shingle)[row])
-    order = np.lexsort((h, row))
+    return run_hash(prefix_sums(word_hashes(data, s, e)), start, np.minimum(n, shingle)[row]), row, len(n)
+
+
+def shingle_sets(column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row, ascending, one row after the other, and the rows' offsets."""
+    h, row, n = _shingles(column, shingle)
+    # The row leads the sort key in place of the lowest bits; equal keys of one row are put right below.
+    shift = U64(max(1, int(n).bit_length()))
+    order = np.argsort((row.astype(U64) << (U64(64) - shift)) | (h >> shift))
     row, h = row[order], h[order]
+    late = np.flatnonzero((h[1:] < h[:-1]) & (row[1:] == row[:-1]))
+    if len(late):
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
     new = changes(row, h)
-    return h[new], np.searchsorted(row[new], np.arange(len(n) + 1))
+    return h[new], np.searchsorted(row[new], np.arange(n + 1))
+
+
+def _prefixes(h: np.ndarray, at: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each set's prefix and their number: uncommon ones by hash, then common ones by ``often`` and hash."""
+    size = np.diff(at)
+    prefix = size - (4 * size + 4) // 5 + (size > 0)
+    row = np.repeat(np.arange(len(size)), size)
+    rare = often == 0
+    before = np.cumsum(rare) - rare
+    nth = before - np.append(before, rare.sum())[at[:-1]][row]
+    take = rare & (nth < prefix[row])
+    short = np.flatnonzero(np.bincount(row[take], minlength=len(size)) < prefix)
+    for i in short.tolist():
+        own = slice(at[i], at[i + 1])
+        take[own] = False
+        take[at[i] + np.lexsort((h[own], often[own]))[: prefix[i]]] = True
+    return h[take], prefix
 
 
 def _common(docs: DataFrame, shingle: int) -> dict[int, int]:
@@ -54,7 +87,7 @@ def _common(docs: DataFrame, shingle: int) -> dict[int, int]:
     def run(batches):
         total = np.zeros(_PLACES, np.int64)
         for batch in slices(batches, "text"):
-            h, _ = shingle_sets(batch.column("text"), shingle)
+            h, _, _ = _shingles(batch.column("text"), shingle)
             total += np.bincount((h >> U64(44)).astype(np.int64), minlength=_PLACES)
         most = np.argsort(-total, kind="stable")[:_TASK_MOST]
         most = most[total[most] > 8]
@@ -65,7 +98,7 @@ def _common(docs: DataFrame, shingle: int) -> dict[int, int]:
 
 
 def with_shingle_marks(docs: DataFrame, keep: list[str], text_col: str, shingle: int) -> DataFrame:
-    """The columns in ``keep`` with node (hash of the set), size, prefix and bucket counts (a byte each)."""
+    """The columns in ``keep`` with node (hash of the set), size, prefix and the fingerprint's words."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     common = np.zeros(_PLACES, np.int32)
     found = _common(inner.select("text"), shingle)
@@ -76,24 +109,18 @@ def with_shingle_marks(docs: DataFrame, keep: list[str], text_col: str, shingle:
         for batch in slices(batches, "text"):
             h, at = shingle_sets(batch.column("text"), shingle)
             size = np.diff(at)
-            row = np.repeat(np.arange(len(size)), size)
             sums = np.zeros(len(h) + 1, U64)
             np.cumsum(mix(h), out=sums[1:])
             node = mix(sums[at[1:]] - sums[at[:-1]] + size.astype(U64)).view(np.int64)
-            counts = np.bincount(row * BUCKETS + (h & U64(BUCKETS - 1)).astype(np.int64), minlength=len(size) * BUCKETS)
-            counts = np.minimum(counts, 255).astype(np.uint8).tobytes()
-            order = np.lexsort((h, held.value[(h >> U64(44)).astype(np.int64)], row))
-            within = np.arange(len(h)) - np.repeat(at[:-1], size)
-            prefix = size - (4 * size + 4) // 5 + (size > 0)
-            token = h[order][within < prefix[row]].view(np.int64)
+            marks = simhash.votes(mix(h), size, WORDS).view(np.int64)
+            token, prefix = _prefixes(h, at, held.value[(h >> U64(44)).astype(np.int64)])
+            token = token.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(token))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(node), pa.array(size.astype(np.int64)), lists, pa.array([counts[a : a + BUCKETS] for a in range(0, len(counts), BUCKETS)], pa.binary())],
-                names=["row", "node", "size", "prefix", "counts"],
-            )
+            columns = [batch.column("row"), pa.array(node), pa.array(size.astype(np.int64)), lists, *[pa.array(np.ascontiguousarray(marks[:, j])) for j in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "node", "size", "prefix", *MARKS])
 
-    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, node long, size long, prefix array<long>, counts binary")
-    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "node", "size", "prefix", "counts")
+    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, node long, size long, prefix array<long>, " + ", ".join(f"{m} long" for m in MARKS))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "node", "size", "prefix", *MARKS)
 
 
 def _merge(label: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -122,20 +149,6 @@ def _settled(n: int, near) -> np.ndarray:
     return label
 
 
-def near_counts(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Components of the rows whose sizes and bucket counts do not rule a link out."""
-    size = size.astype(np.int64)
-    counts = counts.astype(np.int16)
-    coarse = counts.reshape(len(counts), 8, -1).sum(axis=2)
-
-    def near(i: int) -> np.ndarray:
-        most = size + size[i]
-        at = np.flatnonzero((5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i])) & (9 * np.abs(coarse - coarse[i]).sum(axis=1) <= most))
-        return at[9 * np.abs(counts[at] - counts[i]).sum(axis=1) <= most[at]]
-
-    return _settled(len(size), near)
-
-
 def near_sets(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Components of the sets that link, by their common shingles."""
     n, size = len(offsets) - 1, np.diff(offsets)
@@ -199,11 +212,11 @@ def candidates(nodes: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     members = shared.written(groups.where("n > 1").select("key", "node").distinct(), "members")
     sizes = shared.written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
     n = members.count()
-    rows = members.join(sizes, "key").join(nodes.select("node", "size", "counts"), "node").select("key", "node", "n", "size", "counts")
+    rows = members.join(sizes, "key").join(nodes.select("node", "size", *MARKS), "node").select("key", "node", "n", "size", *MARKS)
 
     def compare(table: pa.Table) -> np.ndarray:
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
-        return near_counts(counts.reshape(-1, BUCKETS), table["size"].to_numpy())
+        words = np.stack([table[m].to_numpy() for m in MARKS], axis=1).view(U64)
+        return simhash.link_group(words, MAX_BITS, table["size"].to_numpy())
 
     return _dealt(rows, "key", F.ceil(F.col("n") / group_limit).cast("int"), 50_000, n, compare)
 
@@ -227,8 +240,8 @@ def verified(texts: DataFrame, clusters: DataFrame, shingle: int, cluster_limit:
     return _dealt(rows, "root", F.ceil(F.col("shingles") / cluster_limit).cast("int"), 4_000_000, int(total), compare)
 
 
-def near_copy_links(docs: DataFrame, marks: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Edges (a, b) between the nodes of ``marks`` whose sets have a Jaccard similarity of 4/5 or more.
+def near_copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Edges (a, b) between the nodes whose sets have a Jaccard similarity of 4/5 or more.
 
     ``nodes`` has every node once with ``first`` (id and tag of one of its
     documents); ``docs`` has id, tag and the text.

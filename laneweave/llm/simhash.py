@@ -30,11 +30,32 @@ PIVOTS = mix(np.arange(101, 109, dtype=U64))
 GROUP_LIMIT = 60_000
 
 
-def _fingerprints(texts: list[bytes], shingle: int, words: int = 1) -> np.ndarray:
-    """Majority vote of the shingles' XXH64 bits, for many texts at once: a row for each.
+def votes(hashes: np.ndarray, n: np.ndarray, words: int = 1) -> np.ndarray:
+    """Majority vote of hash bits for many texts at once: ``words`` times 64 bits for each.
 
-    Every further word votes on bits that are mixed anew from the XXH64.
+    ``n`` hashes belong to each text, one text after the other; none leaves 0.
+    Every further word votes on bits that are mixed anew from the hash.
     """
+    out = np.zeros((len(n), words), U64)
+    full = n > 0
+    if not full.any():
+        return out
+    n = n[full].astype(np.int64)
+    # Eight counters of a byte each in a word: runs of 255 at most, then their sums.
+    runs = -(-n // 255)
+    within = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    at = np.repeat(np.cumsum(n) - n, runs) + within * 255
+    for j in range(words):
+        h = mix(hashes + U64(j * 0x9E6C63D0876A9A99 & 0xFFFFFFFFFFFFFFFF)) if j else hashes
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(U64)
+        sums = np.add.reduceat(bits, at, axis=0).view(np.uint8).astype(np.uint32)
+        sums = np.add.reduceat(sums, np.cumsum(runs) - runs, axis=0)
+        out[full, j] = np.packbits((2 * sums > n[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def _fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
+    """Majority vote of the shingles' XXH64 bits; a long text is hashed and counted piece by piece."""
     hashes, counts = [], []
     digest = xxhash.xxh64_intdigest
     for text in texts:
@@ -49,49 +70,29 @@ def _fingerprints(texts: list[bytes], shingle: int, words: int = 1) -> np.ndarra
             continue
         starts = [0, *accumulate(len(w) + 1 for w in split)]
         hashes += [digest(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])]
-    out = np.zeros((len(texts), words), U64)
-    n = np.array(counts, np.int64)
-    full = n > 0
-    if not full.any():
-        return out
-    n = n[full]
-    # Eight counters of a byte each in a word: runs of 255 at most, then their sums.
-    runs = -(-n // 255)
-    within = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    at = np.repeat(np.cumsum(n) - n, runs) + within * 255
-    hashes = np.array(hashes, U64)
-    for j in range(words):
-        h = mix(hashes + U64(j * 0x9E6C63D0876A9A99 & 0xFFFFFFFFFFFFFFFF)) if j else hashes
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(U64)
-        sums = np.add.reduceat(bits, at, axis=0).view(np.uint8).astype(np.uint32)
-        sums = np.add.reduceat(sums, np.cumsum(runs) - runs, axis=0)
-        votes = (2 * sums > n[:, None]).astype(np.uint8)
-        out[full, j] = np.packbits(votes, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return votes(np.array(hashes, U64), np.array(counts, np.int64))[:, 0]
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 4, name: str = "fingerprint", keep: list[str] | None = None, words: int = 1) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 4, name: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (default: all) and a long of the 64 fingerprint bits.
 
     Words are split at ASCII white space, A-Z lower-cased; a shingle is
     ``shingle`` words joined by one space, repeats counted; a shorter text is
     one shingle. Null texts and texts without a word get 0. A bit is set if it
-    is set in more than half of the shingles' XXH64 (seed 42). With ``words``
-    over 1, longs of 64 further bits follow as name_1, name_2 and so on.
+    is set in more than half of the shingles' XXH64 (seed 42).
     """
-    names = [name, *[f"{name}_{j}" for j in range(1, words)]]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     inner = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
         for batch in slices(batches, "text"):
             data, offsets = text_bytes(batch.column("text"))
             data = data.tobytes()
-            got = _fingerprints([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], shingle, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(np.ascontiguousarray(got[:, j])) for j in range(words)]], names=["row", *[f"w{j}" for j in range(words)]])
+            got = _fingerprints([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], shingle)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(got.view(np.int64))], names=["row", "mark"])
 
-    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, " + ", ".join(f"w{j} long" for j in range(words)))
-    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"w{j}").alias(n) for j, n in enumerate(names)])
+    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, mark long")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], F.col("mark").alias(name))
 
 
 def _tables(max_bits: int, n: int, group: int = 4096, most: int = 100) -> list[int]:
@@ -135,42 +136,48 @@ def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 class _Group:
-    """Fingerprints of a group with the pivot table of the word that brought them together."""
+    """Fingerprints of a group with their distances to reference fingerprints.
+
+    Fixed references serve fingerprints of 64 bits. The bounds of longer ones
+    are too wide for these, as all distances to a random reference are nearly
+    alike; members of the group are their references, to which one cluster is
+    near and the others are far.
+    """
 
-    def __init__(self, words: np.ndarray, lead: int, max_bits: int, wide_bits: int | None):
-        self.words, self.x = words, np.ascontiguousarray(words[:, lead])
-        self.max_bits, self.wide_bits = max_bits, wide_bits
-        self.table = np.bitwise_count(self.x[:, None] ^ PIVOTS[None, :])
+    def __init__(self, words: np.ndarray, max_bits: int, sizes: np.ndarray | None = None):
+        self.words, self.max_bits, self.sizes = words, max_bits, sizes
+        references = PIVOTS[:, None] if words.shape[1] == 1 else words[np.unique(np.linspace(0, len(words) - 1, len(PIVOTS)).astype(int))]
+        self.table = np.stack([np.bitwise_count(words ^ r).sum(axis=1, dtype=np.int16) for r in references], axis=1)
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of the pairs link, bit by bit."""
-        ok = np.bitwise_count(self.x[i] ^ self.x[j]) <= self.max_bits
-        if self.wide_bits is not None:
-            at = np.flatnonzero(ok)
-            ok[at] = np.bitwise_count(self.words[i[at]] ^ self.words[j[at]]).sum(axis=1) <= self.wide_bits
+        """Which of the pairs link, bit by bit; sizes must be within 4/5 of each other."""
+        ok = np.bitwise_count(self.words[i] ^ self.words[j]).sum(axis=1, dtype=np.int16) <= self.max_bits
+        if self.sizes is not None:
+            a, b = self.sizes[i], self.sizes[j]
+            ok &= 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
         return ok
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Linked pairs between two runs of rows: pivot tables first, then the survivors' bits."""
         ta, tb = self.table[a], self.table[b]
         pairs = np.ones((len(a), len(b)), bool)
-        span = np.uint8(2 * self.max_bits)
         for c in range(ta.shape[1]):
-            pairs &= ((ta[:, c] + np.uint8(self.max_bits))[:, None] - tb[None, :, c]) <= span
+            pairs &= np.abs(ta[:, c, None] - tb[None, :, c]) <= self.max_bits
         at = np.flatnonzero(pairs)
         i, j = a[at // len(b)], b[at % len(b)]
         ok = self.near(i, j)
         return i[ok], j[ok]
 
 
-def link_group(words: np.ndarray, max_bits: int, wide_bits: int | None = None, lead: int = 0, tile: int = 1024) -> np.ndarray:
+def link_group(words: np.ndarray, max_bits: int, sizes: np.ndarray | None = None, tile: int = 1024) -> np.ndarray:
     """Component label (a row number) of each fingerprint of a group."""
     n = len(words)
-    group = _Group(words, lead, max_bits, wide_bits)
+    group = _Group(words, max_bits, sizes)
     label, every = np.arange(n), np.arange(n)
     if n <= tile:
         return _settle(label, *group.linked(every, every))
     # Dense clusters first: what lies within reach of one member needs no pair of its own.
+    # These rounds compare every row with one, so the tables have nothing to discard yet.
     for _ in range(32):
         own = np.flatnonzero(label == every)
         seed = np.full(n, own[len(own) // 2])
@@ -186,47 +193,41 @@ def link_group(words: np.ndarray, max_bits: int, wide_bits: int | None = None, l
     return label
 
 
-def links(nodes: DataFrame, max_bits: int, group_limit: int = GROUP_LIMIT, wide_bits: int | None = None, sure_bits: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Edges (a, b) that join the ids of all fingerprints that link.
 
-    ``nodes`` has a long id first, then the words of its fingerprint. Two link
-    if one of their words differs in at most ``max_bits`` bits and, with
-    ``wide_bits``, all words together in at most that many. Links of up to
-    ``sure_bits`` (default: ``max_bits``) in a word are all found; farther ones
-    where a block agrees. Each group yields a star per component, never all its
-    pairs.
+    ``nodes`` has a long id first, then the fingerprint. Two link if they
+    differ in at most ``max_bits`` bits. Each group yields a star per
+    component, never all its pairs.
     """
-    node_id, *names = nodes.columns
-    words = len(names)
-    plain = nodes.select(F.col(node_id).alias("id"), *[F.col(c).alias(f"w{j}") for j, c in enumerate(names)])
-    columns = plain.columns
+    node_id, name = nodes.columns
+    plain = nodes.select(F.col(node_id).alias("id"), F.col(name).alias("w"))
     n = plain.count()
-    masks = [m - (1 << 64) if m >> 63 else m for m in _tables(max_bits if sure_bits is None else sure_bits, n)]
-    tables = F.array(*[F.struct(F.lit(j * len(masks) + i).alias("t"), F.col(f"w{j}").bitwiseAND(F.lit(m)).alias("k")) for j in range(words) for i, m in enumerate(masks)])
-    dealt = plain.select(*columns, F.explode(tables).alias("g")).select(*columns, "g.t", "g.k")
+    masks = [m - (1 << 64) if m >> 63 else m for m in _tables(max_bits, n)]
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("w").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
+    dealt = plain.select("id", "w", F.explode(tables).alias("g")).select("id", "w", "g.t", "g.k")
     large = dealt.groupBy("t", "k").count().where(F.col("count") > group_limit).select("t", "k", F.ceil(F.col("count") / group_limit).cast("int").alias("chunks"))
     spread = dealt.join(large, ["t", "k"], "left").withColumn("own", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
     # A chunk of a large group meets each of the others once.
     pairs = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
     )
-    spread = spread.select(*columns, "t", "k", F.explode(pairs).alias("c")).select(*columns, "t", "k", "c.i", "c.j")
-    parts = shared.part_count(n * len(masks) * words, 150_000)
-    keyed = spread.select(F.pmod(F.xxhash64("t", "k", "i", "j"), F.lit(parts)).cast("int").alias("part"), *columns, "t", "k", "i", "j")
-    per_word = len(masks)
+    spread = spread.select("id", "w", "t", "k", F.explode(pairs).alias("c")).select("id", "w", "t", "k", "c.i", "c.j")
+    parts = shared.part_count(n * len(masks), 150_000)
+    keyed = spread.select(F.pmod(F.xxhash64("t", "k", "i", "j"), F.lit(parts)).cast("int").alias("part"), "id", "w", "t", "k", "i", "j")
 
     def run(batches):
         held = None
 
         def edges(rows):
-            t, k, i, j, ids, *w = rows
+            t, k, i, j, ids, w = rows
             cut = np.flatnonzero(changes(t, k, i, j))
-            matrix = np.stack(w, axis=1).view(U64)
+            matrix = w.view(U64)[:, None]
             out = []
             for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
                 if hi - lo > 1:
                     own = ids[lo:hi]
-                    label = link_group(matrix[lo:hi], max_bits, wide_bits, int(t[lo]) // per_word)
+                    label = link_group(matrix[lo:hi], max_bits)
                     moved = np.flatnonzero(label != np.arange(len(own)))
                     if len(moved):
                         out.append((own[moved], own[label[moved]]))
@@ -235,7 +236,7 @@ def links(nodes: DataFrame, max_bits: int, group_limit: int = GROUP_LIMIT, wide_
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:  # sorted by group: the last one may still grow
-            rows = [batch.column(c).to_numpy() for c in ("t", "k", "i", "j", *columns)]
+            rows = [batch.column(c).to_numpy() for c in ("t", "k", "i", "j", "id", "w")]
             held = rows if held is None else [np.concatenate(p) for p in zip(held, rows)]
             last = np.flatnonzero(changes(*held[:4]))[-1]
             if last:
@@ -247,24 +248,21 @@ def links(nodes: DataFrame, max_bits: int, group_limit: int = GROUP_LIMIT, wide_
     return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("t", "k", "i", "j", "id").mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_groups(marks: DataFrame, id_col: str = "doc_id", name: str = "fingerprint", max_bits: int = 4, words: int = 1, wide_bits: int | None = None, sure_bits: int | None = None) -> DataFrame:
+def near_duplicate_groups(marks: DataFrame, id_col: str = "doc_id", name: str = "fingerprint", max_bits: int = 4) -> DataFrame:
     """``marks`` (identifier and fingerprint of every row) with ``component_id``.
 
-    Two rows link if their fingerprints differ in at most ``max_bits`` bits
-    (see ``links`` for fingerprints of several words); the component's id is
-    the smallest identifier in reach. Rows with equal fingerprints are one
-    node, so copies are never paired. Null identifiers name no component: one
-    of only such rows has a null id. Repeated rows stay one for one; an empty
-    table gives an empty result.
+    Two rows link if their fingerprints differ in at most ``max_bits`` bits;
+    the component's id is the smallest identifier in reach. Rows with equal
+    fingerprints are one node, so copies are never paired. Null identifiers
+    name no component: one of only such rows has a null id. Repeated rows stay
+    one for one; an empty table gives an empty result.
     """
-    names = [name, *[f"{name}_{j}" for j in range(1, words)]]
-    node = F.col(f"`{name}`") if words == 1 else F.xxhash64(*[F.col(f"`{n}`") for n in names])
-    by = [F.col(f"`{n}`").alias(f"w{j}") for j, n in enumerate(names)]
-    nodes = shared.written(marks.groupBy(node.alias("node"), *by).agg(F.min(F.col(f"`{id_col}`")).alias("first_id")), "nodes")
-    return _grouped(marks, node, nodes, links(nodes.drop("first_id"), max_bits, wide_bits=wide_bits, sure_bits=sure_bits))
+    node = F.col(f"`{name}`")
+    nodes = shared.written(marks.groupBy(node.alias("node")).agg(F.min(F.col(f"`{id_col}`")).alias("first_id")), "nodes")
+    return grouped(marks, node, nodes, links(nodes.select("node", F.col("node").alias("mark")), max_bits))
 
 
-def _grouped(marks: DataFrame, node: Column, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def grouped(marks: DataFrame, node: Column, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``marks`` with the ``component_id`` that follows from edges between their nodes."""
     roots = components(edges)
     placed = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
@@ -276,28 +274,26 @@ def _grouped(marks: DataFrame, node: Column, nodes: DataFrame, edges: DataFrame)
     return joined.select(*rest, F.col("__component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, words: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One document of every near-duplicate group, that with the smallest identifier.
 
     Documents link if their sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more; all such pairs are found, whatever the size of
-    the input, and no others (see ``shingles``). With ``words`` 1 they link by
-    fingerprints of 64 bits instead, as in ``near_duplicate_groups``. Columns
-    stay as they are. Of rows that repeat the kept identifier and text, one
-    stays.
+    similarity of 0.8 or more: pairs with a rare shingle in common whose
+    fingerprints of 256 bits are near each other, by reference fingerprints and
+    then bit by bit, and whose sets are verified (see ``shingles``). Columns
+    stay as they are, clashing names too. Texts that are null, empty or without
+    a word are alike. A null identifier comes last in its group. Of rows that
+    repeat the kept identifier and text, one stays. An empty table gives an
+    empty result.
     """
     keyed = docs.withColumn("__tag", shared.text_tag(text_col))
-    if words == 1:
-        marks = shared.written(with_fingerprint(keyed, text_col, shingle, "__mark", keep=[id_col, "__tag"]), "marks")
-        groups = near_duplicate_groups(marks, id_col, "__mark", max_bits)
-    else:
-        marks = shared.written(shingles.with_shingle_marks(keyed, [id_col, "__tag"], text_col, shingle), "marks")
-        by = [F.first(c).alias(c) for c in marks.columns if c not in (id_col, "__tag", "node")]
-        first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("first")
-        nodes = shared.written(marks.groupBy("node").agg(F.min(id_col).alias("first_id"), first, *by), "nodes")
-        texts = keyed.select(F.col(id_col).alias("id"), F.col("__tag").alias("tag"), text_col)
-        edges = shingles.near_copy_links(texts, marks, nodes, text_col, shingle)
-        groups = _grouped(marks.select(id_col, "__tag", "node"), F.col("node"), nodes, edges)
+    marks = shared.written(shingles.with_shingle_marks(keyed, [id_col, "__tag"], text_col, shingle), "marks")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("first")
+    by = [F.first(c).alias(c) for c in marks.columns if c not in (id_col, "__tag", "node")]
+    nodes = shared.written(marks.groupBy("node").agg(F.min(id_col).alias("first_id"), first, *by), "nodes")
+    texts = keyed.select(F.col(id_col).alias("id"), F.col("__tag").alias("tag"), text_col)
+    edges = shingles.near_copy_links(texts, nodes, text_col, shingle)
+    groups = grouped(marks.select(id_col, "__tag", "node"), F.col("node"), nodes, edges)
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("best"))
     keep = best.select(F.col("best.id").alias("__id"), F.col("best.tag").alias("__of"))
     kept = keyed.join(keep, keyed[id_col].eqNullSafe(F.col("__id")) & (keyed["__tag"] == F.col("__of")), "left_semi")

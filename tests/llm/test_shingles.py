@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from laneweave.llm import shingles
-from laneweave.llm.simhash import drop_near_duplicates
+from laneweave.llm.simhash import drop_near_duplicates, link_group
 
 
 def texts(seed=3):
@@ -56,7 +56,8 @@ def test_prefixes_and_bounds_lose_no_pair(spark):
     for i, j in pairs:
         a, b = rows[i], rows[j]
         assert set(a.prefix) & set(b.prefix)
-        label = shingles.near_counts(np.array([list(a.counts), list(b.counts)], np.uint8), np.array([a.size, b.size]))
+        words = np.array([[r[m] for m in shingles.MARKS] for r in (a, b)]).view(np.uint64)
+        label = link_group(words, shingles.MAX_BITS, np.array([a.size, b.size]))
         assert label[0] == label[1]
 
 

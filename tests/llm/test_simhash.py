@@ -93,16 +93,6 @@ def test_large_group_in_tiles():
     assert len({int(v) for v in link_group(x[:, None], 4, tile=128)}) == len({int(v) for v in link_group(x[:, None], 4, tile=4096)}) == 40
 
 
-def test_drop_keeps_one_of_each(spark):
-    data = rows()
-    df = spark.createDataFrame(data, SCHEMA)
-    got = drop_near_duplicates(df, max_bits=4, words=1)
-    assert got.columns == df.columns
-    marks = [(d, brute_fingerprint(t, 5)) for d, t, *_ in data]
-    want = {c for _, c in brute_groups(marks, 4)}
-    assert sorted([r.doc_id for r in got.collect()], key=str) == sorted(want, key=str)
-
-
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicate_groups(with_fingerprint(df)).count() == 0

@@ -8,6 +8,8 @@ Python loop runs per word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -127,6 +129,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Python workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batches, column: str, limit: int = SLICE_BYTES):
     """Cut record batches so that a column's bytes stay within ``limit``."""
     for batch in batches:
@@ -138,6 +148,7 @@ def slices(batches, column: str, limit: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path, shared_dir, written
 
-__all__ = ["NULL_ID", "PACKED", "by_part", "fresh_path", "pack", "packed_batch", "part_count", "shared_dir", "text_tag", "text_total", "unpack", "unpack_all", "written"]
+__all__ = ["NULL_ID", "PACKED", "by_part", "freeze", "fresh_path", "pack", "packed_batch", "part_count", "shared_dir", "text_tag", "text_total", "thaw", "unpack", "unpack_all", "written"]
 
 #: A null identifier sorts before every other one.
 NULL_ID = -(1 << 63)
@@ -51,6 +51,22 @@ def unpack_all(payloads, *types: str) -> list[np.ndarray]:
     return [np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in enumerate(types)]
 
 
+def freeze(*columns: np.ndarray) -> bytes:
+    """Arrays of any lengths, one after the other, compressed."""
+    raw = [np.ascontiguousarray(c).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(c) for c in columns], "<u8").tobytes() + b"".join(raw))
+
+
+def thaw(payload: bytes, *types: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    lengths = np.frombuffer(raw, "<u8", len(types)).tolist()
+    out, at = [], 8 * len(types)
+    for t, n in zip(types, lengths):
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
+
+
 def by_part(part: np.ndarray, *columns: np.ndarray):
     """(part, payload) for every part that occurs, rows in their order."""
     order = np.argsort(part, kind="stable")

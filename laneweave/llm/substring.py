@@ -1,13 +1,13 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The corpus is its own reference. It is indexed in blocks, one per range of
-trigger hashes, and every document is parsed into factors against every block
-that can hold a match: a phrase that stands in a block as a whole is one
-factor, and what is left is factored greedily against the block's earliest
-occurrences. Window starts within a factor's last words, which straddle its
-boundary, are looked up as starts of their own, so no match that begins inside
-one factor and ends in the next is lost. Factors of ``window`` words or more
-become duplicate spans.
+The corpus is its own reference. Its distinct passages lie in blocks, one per
+range of trigger hashes, each indexed by the hash chains of its runs of
+``window`` words. Passages are parsed greedily against every block that can
+hold a match of ``window`` words: at a position the index gives the earliest
+such run, the words decide, and the match is extended as far as the source
+goes on. This factor becomes a duplicate span. Parsing goes on at the first
+start that the factor does not hold as a whole, ``window - 1`` words before its
+end, so windows that straddle the boundary of two factors are tried too.
 """
 
 from __future__ import annotations
@@ -17,33 +17,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats, shared
-from .arrays import changes, gram_hashes, prefix_sums
-
-
-def _factor(plan: repeats.Plan, codes, trigger, doc, start, count):
-    """Greedy factors of a block's phrases against its earliest occurrences."""
-    w = plan.window
-    size = count + w - 1
-    base = np.cumsum(size) - size
-    row = np.repeat(np.arange(len(count)), count)
-    at = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    own = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    h = gram_hashes(prefix_sums(codes), w)[at]
-    d = doc[row]
-    order = np.lexsort((own, d, h))
-    first = changes(h[order])
-    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    source = np.empty(len(h), np.int64)
-    source[order] = lead
-    hit = (d[source] < d) | ((d[source] == d) & (own[source] < own))
-    for j in range(w):  # the words themselves decide, not the window's hash
-        hit &= codes[at + j] == codes[at[source] + j]
-    # A factor goes on while its source goes on; else a new one begins.
-    goes_on = np.zeros(len(h), bool)
-    goes_on[1:] = hit[1:] & hit[:-1] & (row[1:] == row[:-1]) & (source[1:] == source[:-1] + 1)
-    begin = np.flatnonzero(hit & ~goes_on)
-    end = np.flatnonzero(hit & ~np.append(goes_on[1:], False))
-    return row[begin], own[begin], own[end]
+from .arrays import changes, prefix_sums, run_hash, word_hashes
+
+
+class ReferenceBlock:
+    """Passages of a block, and the index of their runs of ``window`` words."""
+
+    def __init__(self, data, edge, base, count, doc, start, window: int):
+        self.data, self.edge, self.base, self.count, self.doc, self.start, self.window = data, edge, base, count, doc, start, window
+        self.sums = prefix_sums(word_hashes(data, edge[:-1], edge[1:] - 1))
+        row = np.repeat(np.arange(len(count)), count)
+        own = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        h = run_hash(self.sums, base[row] + own, window)
+        # Chains of equal hashes, the earliest start at the head of each.
+        order = np.lexsort((start[row] + own, doc[row], h))
+        head = order[changes(h[order])]
+        self.hash, self.head_row, self.head_own = h[head], row[head], own[head]
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, first word and length of every factor of ``window`` words or more with an earlier source."""
+        w = self.window
+        size = self.count + w - 1
+        out = []
+        row, at = np.arange(len(self.count)), np.zeros(len(self.count), np.int64)
+        while len(row):  # all passages take their next step together
+            place = self.base[row] + at
+            h = run_hash(self.sums, place, w)
+            k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            source, s_at = self.head_row[k], self.head_own[k]
+            s_doc, s_start = self.doc[source], self.start[source] + s_at
+            hit = (self.hash[k] == h) & ((s_doc < self.doc[row]) | ((s_doc == self.doc[row]) & (s_start < self.start[row] + at)))
+            hit[hit] = self._same(place[hit], (self.base[source] + s_at)[hit], np.full(int(hit.sum()), w))
+            step = np.ones(len(row), np.int64)
+            if hit.any():
+                a, b = place[hit], (self.base[source] + s_at)[hit]
+                most = np.minimum(size[row[hit]] - at[hit], size[source[hit]] - s_at[hit])
+                length = self._extended(a, b, most)
+                out.append((row[hit], at[hit], length))
+                step[hit] = length - w + 1
+            at = at + step
+            left = at < self.count[row]
+            row, at = row[left], at[left]
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def _same(self, a, b, n):
+        """Whether the n words from a are those from b."""
+        bytes_a, bytes_b = self.edge[a + n] - self.edge[a], self.edge[b + n] - self.edge[b]
+        out = bytes_a == bytes_b
+        out[out] = repeats.equal_bytes(self.data, self.edge[a[out]], self.edge[b[out]], bytes_a[out])
+        return out
+
+    def _extended(self, a, b, most):
+        """Words from a and b that agree, ``window`` at least, ``most`` at most: by halving over hashes, then the words."""
+        low, high = np.full(len(a), self.window), most.copy()
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            ok = run_hash(self.sums, a, middle) == run_hash(self.sums, b, middle)
+            low, high = np.where(ok, middle, low), np.where(ok, high, middle - 1)
+        return np.where(self._same(a, b, low), low, self.window)
+
+
+def _factor(plan: repeats.Plan, data, edge, base, count, doc, start):
+    piece, first, length = ReferenceBlock(data, edge, base, count, doc, start, plan.window).factors()
+    return piece, first, first + length - plan.window
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, respace: bool = False, part_bytes: int = 18 << 20, **tuning) -> DataFrame:
@@ -65,7 +101,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     ``tuning`` sets other bounds of ``repeats.Plan``.
     """
     _, total = shared.text_total(docs, text_col)
-    plan = repeats.Plan(window=window, gram=window // 2, words=True, within=True, parts=shared.part_count(total, part_bytes), **tuning)
+    plan = repeats.Plan(window=window, gram=window // 2, words=True, within=True, parts=shared.part_count(total, part_bytes), **{"piece": 48, **tuning})
     made = ("n_words", "n_removed", "kept_text")
     rest = [c for c in docs.columns if c != text_col and c not in made]
     inner = docs.select(

@@ -1,11 +1,17 @@
 """Suffix-array dedup over bytes by prefix-free parsing.
 
-Rolling-hash triggers cut the corpus into phrases (``arrays.phrases``): the
-distinct phrases are the dictionary, their occurrences the parse. Repetitive
-text collapses here, since a phrase that occurs again is settled by the parse
-alone. Only dictionary phrases that share a trigger with another one can hold
-further repeats; block by block, their suffixes are put into corpus order and
-neighbours that agree in ``window`` bytes are repeats.
+Rolling-hash triggers cut the corpus into phrases. The distinct phrases are the
+dictionary and their places, in the order of documents, are the parse. A phrase
+goes on for ``window - 1`` bytes after its last start, so no start's first
+``window`` bytes leave its phrase: the phrases' suffixes of that length form a
+prefix-free set, and corpus order is that of the dictionary's suffix array, with
+the parse's order deciding between equal ones. Repetitive text collapses here,
+since a phrase that stands earlier in the parse is settled as a whole.
+
+The dictionary's suffixes are sorted block by block (a block has all suffixes
+with one range of triggers) to the depth of ``window`` bytes, which is all that
+repeats of that length depend on. Neighbours in corpus order that agree so far
+are repeats; the first of them is the earliest document.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from .arrays import changes
 
 
 def _order(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """Rank of the ``window`` bytes from every ``at``: equal bytes, equal rank.
+    """Rank of the ``window`` bytes from every ``at`` among all of them: equal bytes, equal rank.
 
     The suffix array of the dictionary, as deep as ``window``: eight bytes at a
     time, going on only with suffixes that still have an equal.
@@ -47,18 +53,17 @@ def _order(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return rank
 
 
-def _corpus_order(plan: repeats.Plan, data, trigger, doc, start, count):
-    w = plan.window
-    size = count + w - 1
-    base = np.cumsum(size) - size
+def _corpus_order(plan: repeats.Plan, data, edge, base, count, doc, start):
+    """Suffixes of a block's phrases in corpus order; those with an equal neighbour of an earlier document are repeats."""
     row = np.repeat(np.arange(len(count)), count)
     shift = np.cumsum(count) - count
-    at = np.repeat(base - shift, count) + np.arange(count.sum())
-    own = np.repeat(start - shift, count) + np.arange(count.sum())
-    rank = _order(data, at, w)
-    least = np.full(len(at), np.iinfo(np.int64).max)
-    np.minimum.at(least, rank, doc[row])
-    hit = least[rank] < doc[row]
+    own = np.arange(count.sum()) - shift[row]
+    rank = _order(data, base[row] + own, plan.window)
+    suffixes = np.lexsort((start[row] + own, doc[row], rank))
+    first = changes(rank[suffixes])
+    lead = suffixes[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    hit = np.zeros(len(row), bool)
+    hit[suffixes] = doc[row[lead]] < doc[row[suffixes]]
     goes_on = np.zeros(len(hit), bool)
     goes_on[1:] = hit[1:] & hit[:-1] & (row[1:] == row[:-1])
     begin = np.flatnonzero(hit & ~goes_on)
@@ -84,7 +89,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``tuning`` sets other bounds of ``repeats.Plan``.
     """
     _, total = shared.text_total(docs, text_col)
-    plan = repeats.Plan(window=window, gram=max(4, window // 3), words=False, within=False, parts=shared.part_count(total, part_bytes), **tuning)
+    plan = repeats.Plan(window=window, gram=max(4, window // 3), words=False, within=False, parts=shared.part_count(total, part_bytes), **{"piece": 192, **tuning})
     made = ("n_bytes", "n_removed", "removed", "kept")
     rest = [c for c in docs.columns if c != text_col and c not in made]
     inner = docs.select(

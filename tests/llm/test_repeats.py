@@ -70,7 +70,7 @@ def brute_bytes(rows, w):
     return sorted(out, key=str)
 
 
-TUNING = [{}, {"hot_in_task": 0, "hot_in_block": 0}, {"piece_units": 31}]  # as it is; all triggers frequent; all texts long
+TUNING = [{}, {"hot": 0}, {"piece_units": 31}, {"piece": 7}]  # as it is; all triggers frequent; all texts long; many pieces
 
 
 @pytest.mark.parametrize("tuning", TUNING)

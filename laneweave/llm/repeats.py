@@ -140,12 +140,15 @@ class Pieces:
 
     def by_part(self, part: np.ndarray):
         """(part, payload) for every part; ``part`` has one for each piece."""
-        order = np.argsort(part[self.of], kind="stable")
-        where = part[self.of][order]
-        for p in np.unique(where).tolist():
-            rows = order[np.searchsorted(where, p) : np.searchsorted(where, p, "right")]
-            which, of = np.unique(self.of[rows], return_inverse=True)
-            x = self.picked(which, of, rows)
+        pieces = np.lexsort((self.key, part))  # equal keys side by side, as their bytes are alike
+        place = np.empty(len(pieces), np.int64)
+        place[pieces] = np.arange(len(pieces))
+        rows = np.argsort(place[self.of], kind="stable")
+        edges = np.flatnonzero(np.append(changes(part[pieces]), True))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            p = int(part[pieces[lo]])
+            own = rows[slice(*np.searchsorted(place[self.of[rows]], [lo, hi]))]
+            x = self.picked(pieces[lo:hi], place[self.of[own]] - lo, own)
             yield p, shared.freeze(*[c.astype(t) for c, t in zip((x.key, x.size, x.count, x.data, x.of, x.doc, x.tag, x.start), self.CONTENT + self.PLACES)])
 
     def slices(self, limit: int = SLICE_BYTES):
@@ -453,6 +456,18 @@ def _compare_block(plan: Plan, compare: Callable) -> Callable:
                 continue
             which, of = np.unique(pieces.of[rows], return_inverse=True)
             x = pieces.picked(which, of, rows)
+            # Equal runs from different blocks of the dictionary first.
+            edge = _edges(plan, x.data)
+            text = run_hash(prefix_sums(_codes(plan, x.data, edge)), np.searchsorted(edge, x.at), x.count + plan.window - 1)
+            x, spans = x.settled(plan, text)
+            yield shared.packed_batch(_span_rows(plan, *spans))
+            if not plan.within:  # a run that is alone at its trigger has nothing left to meet
+                _, same, number = np.unique(x.key, return_inverse=True, return_counts=True)
+                rows = np.flatnonzero((number > 1)[same][x.of])
+                which, of = np.unique(x.of[rows], return_inverse=True)
+                x = x.picked(which, of, rows)
+            if not len(x.of):
+                continue
             doc, start = np.zeros(len(x.key), np.int64), np.zeros(len(x.key), np.int64)
             doc[x.of], start[x.of] = x.doc, x.start  # all places of a piece are equally early
             edge = _edges(plan, x.data)

@@ -54,7 +54,7 @@ def unpack_all(payloads, *types: str) -> list[np.ndarray]:
 def freeze(*columns: np.ndarray) -> bytes:
     """Arrays of any lengths, one after the other, compressed."""
     raw = [np.ascontiguousarray(c).tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(c) for c in columns], "<u8").tobytes() + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(c) for c in columns], "<u8").tobytes() + b"".join(raw))
 
 
 def thaw(payload: bytes, *types: str) -> list[np.ndarray]:

@@ -7,11 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark drops a query's shuffle files when it ends, and not only when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a fresh local folder only where it is unset."""
+    """spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a checkpoint folder set on the context; else a fresh
+    local folder, if the master is local, where there is but one machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("laneweave.shared.dir", None)
     if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="laneweave-")
         spark.conf.set("laneweave.shared.dir", found)
     return found.rstrip("/")
@@ -23,6 +34,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back: lineage ends here, and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Text bytes handled at once in a task; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
@@ -105,6 +105,15 @@ def gram_hashes(sums: np.ndarray, k: int) -> np.ndarray:
     return mix(h + U64(k * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
 
 
+def gram_chosen(sums: np.ndarray, k: int, one_in: int) -> np.ndarray:
+    """True at about one in ``one_in`` of all runs of k units, the same ones wherever they stand."""
+    n = max(0, len(sums) - k)
+    h = (sums[k:] - sums[:n]) * _Powers.down[:n]
+    h ^= h >> U64(29)
+    h *= U64(0xBF58476D1CE4E5B9)
+    return h < U64((1 << 64) // one_in)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values, by doubling."""
     have = 1
@@ -208,7 +217,7 @@ def _trigger_pairs(grams: np.ndarray, low: np.ndarray, width: int) -> tuple[np.n
     return at, np.concatenate([np.zeros(1, np.int64), np.cumsum(same)])
 
 
-def phrases(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int, longest: int = 64):
+def phrases(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int, longest: int = 64, twice: bool = True):
     """Cut every row's window starts into phrases at rolling-hash triggers.
 
     A window's trigger is the smallest hash of its ``gram``-unit runs, so equal
@@ -216,7 +225,7 @@ def phrases(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int, long
     of starts with one trigger (cut at ``longest``); its text is those windows
     together. Returns trigger, text hash, first start, number of starts, and
     whether the trigger stands there more than once, so that windows of the
-    phrase may equal each other.
+    phrase may equal each other (not looked for without ``twice``).
     """
     sums = prefix_sums(codes)
     n = len(codes) - window + 1
@@ -243,6 +252,8 @@ def phrases(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int, long
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first = np.repeat(first, parts) + within * longest
         count = np.minimum(longest, np.repeat(count, parts) - within * longest)
+    if not twice:
+        return low[first], run_hash(sums, first, count + window - 1), first, count, np.zeros(len(first), bool)
     places, pairs = _trigger_pairs(grams, low, window - gram + 1)
     a, b = np.searchsorted(places, first), np.searchsorted(places, first + count + window - gram)
     again = pairs[np.maximum(b - 1, 0)] > pairs[np.minimum(a, len(pairs) - 1)]

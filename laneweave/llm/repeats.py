@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .arrays import BYTE_CODES, SLICE_BYTES, SPACED, U64, changes, give_back, gram_hashes, phrases, prefix_sums, run_hash, slices, text_bytes, word_hashes, word_spans, xxhash64_long
+from .arrays import BYTE_CODES, SLICE_BYTES, SPACED, U64, changes, give_back, gram_chosen, phrases, prefix_sums, run_hash, slices, text_bytes, word_hashes, word_spans, xxhash64_long
 
 SPANS, PIECES, DOCS = 0, 1, 9
 #: Bytes that are compared at once.
 BLOCK_BYTES = 1 << 20
 #: Slices that a task resolves together before it sends anything.
-SLICES_TOGETHER = 4
+SLICES_TOGETHER = 8
 #: Window starts of a piece at most.
 LONGEST = 4096
 #: Repeated pieces that a task remembers.
@@ -110,9 +110,12 @@ class Pieces:
         ``hashes`` has one for each piece; pieces of one hash are compared.
         """
         h, at, size = hashes[self.of], self.at[self.of], self.size[self.of]
-        order = np.lexsort((self.start, self.doc, size, h))
+        leader = np.arange(len(h))
+        order = np.argsort(h)
+        pair = h[order][1:] == h[order][:-1]
+        some = order[np.append(False, pair) | np.append(pair, False)] if len(h) else order
+        order = some[np.lexsort((self.start[some], self.doc[some], size[some], h[some]))]
         new = changes(h[order], size[order])
-        leader = np.empty(len(order), np.int64)
         leader[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
         other = np.flatnonzero(leader != np.arange(len(leader)))
         differ = other[~equal_bytes(self.data, at[other], at[leader[other]], size[other])]
@@ -124,9 +127,11 @@ class Pieces:
         kept = np.flatnonzero(~late)
         piece = self.of[leader[kept]]
         # A repeated row brings the same places again.
-        order = np.lexsort((self.start[kept], self.tag[kept], self.doc[kept], piece))
-        once = order[changes(*[c[order] for c in (piece, self.doc[kept], self.tag[kept], self.start[kept])])]
-        kept, piece = kept[once], piece[once]
+        some = np.flatnonzero(np.bincount(piece)[piece] > 1) if len(piece) else piece
+        rows = kept[some]
+        order = np.lexsort((self.start[rows], self.tag[rows], self.doc[rows], piece[some]))
+        again = some[order[~changes(*[c[order] for c in (piece[some], self.doc[rows], self.tag[rows], self.start[rows])])]]
+        kept, piece = np.delete(kept, again), np.delete(piece, again)
         which, of = np.unique(piece, return_inverse=True)
         return self.picked(which, of, kept), spans
 
@@ -210,7 +215,7 @@ def _cut(plan: Plan, codes: np.ndarray, firsts: np.ndarray):
     edge = np.zeros(n + 1, np.int8)
     edge[begin] += 1
     edge[stop] -= 1
-    new = (np.cumsum(edge[:-1], dtype=np.int8) > 0) & (gram_hashes(sums, plan.gram)[:n] % U64(plan.piece) == 0)
+    new = (np.cumsum(edge[:-1], dtype=np.int8) > 0) & gram_chosen(sums, plan.gram, plan.piece)[:n]
     new[begin] = True
     first = np.flatnonzero(new)
     count = np.minimum(np.append(first[1:], n), stop[np.searchsorted(begin, first, "right") - 1]) - first
@@ -293,7 +298,7 @@ def _runs(plan: Plan, pieces: Pieces):
         data = pieces.data[base : base + int(pieces.size[lo:hi].sum())]
         edge = _edges(plan, data)
         firsts = np.searchsorted(edge, np.append(pieces.at[lo:hi] - base, len(data)))
-        trigger, text, unit, count, again = phrases(_codes(plan, data, edge), firsts, plan.window, plan.gram)
+        trigger, text, unit, count, again = phrases(_codes(plan, data, edge), firsts, plan.window, plan.gram, twice=plan.within)
         row = np.searchsorted(firsts, unit, "right") - 1
         place = edge[unit]
         yield trigger, text, row + lo, unit - firsts[row], count, place + base, edge[unit + count + plan.window - 1] - place, again
@@ -321,11 +326,11 @@ def _ask(plan: Plan) -> Callable:
         trigger, doc, again = (np.concatenate(c) for c in zip(*found))
         part = _trigger_part(plan, trigger)
         key = (part.astype(U64) << U64(32)) | (trigger & U64(0xFFFFFFFF))
-        order = np.lexsort((doc, key))
+        order = np.argsort(key)
         key, doc, again = key[order], doc[order], again[order]
         first = np.flatnonzero(changes(key))
         number = np.diff(np.append(first, len(key)))
-        twice = (number > 1) | np.logical_or.reduceat(again, first) if plan.within else doc[first] != doc[np.append(first[1:], len(key)) - 1]
+        twice = (number > 1) | np.logical_or.reduceat(again, first) if plan.within else np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         key = key[first]
         out, mine = [], np.array([table["part"][0].as_py()])
         where = (key >> U64(32)).astype(np.int64)
@@ -499,12 +504,13 @@ def find_spans(docs: DataFrame, plan: Plan, compare: Callable) -> tuple[DataFram
     of a block and returns piece, first and last start of every repeated run.
     """
     parts = plan.parts
+    part = F.col("part")
     # Used twice; Spark shuffles it once.
-    dictionary = docs.select("doc", "tag", "text").mapInArrow(_parse(plan), shared.PACKED).repartition(parts, "part")
-    asked = dictionary.groupBy("part").applyInArrow(_ask(plan), shared.PACKED)
-    answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(_answer(plan), shared.PACKED)
-    brought = dictionary.groupBy("part").cogroup(answers.repartition(parts, "part").groupBy("part")).applyInArrow(_bring(plan), shared.PACKED)
-    spans = shared.written(brought.repartitionById(parts, F.col("part")).mapInArrow(_compare_block(plan, compare), shared.PACKED), "spans")
+    dictionary = docs.select("doc", "tag", "text").mapInArrow(_parse(plan), shared.PACKED).repartitionById(parts, part)
+    asked = dictionary.groupBy("part").applyInArrow(_ask(plan), shared.PACKED).repartitionById(parts, part)
+    answers = asked.groupBy("part").applyInArrow(_answer(plan), shared.PACKED).repartitionById(parts, part)
+    brought = dictionary.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_bring(plan), shared.PACKED)
+    spans = shared.written(brought.repartitionById(parts, part).mapInArrow(_compare_block(plan, compare), shared.PACKED), "spans")
     return at_home(docs, parts), spans
 
 

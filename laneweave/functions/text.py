@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEFAULT_NAME = "Untitled project"
+#: All white space, as a class of a regular expression, and not blanks alone.
+SPACES = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
+def strip(c: Column) -> Column:
+    """Text without white space at either end."""
+    return F.regexp_replace(c, f"^{SPACES}+|{SPACES}+$", "")
 
 
 def format_distance(m: Column) -> Column:
@@ -27,7 +34,7 @@ def plural(n: Column, label: str) -> Column:
 
 
 def name_or_default(name: Column, default: str = DEFAULT_NAME) -> Column:
-    return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(strip(name), F.lit("")), F.lit(default))
 
 
 def signature(*cols: Column) -> Column:

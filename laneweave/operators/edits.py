@@ -71,6 +71,13 @@ def changed_since_last(df: DataFrame, key: str, sign: str, order: str) -> DataFr
     return df.withColumn("changed", ~F.col(sign).eqNullSafe(before))
 
 
-def affected_projects(changes: DataFrame, projects: DataFrame) -> DataFrame:
-    """Projects with a change, whose derived results are out of date."""
-    return projects.join(changes.select("project_id").distinct(), "project_id", "left_semi")
+def affected_projects(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Projects whose graph has another number of nodes or edges than before: their routes are out of date.
+
+    Both tables have project_id, nodes and edges, as ``graph.network_report``
+    gives them. A project in one of them alone is affected; a null counts as
+    a number of its own.
+    """
+    old = before.select("project_id", F.struct("nodes", "edges").alias("__old"))
+    new = after.select("project_id", F.struct("nodes", "edges").alias("__new"))
+    return old.join(new, "project_id", "full_outer").where(~F.col("__old").eqNullSafe(F.col("__new"))).select("project_id")

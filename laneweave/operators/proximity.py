@@ -66,24 +66,46 @@ def _levels(points: DataFrame) -> DataFrame:
     return points.select("project_id", F.floor("zoom").cast("int").alias("level")).distinct()
 
 
-def _meet(points: DataFrame, candidates: DataFrame, px: float, low: Column, high: Column) -> DataFrame:
+def _line_cells(ax: Column, ay: Column, bx: Column, by: Column, size: Column) -> Column:
+    """Cells that a line passes, row by row, so that a long slanting one does not fill its box."""
+    xa, ya, xb, yb = ax / size, ay / size, bx / size, by / size
+    rows = F.sequence(F.floor(F.least(ya, yb)), F.floor(F.greatest(ya, yb)))
+
+    def row(r: Column) -> Column:
+        # The part of the line within the row and a little beyond.
+        at = lambda y: F.when(ya == yb, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - ya) / (yb - ya))))
+        x = lambda t: xa + t * (xb - xa)
+        one, other = x(at(r - 0.001)), F.when(ya == yb, xb).otherwise(x(at(r + 1.001)))
+        columns = F.sequence(F.floor(F.least(one, other) - 0.001), F.floor(F.greatest(one, other) + 0.001))
+        return F.transform(columns, lambda c: F.struct(r.alias("y"), c.alias("x")))
+
+    return F.flatten(F.transform(rows, row))
+
+
+def _meet(points: DataFrame, candidates: DataFrame, px: float) -> DataFrame:
     """Points joined with the candidates of the same project in cells around them.
 
-    ``low`` and ``high`` are a candidate's corners in world pixels at zoom 0.
-    Cells are ``px`` wide at the whole zoom level below a point's own, so at
-    its zoom they are at least as wide as the cutoff; a point looks into the
-    nine cells around it.
+    A candidate has its ends in world pixels at zoom 0 (__ax, __ay, __bx,
+    __by); points get theirs (__wx, __wy) and the scale of their zoom, so that
+    no pair projects anything. Cells are ``px`` wide at the whole zoom level
+    below a point's own, so at its zoom they are at least as wide as the
+    cutoff; a point looks into the nine cells around it. Pairs whose boxes are
+    farther apart than the cutoff go before any distance is computed.
     """
     size = F.lit(px) / F.pow(F.lit(2.0), F.col("level"))
-    cell = lambda v: F.floor(v / size)
-    cells = F.flatten(F.transform(F.sequence(cell(low["y"]), cell(high["y"])), lambda y: F.transform(F.sequence(cell(low["x"]), cell(high["x"])), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    held = candidates.join(_levels(points), "project_id").withColumn("__cell", F.explode(cells))
+    held = candidates.join(_levels(points), "project_id").withColumn("__cell", F.explode(_line_cells(F.col("__ax"), F.col("__ay"), F.col("__bx"), F.col("__by"), size)))
     world = to_pixel(F.col("p"), F.lit(0.0))
+    asking = points.withColumns({"level": F.floor("zoom").cast("int"), "__w": world, "__scale": F.pow(F.lit(2.0), F.col("zoom"))})
+    cell = lambda v: F.floor(v / size)
     around = F.flatten(
-        F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dy: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dx: F.struct((cell(world["y"]) + dy).alias("y"), (cell(world["x"]) + dx).alias("x"))))
+        F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dy: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dx: F.struct((cell(F.col("__w.y")) + dy).alias("y"), (cell(F.col("__w.x")) + dx).alias("x"))))
     )
-    asking = points.withColumn("level", F.floor("zoom").cast("int")).withColumn("__cell", F.explode(around))
-    return asking.join(held, ["project_id", "level", "__cell"])
+    asking = asking.withColumns({"__wx": F.col("__w.x"), "__wy": F.col("__w.y"), "__reach": F.lit(px * 1.000001) / F.col("__scale")}).withColumn("__cell", F.explode(around)).drop("__w")
+    near = F.lit(True)
+    for w, a, b in (("__wx", "__ax", "__bx"), ("__wy", "__ay", "__by")):
+        near &= (F.col(w) + F.col("__reach") >= F.least(a, b)) & (F.col(w) - F.col("__reach") <= F.greatest(a, b))
+    # A long line meets a point in several cells; repeated pairs change no minimum.
+    return asking.join(held, ["project_id", "level", "__cell"]).where(near)
 
 
 _SEGMENT = ["distance", "map_point", "px_point", "tangent", "feature_id", "feature_seq", "segment_index"]
@@ -94,26 +116,26 @@ def nearest_segment(points: DataFrame, segments: DataFrame, px: float = SEGMENT_
 
     ``points`` has project_id, point_id, p and zoom; ``segments`` project_id,
     feature_id, feature_seq, segment_index, a and b. Of equally near ones the
-    first in (feature_seq, segment_index) wins.
+    first in (feature_seq, segment_index) wins. A null place, zoom or project
+    finds nothing; rows come out one for one; an empty table finds nothing.
+    Columns of ``points`` named as the result's are ambiguous and not allowed.
     """
     zero = F.lit(0.0)
-    a, b = to_pixel(F.col("a"), zero), to_pixel(F.col("b"), zero)
-    low, high = pixel(F.least(a["x"], b["x"]), F.least(a["y"], b["y"])), pixel(F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"]))
-    met = _meet(points, segments.select("project_id", "feature_id", "feature_seq", "segment_index", "a", "b"), px, low, high)
-    at = lambda c: to_pixel(F.col(c), F.col("zoom"))
-    met = met.withColumns({"__a": at("a"), "__b": at("b"), "__p": at("p")})
-    met = met.withColumn("__c", closest_on_segment(F.col("__p"), F.col("__a"), F.col("__b"))).where(F.col("__c.distance") <= px)
-    met = met.withColumns(
-        {"distance": F.col("__c.distance"), "map_point": lerp(F.col("a"), F.col("b"), F.col("__c.t")), "px_point": pixel(F.col("__c.x"), F.col("__c.y")), "tangent": unit(vector(F.col("__a"), F.col("__b")))}
-    )
+    held = segments.select("project_id", "feature_id", "feature_seq", "segment_index", "a", "b", to_pixel(F.col("a"), zero).alias("__a"), to_pixel(F.col("b"), zero).alias("__b"))
+    held = held.select("*", F.col("__a.x").alias("__ax"), F.col("__a.y").alias("__ay"), F.col("__b.x").alias("__bx"), F.col("__b.y").alias("__by")).drop("__a", "__b")
+    met = _meet(points, held, px)
+    at = lambda c: pixel(F.col(f"__{c}x") * F.col("__scale"), F.col(f"__{c}y") * F.col("__scale"))
+    met = met.withColumn("__c", closest_on_segment(at("w"), at("a"), at("b"))).where(F.col("__c.distance") <= px)
+    met = met.withColumns({"distance": F.col("__c.distance"), "map_point": lerp(F.col("a"), F.col("b"), F.col("__c.t")), "px_point": pixel(F.col("__c.x"), F.col("__c.y")), "tangent": unit(vector(at("a"), at("b")))})
     best = nearest_one(met, ["project_id", "point_id"], ["distance", "feature_seq", "segment_index"], _SEGMENT)
     return points.join(best, ["project_id", "point_id"], "left")
 
 
 def _nearest_place(points: DataFrame, places: DataFrame, px: float, order: list[str], value: list[str]) -> DataFrame:
-    world = to_pixel(F.col("place"), F.lit(0.0))
-    met = _meet(points, places, px, world, world)
-    met = met.withColumn("px_point", to_pixel(F.col("place"), F.col("zoom"))).withColumn("distance", dist(to_pixel(F.col("p"), F.col("zoom")), F.col("px_point")))
+    held = places.withColumn("__p", to_pixel(F.col("place"), F.lit(0.0)))
+    held = held.withColumns({"__ax": F.col("__p.x"), "__ay": F.col("__p.y"), "__bx": F.col("__p.x"), "__by": F.col("__p.y")}).drop("__p")
+    met = _meet(points, held, px).withColumn("px_point", pixel(F.col("__ax") * F.col("__scale"), F.col("__ay") * F.col("__scale")))
+    met = met.withColumn("distance", dist(pixel(F.col("__wx") * F.col("__scale"), F.col("__wy") * F.col("__scale")), F.col("px_point")))
     best = nearest_one(met.where(F.col("distance") <= px), ["project_id", "point_id"], ["distance", *order], ["distance", "px_point", *value])
     return points.join(best, ["project_id", "point_id"], "left")
 

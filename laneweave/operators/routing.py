@@ -62,7 +62,8 @@ def route_paths(labels: DataFrame, targets: DataFrame, max_hops: int = 100_000)
     """(route_id, project_id, hops_left, node): the nodes of each route, walked back from its target.
 
     ``hops_left`` is 0 at the target and grows towards the source. Every round
-    follows one predecessor of all routes.
+    follows one predecessor of all routes; a path beyond ``max_hops`` is an
+    error and never cut short.
     """
     spark = labels.sparkSession
     folder = fresh_path(spark, "paths")
@@ -78,6 +79,8 @@ def route_paths(labels: DataFrame, targets: DataFrame, max_hops: int = 100_000)
             break
         step = ahead.select("route_id", "project_id", (F.col("hops_left") + 1).alias("hops_left"), F.col("pred").alias("node"))
         at = step.join(held, ["route_id", "project_id", "node"]).select(*schema.names)
+    else:
+        raise RuntimeError(f"a path has more than {max_hops} hops")
     return spark.read.schema(schema).parquet(*[f"{folder}/hop={i}" for i in range(r + 1)]).drop("pred")
 
 

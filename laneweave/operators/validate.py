@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_area_km2, bounds_from_box, box_from_corners, dist, to_pixel
+from ..functions.text import strip
 
 # Fixed values.
 NOT_ROUTABLE = ("construction", "proposed", "abandoned", "raceway")
@@ -62,12 +63,13 @@ def is_sidewalk_path(kind: Column, path: Column) -> Column:
 
 
 def _json_is(c: Column, start: str) -> Column:
-    return F.coalesce(F.get_json_object(c, "$").isNotNull() & F.startswith(F.ltrim(c), F.lit(start)), F.lit(False))
+    # What follows the value is not looked at by the parser, so the end is.
+    return F.coalesce(F.try_parse_json(c).isNotNull() & F.startswith(strip(c), F.lit(start)) & F.endswith(strip(c), F.lit({"{": "}", "[": "]"}[start])), F.lit(False))
 
 
 def save_reject_reason(requests: DataFrame) -> DataFrame:
     """Save requests with trimmed name, empty id as null, and ``reject_reason``."""
-    name = F.trim(F.coalesce("name", F.lit("")))
+    name = strip(F.coalesce("name", F.lit("")))
     reason = (
         F.when(name == "", "NO_NAME")
         .when(~bbox_has_shape(F.col("bbox")), "BAD_BBOX")
@@ -94,6 +96,30 @@ def document_is_valid(features: Column) -> Column:
     return F.coalesce(F.forall(features, lambda f: f["id"].isNotNull() & f["kind"].isNotNull() & f["geometry"].isNotNull()), F.lit(False))
 
 
+_FEATURE = "array<struct<id:variant,kind:variant,geometry:variant>>"
+
+
+def json_document_is_valid(document: Column) -> Column:
+    """Is a JSON document one of features: buildings, roads, openLand, with a bbox and counts?
+
+    Every feature has a number as id, a string as kind and an array as
+    geometry; one bad feature rejects the whole document, and so does text
+    that is null or no JSON.
+    """
+    whole = F.try_parse_json(document)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(whole, path, "variant")), F.lit("VOID"))
+    good = whole.isNotNull()
+    for name in ("buildings", "roads", "openLand"):
+        features = F.try_variant_get(whole, f"$.{name}", _FEATURE)
+        of = lambda f, c: F.coalesce(F.schema_of_variant(f[c]), F.lit("VOID"))
+        each = F.forall(features, lambda f: of(f, "id").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (of(f, "kind") == "STRING") & of(f, "geometry").startswith("ARRAY"))
+        good &= F.startswith(kind(f"$.{name}"), F.lit("ARRAY")) & F.coalesce(each, F.lit(False))
+    for name in ("bbox", "counts"):  # there, and not false, zero or empty
+        value = F.coalesce(F.try_variant_get(whole, f"$.{name}", "string"), F.lit(""))
+        good &= ~value.isin("", "0", "false") | kind(f"$.{name}").startswith("OBJECT")
+    return F.coalesce(good, F.lit(False))
+
+
 def keep_gestures(drafts: DataFrame, min_px: float = 6.0) -> DataFrame:
     """Drafts dragged over ``min_px`` pixels or more at their zoom."""
     return drafts.where(dist(to_pixel(F.col("start"), F.col("zoom")), to_pixel(F.col("end"), F.col("zoom"))) >= min_px)

@@ -15,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key: a table of one file is one task otherwise, whatever it grows to in the plan."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return o.join(c, o["o_custkey"] == c["c_custkey"])
+    return dealt(o, "o_orderkey").join(c, o["o_custkey"] == c["c_custkey"])
 
 
 KIND = """case when o_orderkey % 29 = 0 then 'proposed' when o_orderkey % 23 = 0 then 'footway'
@@ -42,7 +47,7 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawn_sidewalks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of kind sidewalk with a path of two points, from click events."""
-    e = table(spark, sf_dir, "events").where("event_type = 'click'").selectExpr("user_id % 25 as project_id", "event_id")
+    e = dealt(table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", "event_id"), "event_id").selectExpr("user_id % 25 as project_id", "event_id")
     start = "((project_id*4-50)*100000 + 30*((event_id*13)%48) + event_id%19)", "((project_id*10-120)*100000 + 30*((event_id*7)%46) + event_id%23)"
     path = f"array(named_struct('lat', {start[0]}/100000D, 'lng', {start[1]}/100000D), named_struct('lat', ({start[0]} + 5*(event_id%7))/100000D, 'lng', ({start[1]} + 60)/100000D))"
     return e.selectExpr("project_id", "event_id as edit_seq", "concat('e', event_id) as id", "'sidewalk' as type", f"{path} as path")
@@ -67,8 +72,9 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundabouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of kind roundabout, at every seventh pin."""
-    return pins(spark, sf_dir).where("point_id % 7 = 0").selectExpr("project_id", "point_id as edit_seq", "concat('r', point_id) as id", "'roundabout' as type", "p as center", "cast(12 + point_id % 20 as double) as pixel_radius", "zoom")
+    """Edits of kind roundabout, at the pins of customers in machinery."""
+    makers = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("point_id"))
+    return pins(spark, sf_dir).join(makers, "point_id", "left_semi").selectExpr("project_id", "point_id as edit_seq", "concat('r', point_id) as id", "'roundabout' as type", "p as center", "cast(12 + point_id % 20 as double) as pixel_radius", "zoom")
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,17 +107,18 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of many kinds, some kinds missing in some projects, some unknown."""
     kind = "element_at(array('road','bike','sidewalk','crossing','roundabout','signal','note'), cast(event_id % 7 as int) + 1)"
-    e = table(spark, sf_dir, "events").selectExpr("user_id % 25 as project_id", "event_id as edit_seq", "concat('e', event_id) as id", f"{kind} as type")
-    return e.where("(project_id + event_id % 7) % 3 <> 0 and project_id <> 11")
+    # Some kinds are missing in some projects: notes stand in their place.
+    kind = f"case when (user_id % 25 + event_id % 7) % 3 = 0 or user_id % 25 = 11 then 'note' else {kind} end"
+    return table(spark, sf_dir, "events").selectExpr("user_id % 25 as project_id", "event_id as edit_seq", "concat('e', event_id) as id", f"{kind} as type")
 
 
 def projects_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects as the analysis takes them: project_id, name, bbox."""
-    return areas(spark, sf_dir).selectExpr("area_id as project_id", "case when area_id % 4 = 0 then '  ' else concat(' Area ', area_id, ' ') end as name", "named_struct('north', coalesce(north, south), 'south', south, 'east', coalesce(east, west), 'west', west) as bbox")
+    return areas(spark, sf_dir).selectExpr("area_id as project_id", "case when area_id % 4 = 0 then ' \t\n' else concat('\n Area ', area_id, ' \u00a0') end as name", "named_struct('north', coalesce(north, south), 'south', south, 'east', coalesce(east, west), 'west', west) as bbox")
 
 
 def store_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    c = table(spark, sf_dir, "customer")
     box = f"cast(named_struct('north', c_custkey/10D, 'south', 0D, 'east', 1D, 'west', 0D) as {BBOX})"
     return c.selectExpr("concat('p', c_custkey) as id", "concat('u', c_custkey % 50) as user_id", "concat('Old ', c_custkey) as name", f"{box} as bbox", "timestamp'2024-01-01 00:00:00' as created_at", "timestampadd(MINUTE, cast(c_custkey % 1000 as int), timestamp'2024-01-01 00:00:00') as updated_at")
 
@@ -126,8 +133,8 @@ def save_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.selectExpr(
         "o_orderkey as seq", "concat('u', (case when o_orderkey % 11 = 0 then o_custkey + 1 else o_custkey - o_custkey % 3 end) % 50) as user_id",
         "case when o_orderkey % 3 = 0 then '' else concat('p', o_custkey - o_custkey % 3) end as id",
-        "case when o_orderkey % 13 = 0 then '  ' else concat(' Plan ', o_orderkey, ' ') end as name", f"{box} as bbox",
-        "case when o_orderkey % 19 = 0 then null else '{\"roads\":[]}' end as osm_data", "concat('[', o_orderkey, ']') as user_edits",
+        "case when o_orderkey % 13 = 0 then ' \t\u3000\n' else concat('\t Plan ', o_orderkey, '\u00a0\n') end as name", f"{box} as bbox",
+        "case when o_orderkey % 19 = 0 then null else '\n {\"roads\":[]}' end as osm_data", "concat('[', o_orderkey, ']') as user_edits",
     )
 
 

@@ -75,7 +75,7 @@ def _nearest(places: str, px: float, order: str, zoom: str = "p.zoom") -> str:
 
 
 _KINDS = "['road','bike','sidewalk','crossing','roundabout','signal','note']"
-_EDITS = f"""edits as (select * from (select user_id % 25 as project_id, event_id, {_KINDS}[event_id % 7 + 1] as type from events) where (project_id + event_id % 7) % 3 <> 0 and project_id <> 11)"""
+_EDITS = f"""edits as (select user_id % 25 as project_id, event_id, case when (user_id % 25 + event_id % 7) % 3 = 0 or user_id % 25 = 11 then 'note' else {_KINDS}[event_id % 7 + 1] end as type from events)"""
 _AREAS = """areas as (select area_id, case area_id % 5 when 1 then lat - 0.01 when 2 then 95 when 3 then lat + 1 else lat + 0.009 end::double as north, lat as south,
  case when area_id % 5 = 4 then null else lng + 0.009 end::double as east, lng as west
  from (select cast(n_nationkey as bigint) as area_id, (n_nationkey*4-50)::double as lat, (n_nationkey*10-120)::double as lng from nation))"""
@@ -87,10 +87,10 @@ _ELEMENTS = f"""{_ROADS}, elements as (select area_id, feature_id, feature_id %
  feats as (select area_id, feature_id, n_pts, case when m in (0, 2) then 'building' when m in (1, 6) then 'road' else 'open_land' end as feature_class,
  case m when 0 then 'yes' when 2 then 'house' when 1 then hw when 6 then hw when 3 then 'grass' when 4 then '' else 'pitch' end as kind from elements where m <> 5)"""
 
-_STORE = "store as (select 'p' || c_custkey as id, 'u' || c_custkey % 50 as user_id, 'Old ' || c_custkey as name, c_custkey/10.0::double as north, timestamp '2024-01-01 00:00:00' as created_at, timestamp '2024-01-01 00:00:00' + to_minutes(c_custkey % 1000) as updated_at from customer where c_custkey % 3 = 0)"
+_STORE = "store as (select 'p' || c_custkey as id, 'u' || c_custkey % 50 as user_id, 'Old ' || c_custkey as name, c_custkey/10.0::double as north, timestamp '2024-01-01 00:00:00' as created_at, timestamp '2024-01-01 00:00:00' + to_minutes(c_custkey % 1000) as updated_at from customer)"
 _REQUESTS = """requests as (select o_orderkey as seq, 'u' || (case when o_orderkey % 11 = 0 then o_custkey + 1 else o_custkey - o_custkey % 3 end) % 50 as user_id,
  case when o_orderkey % 3 = 0 then null else 'p' || (o_custkey - o_custkey % 3) end as id, case when o_orderkey % 13 = 0 then '' else 'Plan ' || o_orderkey end as name,
- case when o_orderkey % 17 = 0 then null else o_orderkey/10.0::double end as north, case when o_orderkey % 19 = 0 then null else '{"roads":[]}' end as osm_data, '[' || o_orderkey || ']' as user_edits from orders),
+ case when o_orderkey % 17 = 0 then null else o_orderkey/10.0::double end as north, case when o_orderkey % 19 = 0 then null else chr(10) || ' {"roads":[]}' end as osm_data, '[' || o_orderkey || ']' as user_edits from orders),
  checked as (select r.*, case when r.name = '' then 'NO_NAME' when r.north is null then 'BAD_BBOX' when r.osm_data is null then 'NO_OSM_DATA' when r.id is not null and s.id is null then 'NOT_FOUND' end as reason
  from requests r left join store s on s.id = r.id and s.user_id = r.user_id),
  accepted as (select * from (select *, coalesce(id, substring(sha256(user_id || '|' || seq), 1, 32)) as pid, row_number() over (partition by coalesce(id, substring(sha256(user_id || '|' || seq), 1, 32)) order by seq desc) as rn from checked where reason is null) where rn = 1)"""
@@ -103,6 +103,15 @@ _ROUTES = f"""with recursive {_SEGMENTS}, {_EDGES},
  select n.area_id, n.w, n.x, n.d from (select a.area_id, a.w, a.x, min(r.d + a.len) as d from reach r join adj a on a.area_id = r.area_id and a.u = r.lat_e6 and a.v = r.lng_e6 group by all) n
  left join recurring.reach o on o.area_id = n.area_id and o.lat_e6 = n.w and o.lng_e6 = n.x where o.d is null or n.d < o.d)"""
 
+_REPLAY = """with recursive log as (select user_id as project_id, row_number() over w as n, case event_type when 'error' then 'undo' when 'signup' then 'redo' when 'view' then 'remove' else 'add' end as action,
+ 'e' || case when event_type = 'view' then lag(event_id) over w else event_id end as id from events window w as (partition by user_id order by event_id)),
+ state as (select project_id, 0::bigint as n, []::varchar[] as current, []::varchar[] as undone from (select distinct project_id from log) union all
+ select s.project_id, l.n, case when action = 'add' then list_append(current, l.id) when action = 'remove' then list_filter(current, lambda x: x is distinct from l.id) when action = 'undo' and len(current) > 0 then current[:-2]
+ when action = 'redo' and len(undone) > 0 then list_append(current, undone[-1]) else current end,
+ case when action in ('add', 'remove') then []::varchar[] when action = 'undo' and len(current) > 0 then list_append(undone, current[-1]) when action = 'redo' and len(undone) > 0 then undone[:-2] else undone end
+ from state s join log l on l.project_id = s.project_id and l.n = s.n + 1),
+ done as (select * from state qualify row_number() over (partition by project_id order by n desc) = 1)"""
+
 ORACLES: dict[str, str] = {
     "network_report": f"""with {_SEGMENTS},
  dead as (select s.area_id, count(*) as n from segs s join deg a on a.area_id = s.area_id and a.lat_e6 = ka and a.lng_e6 = kb join deg b on b.area_id = s.area_id and b.lat_e6 = kc and b.lng_e6 = kd where a.degree <= 1 or b.degree <= 1 group by 1),
@@ -144,7 +153,7 @@ ORACLES: dict[str, str] = {
  case when kind in ('footway','path','pedestrian','cycleway') then '#5f6866' else '#2d3332' end as road_colour, cast(2*any_value(n_pts) as bigint) as n,
  round(sum((1200 - 0.02*sc)/2 + (lng - west)*sc + (820 - 0.02*sc)/2 + (south + 0.02 - lat)*sc), 3) as total from xy group by feature_id, kind""",
     "edit_counts": f"with {_EDITS}, {_EDIT_COUNTS} select * from counted",
-    "change_analysis": f"""with {_EDITS}, {_EDIT_COUNTS}, {_ROADS}, {_AREAS}, n as (select area_id, count(*) as r from roads where feature_id % 40 < 1 + area_id group by 1),
+    "change_analysis": f"""with {_EDITS}, {_EDIT_COUNTS}, {_ROADS}, {_AREAS}, n as (select area_id, count(*) as r from roads group by 1),
  x as (select c.*, coalesce(n.r, 0) as r, case when c.project_id % 4 = 0 then 'This project' else 'Area ' || c.project_id end as name,
  abs(coalesce(east,west)-west)*111.32*cos(radians((coalesce(north,south)+south)/2))*abs(coalesce(north,south)-south)*111.32 as km2 from counted c left join n on n.area_id = c.project_id join areas a on a.area_id = c.project_id),
  y as (select *, list_filter([
@@ -165,13 +174,15 @@ ORACLES: dict[str, str] = {
     "save_state": f"""with {_STORE}, {_REQUESTS} select coalesce(s.id, a.pid) as project_id, coalesce(a.osm_data, '{{}}') as osm_data, coalesce(a.user_edits, '[]') as user_edits from store s full join accepted a on a.pid = s.id""",
     "open_projects": f"with {_STORE} select 'p' || c_custkey as id, 'u' || c_custkey % 40 as user_id, s.name, case when s.id is not null then '{{}}' end as osm_data from customer left join store s on s.id = 'p' || c_custkey and s.user_id = 'u' || c_custkey % 40",
     "latest_projects": f"with {_STORE} select user_id, id, name from (select *, row_number() over (partition by user_id order by updated_at desc, id desc) as rn from store) where rn = 1",
-    "users_and_cascade": f"""with {_STORE}, {_REQUESTS}, users as (select user_id as id from store where user_id < 'u3' union select user_id from requests)
+    "users_and_cascade": f"""with {_STORE}, {_REQUESTS}, users as (select user_id as id from store where updated_at < timestamp '2024-01-01 00:30:00' union select user_id from requests)
  select 'user' as what, id from users where id not like 'u1%' union all select 'project', id from store where user_id not in (select id from users where id like 'u1%') union all select 'state', id from store where user_id not in (select id from users where id like 'u1%')""",
     "autosave_sessions": """with g as (select user_id, ts, event_id, case when ts - lag(ts) over w < interval 120 second then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
  s as (select *, sum(new) over (partition by user_id order by ts, event_id) as n from g)
  select user_id as project_id, strftime(max(ts) + interval 120 second, '%Y-%m-%d %H:%M:%S') as saved_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_change, count(*) as changes from s group by user_id, n""",
     "changed_since_last": "select event_id, event_type is distinct from lag(event_type) over (partition by user_id order by event_id) as changed from events",
-    "affected_projects": f"with {_EDITS} select distinct project_id from edits where event_id % 97 = 0",
+    "affected_projects": f"""with {_SEGMENTS}, size as (select area_id, s, count(distinct n) as nodes, count(distinct e) as edges from (
+ select area_id, s, unnest([(ka, kb), (kc, kd)]) as n, least((ka,kb),(kc,kd)) as lo, greatest((ka,kb),(kc,kd)) as hi, (lo, hi) as e from segs, (values (0), (1)) t(s) where s = 1 or kind <> 'service') group by 1, 2)
+ select coalesce(a.area_id, b.area_id) as project_id from (from size where s = 0) b full join (from size where s = 1) a on a.area_id = b.area_id where (a.nodes, a.edges) is distinct from (b.nodes, b.edges)""",
     "geometry_functions": f"""with {_PINS}, q as (select *, lat + 0.001 as qlat, lng - 0.002 as qlng from pins), g as (select *, {_px('lng', 'zoom')} as px, {_py('lat', 'zoom')} as py, {_px('qlng', 'zoom')} as qx, {_py('qlat', 'zoom')} as qy, {_haversine('lat', 'lng', 'qlat', 'qlng')} as hav,
  least(1088/((lng+0.004)-(lng-0.002)), 708/((lat+0.003)-(lat-0.001))) as sc from q)
  select point_id, round(hav, 3) as haversine_m, round(px, 3) as px, round(py, 3) as py, round(lat, 6) as back_lat, round(lng, 6) as back_lng,
@@ -186,5 +197,24 @@ ORACLES: dict[str, str] = {
  case when type = 'roundabout' then round(x, 2) end as centre_x, case when type = 'roundabout' then round(y, 2) end as centre_y, case when type = 'roundabout' then round(greatest(12.0, sqrt(pow(x2-x, 2)+pow(y2-y, 2))), 3) end as radius,
  case when type = 'signal' then round(x, 2) end as at_x, case when type = 'signal' then round(y, 2) end as at_y from g""",
     "analyze_rejects": f"""with {_STORE}, {_REQUESTS} select seq, case when north is null then 'BAD_BBOX' when seq % 5 = 0 or seq % 7 = 0 or seq % 11 = 0 then 'NO_OSM_DATA' when seq % 4 = 0 then 'BAD_EDITS' end as reject_reason from requests""",
+    "store_round_trip": f"""with {_STORE}, {_REQUESTS} select coalesce(s.id, a.pid) as id, coalesce(s.user_id, a.user_id) as user_id, coalesce(a.name, s.name) as name, coalesce(a.user_edits, '[]') as user_edits from store s full join accepted a on a.pid = s.id""",
+    "document_checks": "select o_orderkey, o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM') and o_orderstatus <> 'P' as valid from orders",
+    "gestures": f"""with {_PINS}, g as (select *, {_px('lng', 'zoom')} as x, {_py('lat', 'zoom')} as y, {_px('(lng + (point_id % 3)*0.0002)', 'zoom')} as x2, {_py('(lat + (point_id % 5)*0.0003)', 'zoom')} as y2 from pins)
+ select point_id as draft_id from g where sqrt(pow(x2-x, 2) + pow(y2-y, 2)) >= 6""",
+    "drawn_boxes": f"""with {_PINS}, g as (select *, {_px('lng', 'zoom')} as x, {_py('lat', 'zoom')} as y, (point_id % 600)::double as side, pow(2.0, zoom)*512 as world from pins where point_id % 600 >= 16),
+ b as (select *, lat as north, lng as east, (x - side)*360/world - 180 as west, degrees(atan(sinh(pi()*(1 - 2*(y + side/2)/world)))) as south from g)
+ select point_id, round(north, 6) as north, round(south, 6) as south, round(east, 6) as east, round(west, 6) as west, round(side, 2) as width, round(side/2, 2) as height from b where {_AREA_KM2} <= 5""",
+    "event_stamps": "select event_id, strftime(ts, '%b %-d, %Y, %-I:%M %p') as stamp from events",
+    "near_own_path": f"""with {_PINS}, g as (select point_id, lat + 0.0001 as blat, lng + (point_id % 7)*0.00005 as blng, lat as lat1, lng as lng1, lat + (point_id % 5)*0.0003 as lat2, lng + (point_id % 3)*0.0002 as lng2 from pins),
+ d as (select point_id, blat, blng, unnest([{{'s_lat': lat1, 's_lng': lng1, 'e_lat': lat1, 'e_lng': lng2}}, {{'s_lat': lat1, 's_lng': lng2, 'e_lat': lat2, 'e_lng': lng2}}]) as d from g)
+ select point_id as draft_id, bool_or({_segment_m('blat', 'blng')} <= 18) as near from d group by 1""",
+    "user_projects": f"with {_STORE} select id, name, strftime(updated_at, '%Y-%m-%d %H:%M:%S') as updated_at from store where user_id = 'u7'",
+    "one_project": f"with {_STORE} select id, user_id, name, '{{}}' as osm_data from store where id = 'p7' and user_id = 'u7'",
+    "edit_replay": f"{_REPLAY} select project_id, array_to_string(current, ',') as current, array_to_string(undone, ',') as undone from done",
+    "last_edits": f"{_REPLAY} select project_id, current[-1] as last_id from done",
+    "provider_rejects": "select event_id, case when event_type not in ('click', 'view', 'error') then 'UNKNOWN_PROVIDER' end as reject_reason from events",
+    "route_ways": f"{_ROUTES} select area_id, round(max(d), 2) as length_m from reach group by 1",
     "document_round_trip": f"with {_ELEMENTS} select area_id, feature_id, feature_class, kind, cast(n_pts as bigint) as points from feats",
 }
+
+ORACLES["analysis_documents"] = ORACLES["change_analysis"]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import edits as log
 from ..operators import features, graph, projects, proximity, routing, rules, snapping, validate
-from ..sources import osm, schemas
+from ..sources import osm, schemas, store
+from ..sources.scratch import fresh_path
+from ..sources.scratch import written as shared_table
 from . import fixtures as fx
 
 NOW = "2024-06-01 12:00:00"
@@ -162,8 +164,7 @@ def edit_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def change_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    feats = fx.roads(spark, sf).where("feature_id % 40 < 1 + project_id")
-    out = rules.analyze(fx.projects_in(spark, sf), fx.edits(spark, sf), feats)
+    out = rules.analyze(fx.projects_in(spark, sf), fx.edits(spark, sf), fx.roads(spark, sf))
     return out.select("project_id", "summary", *[F.concat_ws(",", c).alias(c) for c in ("safety", "pedestrian", "suggestions")])
 
 
@@ -196,7 +197,8 @@ def latest_projects(spark: SparkSession, sf: str) -> DataFrame:
 
 def users_and_cascade(spark: SparkSession, sf: str) -> DataFrame:
     p = fx.store_projects(spark, sf)
-    users = p.where("user_id < 'u3'").selectExpr("user_id as id", "user_id as clerk_id", "cast(null as string) as email", "created_at").distinct()
+    # Users as they stood on the first morning; the requests bring others.
+    users = p.where("updated_at < timestamp'2024-01-01 00:30:00'").selectExpr("user_id as id", "user_id as clerk_id", "cast(null as string) as email", "created_at").distinct()
     users = projects.ensure_users(users, fx.save_requests(spark, sf).select("user_id"), F.lit(NOW))
     gone = users.where("id like 'u1%'").selectExpr("id as user_id")
     left = projects.delete_users({"users": users, "projects": p, "state": fx.store_state(spark, sf)}, gone)
@@ -222,8 +224,9 @@ def changed_since_last(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def affected_projects(spark: SparkSession, sf: str) -> DataFrame:
-    changes = fx.edits(spark, sf).where("edit_seq % 97 = 0")
-    return log.affected_projects(changes, fx.projects_in(spark, sf)).select("project_id")
+    """Areas whose graph grows when service roads are mapped too; one by one area has none yet."""
+    now = fx.roads(spark, sf)
+    return log.affected_projects(graph.network_report(now.where("kind <> 'service'")), graph.network_report(now))
 
 
 def raw_drafts(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,12 +252,95 @@ def document_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("area_id", "feature_id", "feature_class", "kind", F.size("geometry").cast("bigint").alias("points"))
 
 
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after a batch of saves, written as a snapshot and read back."""
+    saved, _, accepted = _saved(spark, sf)
+    root = fresh_path(spark, "store")
+    users = projects.ensure_users(spark.createDataFrame([], schemas.USERS), saved.select("user_id"), F.lit(NOW))
+    store.write_store({"users": users, "projects": saved.select("id", "user_id", "name", "bbox", "created_at", "updated_at"), "state": projects.upsert_state(fx.store_state(spark, sf), accepted)}, root)
+    back = store.read_store(spark, root)
+    own = back["projects"].join(back["users"].select(F.col("id").alias("user_id")), "user_id")
+    return own.join(back["state"], own["id"] == back["state"]["project_id"]).select("id", "user_id", "name", "user_edits")
+
+
+def analysis_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = osm.analysis_document(rules.analyze(fx.projects_in(spark, sf), fx.edits(spark, sf), fx.roads(spark, sf)))
+    of = lambda path: F.get_json_object("document", f"$.analysis.{path}")
+    listed = lambda c: F.concat_ws(",", F.from_json(of(c), "array<string>")).alias(c)
+    return docs.select("project_id", of("summary").alias("summary"), *[listed(c) for c in ("safety", "pedestrian", "suggestions")])
+
+
+def document_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """A document of features for every order, sound or broken in a way that follows from its priority."""
+    feature = """concat('{"id":', case when o_orderpriority = '1-URGENT' then concat('"', o_orderkey, '"') else cast(o_orderkey as string) end, case when o_orderpriority = '2-HIGH' then ',"kind":7' else ',"kind":"house"' end,
+     case when o_orderpriority = '3-MEDIUM' then ',"geometry":{}' else ',"geometry":[{"lat":1.5,"lng":2}]' end, '}')"""
+    counts = """case when o_orderstatus = 'P' then '' else ',"counts":{"roads":1}' end"""
+    doc = f"""concat('{{"bbox":{{"north":1}}', {counts}, ',"buildings":[', {feature}, '],"roads":[],"openLand":[]}}')"""
+    out = fx.table(spark, sf, "orders").selectExpr("o_orderkey", f"{doc} as document")
+    return out.select("o_orderkey", validate.json_document_is_valid(F.col("document")).alias("valid"))
+
+
+def gestures(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.keep_gestures(fx.drafts(spark, sf)).select("draft_id")
+
+
+def drawn_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes dragged from every pin: those that may be asked for, with their bounds and those bounds' box."""
+    p = geo.to_pixel(F.col("p"), F.col("zoom"))
+    boxes = fx.pins(spark, sf).withColumn("side", F.expr("cast(point_id % 600 as double)")).select("point_id", "zoom", p.alias("p"), geo.pixel(p["x"] - F.col("side"), p["y"] + F.col("side") / 2).alias("q"))
+    out = validate.keep_boxes(boxes).withColumn("again", geo.box_from_bounds(F.col("bounds"), F.col("zoom")))
+    return out.select("point_id", *[_r(f"bounds.{s}").alias(s) for s in ("north", "south", "east", "west")], _r("again.width", 2).alias("width"), _r("again.height", 2).alias("height"))
+
+
+def event_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "events").select("event_id", text.format_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+def near_own_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Is a place beside each draft within 18 m of the draft's own line?"""
+    d = fx.drafts(spark, sf)
+    beside = geo.point(F.col("start.lat") + 0.0001, F.col("start.lng") + F.col("draft_id") % 7 * 0.00005)
+    corner = geo.point(F.col("start.lat"), F.col("end.lng"))
+    return d.select("draft_id", geo.any_within(beside, F.array("start", corner, "end"), proximity.SIDEWALK_M).alias("near"))
+
+
+def user_projects(spark: SparkSession, sf: str) -> DataFrame:
+    return projects.list_projects(fx.store_projects(spark, sf), "u7").select("id", "name", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+def one_project(spark: SparkSession, sf: str) -> DataFrame:
+    return projects.get_project(fx.store_projects(spark, sf), fx.store_state(spark, sf), "p7", "u7").select("id", "user_id", "name", "osm_data")
+
+
+def last_edits(spark: SparkSession, sf: str) -> DataFrame:
+    return log.last_edit(log.replay(fx.edit_log(spark, sf))).select("project_id", F.col("last.id").alias("last_id"))
+
+
+def provider_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Who shall analyse: asked for by every event, in its own spelling."""
+    provider = F.expr("case event_type when 'click' then 'rules' when 'view' then 'RULES' when 'error' then null else event_type end")
+    return fx.table(spark, sf, "events").select("event_id", rules.provider_reject_reason(provider).alias("reject_reason"))
+
+
+def route_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """The way from each area's first node to every node in reach: its nodes and the length of its edges."""
+    s = graph.road_segments(fx.roads(spark, sf))
+    edges = shared_table(graph.graph_edges(s), "way-edges")
+    sources = graph.graph_nodes(s).groupBy("project_id").agg(F.min("node").alias("node")).withColumn("route_id", F.col("project_id"))
+    labels = shared_table(routing.shortest_distances(graph.adjacency(edges), sources), "way-labels")
+    # The farthest node of each area is its target; the larger node of equally far ones.
+    target = labels.groupBy("route_id", "project_id").agg(F.max_by("node", F.struct(F.round("distance_m", 3), "node")).alias("node"))
+    out = routing.path_lengths(routing.route_paths(labels, target), edges)
+    return out.select(F.col("route_id").alias("area_id"), _r("length_m", 2).alias("length_m"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         network_report, network_report_drawn, graph_nodes, graph_edges, node_degrees, dead_end_segments, sidewalk_proximity, nearest_segment, nearest_vertex, nearest_node, nearest_ring_point,
         snap_drafts, route_distances, route_requests, classify_elements, ingest_counts, ingest_quarantine, select_area, area_documents, bbox_validation, bounds_geojson, geometry_functions,
         canvas_points, edit_counts, change_analysis, save_projects, save_rejects, save_state, open_projects, latest_projects, users_and_cascade, edit_replay, autosave_sessions,
-        changed_since_last, affected_projects, raw_drafts, analyze_rejects, document_round_trip,
+        changed_since_last, affected_projects, raw_drafts, analyze_rejects, document_round_trip, store_round_trip, analysis_documents, document_checks,
+        gestures, drawn_boxes, event_stamps, near_own_path, user_projects, one_project, last_edits, provider_rejects, route_ways,
     )
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laneweave.functions import geo
-from laneweave.operators import features, rules, snapping, validate
+from laneweave.operators import edits, features, routing, rules, snapping, validate
 from laneweave.plans import queries
 from laneweave.sources import osm, schemas
 
@@ -65,3 +65,45 @@ def test_plans_push_down_and_avoid_nested_loops(spark, sf):
         assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text, name
     orders = [line for line in plan("graph_edges").splitlines() if "orders.parquet" in line][0]
     assert "o_totalprice" not in orders and "IsNotNull(o_custkey)" in orders
+
+
+def test_a_long_slanting_line_takes_cells_along_it_only(spark):
+    """10 km at zoom 18, and the nearest segment is still found beside its middle."""
+    from laneweave.operators import proximity
+
+    way = spark.sql("select 1L as project_id, 7L as feature_id, 7L as feature_seq, 0 as segment_index, named_struct('lat', 50D, 'lng', 8D) as a, named_struct('lat', 50.064D, 'lng', 8.1D) as b")
+    zero = F.lit(0.0)
+    a, b = geo.to_pixel(F.col("a"), zero), geo.to_pixel(F.col("b"), zero)
+    cells = way.select(F.size(proximity._line_cells(a["x"], a["y"], b["x"], b["y"], F.lit(34.0 / 2**18)))).first()[0]
+    assert cells < 3_000
+    points = spark.sql("select 1L as project_id, id as point_id, named_struct('lat', 50D + 0.064D * id / 100 + 0.00002D, 'lng', 8D + 0.1D * id / 100) as p, 18D as zoom from range(1, 100)")
+    got = proximity.nearest_segment(points, way).collect()
+    assert len(got) == 99 and all(r.feature_id == 7 and r.distance < 10 for r in got)
+
+
+def test_white_space_of_all_kinds_is_blank(spark):
+    rows = [(1, " \t\n\u00a0\u3000", "[]", "a"), (2, "\t A\u2003b \n", "\n {}", ""), (3, "x", "{} y", "p")]
+    df = spark.createDataFrame(rows, "seq int, name string, osm_data string, id string").withColumns({"user_edits": F.lit("[1]"), "bbox": F.expr("named_struct('north', 1D, 'south', 0D, 'east', 1D, 'west', 0D)")})
+    got = {r.seq: (r.name, r.id, r.reject_reason) for r in validate.save_reject_reason(df).collect()}
+    assert got == {1: ("", "a", "NO_NAME"), 2: ("A\u2003b", None, None), 3: ("x", "p", "NO_OSM_DATA")}
+
+
+def test_documents_have_their_types(spark):
+    good = '{"bbox":{"north":1},"counts":{"roads":0},"buildings":[{"id":1.5,"kind":"x","geometry":[]}],"roads":[],"openLand":[]}'
+    bad = [good.replace("1.5", '"1"'), good.replace('"x"', "1"), good.replace('"geometry":[]', '"geometry":{}'), good.replace('"roads":[],', ""), good.replace('{"north":1}', "null"), "{", None, "[]"]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate([good, "\n" + good, *bad])], "i int, d string")
+    assert [r.ok for r in df.select("i", validate.json_document_is_valid(F.col("d")).alias("ok")).orderBy("i").collect()] == [True, True] + [False] * len(bad)
+
+
+def test_paths_are_never_cut_short(spark):
+    labels = spark.sql("select 1L as route_id, 1L as project_id, id as node, case when id > 0 then id - 1 end as pred, double(id) as distance_m from range(8)")
+    target = spark.sql("select 1L as route_id, 1L as project_id, 7L as node")
+    assert routing.route_paths(labels, target).count() == 8
+    with pytest.raises(RuntimeError):
+        routing.route_paths(labels, target, max_hops=3)
+
+
+def test_graph_size_decides_what_is_affected(spark):
+    of = lambda rows: spark.createDataFrame(rows, "project_id long, nodes long, edges long")
+    got = edits.affected_projects(of([(1, 4, 3), (2, 4, 3), (3, 1, 1), (5, 2, 2)]), of([(1, 4, 3), (2, 4, 4), (4, 1, 1), (5, 2, 2)]))
+    assert {r.project_id for r in got.collect()} == {2, 3, 4}

@@ -33,7 +33,7 @@ def _words(column) -> tuple[np.ndarray, np.ndarray]:
 class _Windows:
     """Windows of a block of items: word hashes, lengths, and their shingles."""
 
-    def __init__(self, items: list[tuple[str | None, str]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[list[str], str]], window: int, shingle: int):
         words, firsts = _words(pa.array([t for _, t in items], pa.string()))
         starts, lengths, owner = [], [], []
         for i in range(len(items)):
@@ -151,7 +151,7 @@ def _pass(docs: DataFrame, w: _Windows, row_type: str) -> DataFrame:
                 old = [(h["start"], h["end"]) for h in hits[i]]
                 s, e = merged(np.r_[[a for a, _ in old], start[k]].astype(np.int64), np.r_[[b for _, b in old], end[k]].astype(np.int64))
                 hits[i] = [{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist())]
-                names = {w.names[o] for o in w.owner[window[k]].tolist()} - {None}
+                names = {n for o in np.unique(w.owner[window[k]]).tolist() for n in w.names[o]}
                 items[i] = sorted(names | set(items[i]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("text"), pa.array(np.diff(firsts)), pa.array(hits, _RUNS), pa.array(items, pa.list_(pa.string()))],
@@ -181,7 +181,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     made = ("n_words", "hits", "items")
     rest = [c for c in docs.columns if c not in made]
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
-    _, total = shared.text_total(items)
+    # Repeated texts are one text with several names.
+    items = shared.written(items.groupBy("text").agg(F.collect_set("id").alias("ids")), "items")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length(F.concat_ws("", "ids"))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     inner = docs.select(
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest) if c != text_col], F.lit(0).alias("none")).alias("row"),
@@ -194,7 +196,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     out = inner
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        w = _Windows([(r.id, r.text) for r in block], window, shingle)
+        w = _Windows([(r.ids, r.text) for r in block], window, shingle)
         w.keep_rarest(_count(inner, w.tokens()))
         out = _pass(out, w, row_type)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)], *made)

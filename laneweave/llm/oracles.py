@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .urls import _BINS, _REACH, _SIZE, ALPHABET, RULES, SMOOTHING
+from .urls import _BINS, _REACH, _SIZE, ALPHABET, HELD_OUT, RULES, SMOOTHING
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -75,6 +75,7 @@ def _smoothed(side: str) -> str:
     return f"((coalesce(abc.{side}, 0) + {SMOOTHING}*{p}) / (coalesce(ab.{side}, 0) + {SMOOTHING}))"
 
 
+_HELD_OUT = f"md5(url)[1] in ({', '.join(repr(c) for c in HELD_OUT)})"
 _OP10 = rf"""
 with cut as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 cut2 as (select page_id, url, regexp_extract(coalesce(rest, ''), '^([^?#]*)', 1) as hp from cut),
@@ -84,13 +85,13 @@ urls as (select url, given, count(*) as n, regexp_replace(regexp_replace({_LOWER
 chars as (select url, given, n, unnest(range(1, length(plain) + 1)) as p, plain from urls),
 codes as (select url, given, n, p, strpos('{ALPHABET}', substr(plain, p, 1)) - 1 as c from chars),
 grams as (select *, lag(c, 1, 0) over w as b, lag(c, 2, 0) over w as a from codes window w as (partition by url order by p)),
-abc as (select a, b, c, coalesce(sum(n) filter (given = 'allow'), 0)::double as yes, coalesce(sum(n) filter (given = 'block'), 0)::double as no from grams where given is not null group by a, b, c),
+abc as (select a, b, c, coalesce(sum(n) filter (given = 'allow'), 0)::double as yes, coalesce(sum(n) filter (given = 'block'), 0)::double as no from grams where given is not null and not {_HELD_OUT} group by a, b, c),
 ab as (select a, b, sum(yes) as yes, sum(no) as no from abc group by a, b), bc as (select b, c, sum(yes) as yes, sum(no) as no from abc group by b, c),
 b as (select b, sum(yes) as yes, sum(no) as no from abc group by b), c as (select c, sum(yes) as yes, sum(no) as no from abc group by c),
 t as (select coalesce(sum(yes), 0) as yes, coalesce(sum(no), 0) as no from abc),
 scored as (select g.url, any_value(g.given) as given, any_value(g.n) as n, avg(ln({_smoothed('yes')}) - ln({_smoothed('no')})) as score from grams g
  left join abc on abc.a = g.a and abc.b = g.b and abc.c = g.c left join ab on ab.a = g.a and ab.b = g.b left join bc on bc.b = g.b and bc.c = g.c left join b on b.b = g.b left join c on c.c = g.c, t group by g.url),
-bins as (select floor((greatest(-{_REACH}, least({_REACH}, score)) + {_REACH}) * {_BINS / (2 * _REACH)}) as bin, sum(case when given = 'allow' then n else 0 end) as yes, sum(case when given = 'block' then n else 0 end) as no from scored where given is not null group by 1),
+bins as (select floor((greatest(-{_REACH}, least({_REACH}, score)) + {_REACH}) * {_BINS / (2 * _REACH)}) as bin, sum(case when given = 'allow' then n else 0 end) as yes, sum(case when given = 'block' then n else 0 end) as no from scored where given is not null and {_HELD_OUT} group by 1),
 sums as (select *, sum(yes) over () as ys, sum(no) over () as ns, coalesce(sum(yes) over (order by bin rows between unbounded preceding and 1 preceding), 0) as by_, coalesce(sum(no) over (order by bin rows between unbounded preceding and 1 preceding), 0) as bn, lag(bin) over (order by bin) as before from bins),
 places as (select by_ / ys + 1 - bn / ns as cost, case when before is null then bin / {_BINS / (2 * _REACH)} - {_REACH} else ((bin / {_BINS / (2 * _REACH)} - {_REACH}) + ((before + 1) / {_BINS / (2 * _REACH)} - {_REACH})) / 2 end as place from sums where ys > 0 and ns > 0),
 threshold as (select coalesce((select place from places order by cost, place limit 1), '-infinity'::double) as at)

@@ -57,7 +57,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_spaces = self.tokenizer.normalizer is None
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         if self.keeps_spaces:  # byte-level: a token's text has one character for each byte

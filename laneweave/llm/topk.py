@@ -73,38 +73,31 @@ def _block_top(file: ApproximationFile, ids: np.ndarray, queries: np.ndarray, qu
     return [np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(3)]
 
 
-_VECTORS = "id long, dims int, vector binary"
+#: Integers that a double holds exactly; scores and bounds stay below.
+_EXACT = float(1 << 53)
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, factor: int) -> DataFrame:
-    """(id, dims, vector as int64 bytes) with floor(factor * x); unusable vectors are left out."""
+    """(id, dims, vector as array of longs) with floor(factor * x); unusable vectors are left out.
 
-    def run(batches):
-        for batch in batches:
-            ids, column = batch.column("id"), batch.column("v")
-            keep, dims, raw = [], [], []
-            for i, v in enumerate(column):
-                if not v.is_valid or not ids[i].is_valid:
-                    continue
-                values = v.values
-                if values is None or values.null_count:
-                    continue
-                x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(x).all():
-                    continue
-                keep.append(ids[i].as_py())
-                dims.append(len(x))
-                raw.append(np.floor(factor * x).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["id", "dims", "vector"])
-
-    return vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).mapInArrow(run, _VECTORS)
+    By Cauchy and Schwarz no inner product passes the largest squared length;
+    a vector whose squared length is no exact double is an error.
+    """
+    v = F.col("v")
+    good = F.col("id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+    plain = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where(good)
+    scaled = lambda x: F.lit(float(factor)) * x.cast("double")
+    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + (F.abs(scaled(x)) + 1) * (F.abs(scaled(x)) + 1))
+    wide = F.raise_error(F.concat(F.lit("components too large for exact scores in vector "), F.col("id").cast("string")))
+    fits = F.when(squared < _EXACT, F.transform("v", lambda x: F.floor(scaled(x)).cast("long"))).otherwise(wide.cast("array<long>"))
+    return plain.select("id", F.size("v").alias("dims"), fits.alias("vector"))
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, factor: int = 64, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each query.
 
     Components become floor(factor * x) and scores are their integer inner
-    products, which must stay below 2**53. Queries are the rows whose id is
+    products; components so large that these may pass 2**53 are an error. Queries are the rows whose id is
     divisible by ``every``; candidates are all rows with another id. Ties go to
     the smaller id. All candidates come out where there are fewer than ``k``.
 
@@ -132,7 +125,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             asks.append(batch.column("asks").to_numpy(zero_copy_only=False))
             ids.append(batch.column("id").to_numpy())
             dims.append(batch.column("dims").to_numpy())
-            raw += batch.column("vector").to_pylist()
+            v = batch.column("vector")
+            flat, edge = v.flatten().to_numpy(), np.append(0, np.cumsum(batch.column("dims").to_numpy()))
+            raw += [flat[i:j].astype("<i8").tobytes() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]
         if not ids:
             return
         asks, ids, dims = np.concatenate(asks), np.concatenate(ids), np.concatenate(dims)

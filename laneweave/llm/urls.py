@@ -1,9 +1,9 @@
 """URL filter by the ratio of two character language models, in DataFrame functions alone.
 
 Rules label some URLs. Two smoothed Markov models of variable order, one of
-accepted and one of rejected URLs, are counted from these; a URL without a
+accepted and one of rejected URLs, are counted from most of these; a URL without a
 rule is judged by the difference of its log-likelihoods per character, against
-a threshold calibrated on the labelled ones.
+a threshold calibrated on labelled ones that were not counted.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ _SIZE = len(ALPHABET)
 ORDER = 3
 #: Weight of the next shorter context in a context's smoothed distribution.
 SMOOTHING = 4.0
+#: First hexadecimal digits of the MD5 of labelled URLs that set the threshold and are not counted.
+HELD_OUT = "012"
 _BINS = 400
 _REACH = 4.0
 
@@ -98,6 +100,10 @@ def ratio_table(count: DataFrame) -> DataFrame:
     return table.select("gram", ratio.alias("ratio"))
 
 
+def held_out(url: Column) -> Column:
+    return F.substring(F.md5(url.cast("binary")), 1, 1).isin(*HELD_OUT)
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict and score.
 
@@ -105,8 +111,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     end, A-Z lower-cased; the path what follows up to ``?``, ``#`` or the end.
     Of the rules that fit the longest wins and gives the verdict. Otherwise the
     models do: score is the log-likelihood difference per character, allow at
-    or above the threshold. Models and threshold come from all URLs with a
-    rule. Null URLs have score 0. If the rules accept or reject no URL at all,
+    or above the threshold. The models come from all URLs with a rule but a
+    part held out by hash (``HELD_OUT``), and the threshold from that part. Null URLs have score 0. If the rules accept or reject no URL at all,
     every other URL is allowed. Input columns of these names are replaced;
     repeated rows stay one for one; an empty table gives an empty result.
     """
@@ -122,7 +128,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     )
     grams = padded.select("__url", "__given", "__n", F.explode(_grams(F.col("__padded"))).alias("gram"))
     counted = (
-        grams.where(F.col("__given").isNotNull())
+        grams.where(F.col("__given").isNotNull() & ~held_out(F.col("__url")))
         .groupBy("gram")
         .agg(F.sum(F.when(F.col("__given") == "allow", F.col("__n"))).alias("yes"), F.sum(F.when(F.col("__given") == "block", F.col("__n"))).alias("no"))
     )
@@ -130,7 +136,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     of_url = grams.join(F.broadcast(model), "gram").groupBy("__url", "__given", "__n").agg(F.avg("ratio").alias("score"))
     of_url = shared.written(of_url, "url-scores")
     place = F.floor((F.greatest(F.lit(-_REACH), F.least(F.lit(_REACH), "score")) + _REACH) * (_BINS / (2 * _REACH)))
-    bins = of_url.where(F.col("__given").isNotNull()).groupBy(place.alias("bin")).agg(
+    bins = of_url.where(F.col("__given").isNotNull() & held_out(F.col("__url"))).groupBy(place.alias("bin")).agg(
         F.sum(F.when(F.col("__given") == "allow", F.col("__n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("__given") == "block", F.col("__n")).otherwise(0)).alias("no")
     )
     threshold = _threshold([(r.bin, r.yes, r.no) for r in bins.collect()])  # a bounded histogram

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -38,11 +39,12 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to, is_revisit: bo
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
         *([f"WARC-Target-URI: {target}"] if target else []),
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        *([f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"] if is_revisit else []),
+        *([f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page: {refers_to}"] if is_revisit else []),
         "Content-Type: text/html; charset=utf-8",
         f"X-Payload-Length: {len(payload)}",
         f"Content-Length: {0 if is_revisit else len(payload)}",
@@ -114,6 +116,8 @@ def with_record_type(pages: DataFrame, id_col: str = "page_id", payload_col: str
     """
     body = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
     marked = pages.withColumns({"digest": F.sha1(body), "n_bytes": F.octet_length(body).cast("long")})
+    # Short payloads match nothing and stay out of the join. The other side is written, so that a payload of very many
+    # pages has only exchanges under the join and can be split.
     copies = (
         marked.where(F.col("n_bytes") >= least_bytes)
         .groupBy("digest", "n_bytes")
@@ -121,8 +125,11 @@ def with_record_type(pages: DataFrame, id_col: str = "page_id", payload_col: str
         .where("n > 1 and latest is not null")
         .select("digest", "n_bytes", "latest")
     )
-    joined = marked.join(copies, ["digest", "n_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(~F.col(f"`{id_col}`").eqNullSafe(F.col("latest")), F.col("latest"))).drop("latest")
+    copies = shared.written(copies, "copies")
+    joined = marked.where(F.col("n_bytes") >= least_bytes).join(copies, ["digest", "n_bytes"], "left")
+    referring = joined.withColumn("refers_to", F.when(~F.col(f"`{id_col}`").eqNullSafe(F.col("latest")), F.col("latest"))).drop("latest")
+    alone = marked.where(F.col("n_bytes") < least_bytes)
+    return referring.unionByName(alone.withColumn("refers_to", F.lit(None).cast(referring.schema["refers_to"].dataType)))
 
 
 def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None, date: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -132,7 +139,8 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     length and the page it refers to, but no payload. Null payloads are empty;
     null and odd URLs are written without, or percent-encoded. Repeated rows
     are written one for one (of those with the largest identifier, each is a
-    response). An empty table gives no archive. A task holds ``archive_bytes``
+    response). Every record has an identifier of its own; that of the page is a
+    field. An empty table gives no archive. A task holds ``archive_bytes``
     of payload, or one longer page. Only archives in the manifest count: a lost
     attempt's files are not in it.
     """
@@ -168,8 +176,7 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 
 
 def _page_of(value: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
-    return int(m[1]) if m else None
+    return None if value is None else int(value)
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
@@ -189,8 +196,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                         kind, digest, n = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
                         if kind == "response" and (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, n):
                             raise ValueError(f"payload differs from its digest in {path}")
-                        refers_to = _page_of(fields.get("WARC-Refers-To"))
-                        rows.append((_page_of(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), kind, refers_to, digest, n, payload if kind == "response" else None))
+                        refers_to = _page_of(fields.get("X-Refers-To-Page"))
+                        rows.append((_page_of(fields.get("X-Page-ID")), fields.get("WARC-Target-URI"), kind, refers_to, digest, n, payload if kind == "response" else None))
                         held += len(payload)
                         if held > 4 << 20:
                             yield batch_of(rows)

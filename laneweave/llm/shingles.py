@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared, simhash
-from .arrays import SPACED, U64, changes, lower_ascii, mix, prefix_sums, run_hash, slices, text_bytes, word_hashes, word_spans
+from .arrays import SPACED, U64, changes, give_back, lower_ascii, mix, prefix_sums, run_hash, slices, text_bytes, word_hashes, word_spans
 from .components import components
 
 #: Sets link from a Jaccard similarity of 4/5 on: 9 * common >= 4 * (one + other).
@@ -199,6 +199,7 @@ def _dealt(rows: DataFrame, key: str, chunks: Column, part_rows: int, n: int, co
                 held = held.slice(last)
         if held is not None and held.num_rows:
             yield edges(held)
+        give_back()
 
     return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("k", "i", "j", "node").mapInArrow(run, "a long, b long")
 

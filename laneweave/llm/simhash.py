@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared, shingles
-from .arrays import U64, changes, mix, slices, text_bytes
+from .arrays import U64, changes, give_back, mix, slices, text_bytes
 from .components import components
 
 #: Reference fingerprints.
@@ -244,6 +244,7 @@ def links(nodes: DataFrame, max_bits: int, group_limit: int = GROUP_LIMIT) -> Da
                 held = [c[last:] for c in held]
         if held is not None and len(held[0]):
             yield edges(held)
+        give_back()
 
     return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("t", "k", "i", "j", "id").mapInArrow(run, "a long, b long")
 

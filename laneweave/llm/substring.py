@@ -82,7 +82,7 @@ def _factor(plan: repeats.Plan, data, edge, base, count, doc, start):
     return piece, first, first + length - plan.window
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, respace: bool = False, part_bytes: int = 18 << 20, **tuning) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, respace: bool = False, part_bytes: int = 8 << 20, **tuning) -> DataFrame:
     """Take out every word that a repeated window of ``window`` words covers.
 
     Words are split at ASCII white space. A window is repeated if its words

@@ -71,7 +71,7 @@ def _corpus_order(plan: repeats.Plan, data, edge, base, count, doc, start):
     return row[begin], own[begin], own[end]
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, part_bytes: int = 18 << 20, **tuning) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, part_bytes: int = 8 << 20, **tuning) -> DataFrame:
     """Take out every byte that a string of an earlier document covers.
 
     Texts are UTF-8 bytes. A string of ``window`` bytes is repeated if it also

@@ -24,6 +24,8 @@ DIMENSIONS = 1 << 12
 FIT_PER_LANGUAGE = 500
 #: Labelled documents of all languages together that they are fitted on at most, but one of each language at least.
 FIT_ALL = 16_000
+#: Score below which keep_identified rejects a text: even the family that takes it best rather says no.
+LEAST_SCORE = 0.35
 
 # Family of common ISO 639-1 codes. Any other code is a family of its own.
 FAMILIES = {
@@ -237,7 +239,21 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)], "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, **columns) -> DataFrame:
-    """Documents whose language is known, columns as they are; ``und`` goes."""
-    found = predict(docs, fit(docs, **columns), columns.get("text_col", "text"))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **columns) -> DataFrame:
+    """Documents whose language is known, columns as they are.
+
+    Null texts, texts without a letter and those that the machines score below
+    ``least_score`` go: no family takes them, or no language of the family
+    (machines fitted on a few dozen documents of a language are less sure of
+    anything and reject less). Where no label can be learned from, the machines decide nothing and every
+    text with a letter stays. Rows count one by one, repeated ones too; an
+    empty table gives an empty result.
+    """
+    text_col = columns.get("text_col", "text")
+    model = fit(docs, **columns)
+    if model is None:
+        return docs.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
+    # Columns of these names may be the documents' own: the prediction stands beside them.
+    own = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], F.lit(0).alias("none")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    found = predict(own, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

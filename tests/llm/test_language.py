@@ -1,7 +1,7 @@
 import random
 
 from laneweave.llm import language
-from laneweave.llm.language import fit, held_out, predict
+from laneweave.llm.language import fit, held_out, keep_identified, predict
 
 
 def test_every_label_is_learned(spark, monkeypatch):
@@ -20,3 +20,22 @@ def test_every_label_is_learned(spark, monkeypatch):
     got = predict(docs.where(held_out()).where("doc_id < 20000"), model).collect()
     assert {x.lang for x in got} == {f"x{c:03}" for c in range(120)}
     assert sum(x.lang == x.lang_pred for x in got) > 0.9 * len(got)
+
+
+def test_the_machines_reject_what_no_family_takes(spark):
+    """Fitted on some hundred documents of each label. Clean documents stay; texts in a script that no label has go; columns named as the prediction stay as they are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "lang", "'mine' as lang_pred", "-1D as score")
+    odd = [(10**6, "Слова на языке, которого никто не учил, и ещё немного слов", None), (10**6 + 1, "言葉は誰も学んでいない言語で書かれている", None), (10**6 + 2, None, None), (10**6 + 3, "", None), (10**6 + 4, "12 + 34", None)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, lang string").selectExpr("*", "'mine' as lang_pred", "-1D as score")
+    kept = keep_identified(docs.unionByName(odd))
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {(r.lang_pred, r.score) for r in rows} == {("mine", -1.0)}
+
+
+def test_without_a_label_every_text_with_a_letter_stays(spark):
+    rows = [(1, "some words", None), (2, "12", None), (3, None, None), (4, "слово", None), (4, "слово", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in keep_identified(docs).collect()) == [1, 4, 4]
+    assert keep_identified(docs.limit(0)).count() == 0

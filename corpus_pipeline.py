@@ -19,12 +19,19 @@ from laneweave.llm.substring import remove_repeated_passages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; texts that are null or without a letter go."""
+    """Documents in which a language can be told.
+
+    Texts that are null, without a letter, or that no language machine takes
+    go. Nothing is rejected by its score where no label can be learned from.
+    """
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: that with the smallest doc_id."""
+    """One document of every group of near copies: that with the smallest doc_id.
+
+    A null text counts as an empty one; repeated rows are copies.
+    """
     return drop_near_duplicates(docs)
 
 

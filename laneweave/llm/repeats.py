@@ -115,11 +115,11 @@ class Pieces:
         pair = h[order][1:] == h[order][:-1]
         some = order[np.append(False, pair) | np.append(pair, False)] if len(h) else order
         order = some[np.lexsort((self.start[some], self.doc[some], size[some], h[some]))]
-        new = changes(h[order], size[order])
-        leader[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-        other = np.flatnonzero(leader != np.arange(len(leader)))
-        differ = other[~equal_bytes(self.data, at[other], at[leader[other]], size[other])]
-        leader[differ] = differ
+        while len(order):  # what differs from the first of its hash is compared with the next that does
+            new = changes(h[order], size[order])
+            leader[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            other = order[leader[order] != order]
+            order = other[~equal_bytes(self.data, at[other], at[leader[other]], size[other])]
         late = self.doc > self.doc[leader]
         if plan.within:
             late |= (self.doc == self.doc[leader]) & (self.start > self.start[leader])

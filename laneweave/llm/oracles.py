@@ -98,6 +98,44 @@ threshold as (select coalesce((select place from places order by cost, place lim
 select s.page_id, s.host, s.path, s.rule, coalesce(s.given, case when coalesce(x.score, 0) >= threshold.at then 'allow' else 'block' end) as verdict from seen s left join scored x on x.url = s.url, threshold
 """
 
+_OP11 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings where embedding is not null and vec_id is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, c.vec_id as id, c.label, list_inner_product(a.e, c.e)::bigint as score from v a join v c on c.vec_id <> a.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where label = own qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select p.anchor_id, p.positive_id, p.positive_score, s.id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id)::int as rank from p join s on s.anchor_id = p.anchor_id and s.label <> s.own and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+_OP12 = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+w as (select r, lang, source, unnest(words) as term from d),
+kept as (select lang, term, count(*) as ln from w group by lang, term having count(distinct r) >= 3),
+c as (select w.lang, w.source, w.term, count(*) as n from w join kept using (lang, term) group by all),
+g as (select lang, source from d group by all),
+big as (select lang, count(*) as v, sum(ln)::bigint as lt from kept group by lang),
+tot as (select lang, source, sum(n)::bigint as t from c group by all),
+groups as (select g.lang, g.source, coalesce(t, 0) as t, v, lt from g left join tot using (lang, source) left join big using (lang)),
+p as (select groups.lang, groups.source, kept.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (groups.t + groups.v) as p, 1 + (1000000000 * (kept.ln + 1)) // (groups.lt + groups.v) as q
+ from groups join kept using (lang) left join c on c.lang = groups.lang and c.source = groups.source and c.term = kept.term),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value from p a join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(value, 0) as value from groups a join groups b on b.lang = a.lang and b.source <> a.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from p where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value::bigint as value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all select * from (select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 200
+"""
+
+_OP13 = rf"""
+with recursive lists as (select doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+shingles as (select distinct doc_id, array_to_string(words[s : s + 3], ' ') as shingle from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as s from lists where len(words) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on b.shingle = a.shingle and b.doc_id > a.doc_id group by all),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from reach r join both_ways e on e.a = r.b),
+least as (select a as doc_id, min(b) as component_id from reach group by a)
+select l.doc_id, coalesce(n, 0) as n_shingles, component_id, l.doc_id = component_id as kept from lists l join least using (doc_id) left join sizes using (doc_id)
+"""
+
 ORACLES = {
     "op2_substring_dedup": _OP2,
     "op5_decontamination": _OP5,
@@ -105,4 +143,7 @@ ORACLES = {
     "op7_warc": _OP7,
     "op9_suffix_dedup": _OP9,
     "op10_url_filter": _OP10,
+    "op11_hard_negatives": _OP11,
+    "op12_source_divergence": _OP12,
+    "op13_minhash_dedup": _OP13,
 }

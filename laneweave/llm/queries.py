@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .contamination import find_contamination, hit_words
 from .language import fit, held_out, predict
+from .divergence import source_divergence
+from .minhash import near_set_groups
+from .negatives import hard_negatives
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .simhash import near_duplicate_groups, with_fingerprint
@@ -93,6 +96,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    # A seventh of the labels is wrong on purpose.
+    moved = F.when(F.pmod(F.col("vec_id"), F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_set_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -104,4 +122,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }

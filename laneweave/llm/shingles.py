@@ -166,7 +166,7 @@ def near_sets(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return _settled(n, near)
 
 
-def _dealt(rows: DataFrame, key: str, chunks: Column, part_rows: int, n: int, compare) -> DataFrame:
+def dealt_edges(rows: DataFrame, key: str, chunks: Column, part_rows: int, n: int, compare) -> DataFrame:
     """Edges (a, b) of the groups of rows with one key; a group of several chunks meets as pairs of them."""
     columns = [c for c in rows.columns if c != key]
     rows = rows.withColumn("chunks", chunks)
@@ -219,7 +219,7 @@ def candidates(nodes: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
         words = np.stack([table[m].to_numpy() for m in MARKS], axis=1).view(U64)
         return simhash.link_group(words, MAX_BITS, table["size"].to_numpy())
 
-    return _dealt(rows, "key", F.ceil(F.col("n") / group_limit).cast("int"), 50_000, n, compare)
+    return dealt_edges(rows, "key", F.ceil(F.col("n") / group_limit).cast("int"), 50_000, n, compare)
 
 
 def verified(texts: DataFrame, clusters: DataFrame, shingle: int, cluster_limit: int = CLUSTER_LIMIT) -> DataFrame:
@@ -238,7 +238,7 @@ def verified(texts: DataFrame, clusters: DataFrame, shingle: int, cluster_limit:
     sets = texts.select("root", "node", "text").mapInArrow(run, "root long, node long, hashes binary")
     total = clusters.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
     rows = sets.join(clusters, "root")
-    return _dealt(rows, "root", F.ceil(F.col("shingles") / cluster_limit).cast("int"), 4_000_000, int(total), compare)
+    return dealt_edges(rows, "root", F.ceil(F.col("shingles") / cluster_limit).cast("int"), 4_000_000, int(total), compare)
 
 
 def near_copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:

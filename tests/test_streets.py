@@ -267,10 +267,10 @@ def test_replay_on_a_stream_is_the_batch(spark, tmp_path):
         got[r.project_id] = (r.current_ids, r.undone_ids)
     want = {r.project_id: (",".join(e.id for e in r.current), ",".join(e.id for e in r.undone)) for r in log.replay(df).collect()}
     assert got == want
-    q = autosave_stream(stream).writeStream.outputMode("append").format("memory").queryName("saved").option("checkpointLocation", str(tmp_path / "c2")).start()
+    q = autosave_stream(stream.withColumn("state", F.col("id"))).writeStream.outputMode("append").format("memory").queryName("saved").option("checkpointLocation", str(tmp_path / "c2")).start()
     q.processAllAvailable()
     q.stop()
-    assert spark.table("saved").columns == ["project_id", "saved_at", "last_change", "changes"]
+    assert spark.table("saved").columns == ["project_id", "saved_at", "first_change", "last_change", "changes", "signature"]
 
 
 def test_autosave_skips_equal_content(spark):

@@ -1,87 +1,183 @@
 """Shortest paths for batches of routes.
 
-All routes advance together: each round joins the nodes that got nearer in the
-last round with their neighbours and keeps improvements. Rounds are as many as
-the longest path has edges; every round's improvements are written to the
-shared folder, and no graph ever comes to the driver.
+All routes advance together. A round takes the nodes that got nearer in the
+last one to their neighbours; labels old and new meet in one aggregation, kept
+together by route. A label that no open node can touch any more is written out
+for good and not read again, so a round costs what lies around the open nodes
+and not what was found before. No graph comes to the driver.
+
+With both ends known a route is searched from both. Once the two searches meet,
+half of the best length found bounds each of them, and the great-circle
+distance to the other end drops nodes that lie too far aside. A search whose
+one side has seen all that it can reach ends, however large the other side is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..sources.scratch import fresh_path
+from ..functions.geo import EARTH_RADIUS_M
+from ..sources.scratch import fresh_path, written
 from .graph import Graph, adjacency
 from .proximity import nearest_node
 
+#: Metres within which two lengths are the same.
+SAME_M = 1e-4
+#: Nodes that merge differ by 0.16 m at most, and edges are 1 m long or longer, so no way is shorter than this part of the great circle.
+_NO_SHORTER = 0.75
 
-def shortest_distances(neighbours: DataFrame, sources: DataFrame, max_rounds: int = 10_000, targets: DataFrame | None = None, hops: int = 4) -> DataFrame:
-    """(route_id, project_id, node, distance_m, pred) for every node in reach of a route's source.
 
-    ``neighbours`` has project_id, node, neighbour, length_m in both
-    directions; ``sources`` route_id, project_id, node. With ``targets``
-    (route_id, node) a route stops where no open node is nearer than its
-    target. Of equally short ways found together the smallest predecessor wins.
-    A round goes ``hops`` edges far, so that fewer rounds are written.
+class Found(NamedTuple):
+    """A search from both ends: its labels and each route's length."""
+
+    labels: DataFrame  # route_id, project_id, node, d0, d1
+    lengths: DataFrame  # route_id, project_id, source, target, distance_m
+
+
+def _packed(node: Column) -> Column:
+    """A node key as one whole number, in the same order: hash aggregation and windows work on it as it is."""
+    return F.shiftleft(node["lat_e6"] + 90_000_000, 32) + (node["lng_e6"] + 180_000_000)
+
+
+def _unpacked(node: Column) -> Column:
+    return F.struct((F.shiftright(node, 32) - 90_000_000).alias("lat_e6"), (node.bitwiseAND(F.lit((1 << 32) - 1)) - 180_000_000).alias("lng_e6"))
+
+
+def _great_circle(node: str, end: str) -> str:
+    lat, lng = (lambda n: f"radians(shiftright({n}, 32) / 1e6D - 90)"), (lambda n: f"radians(({n} & 4294967295) / 1e6D - 180)")
+    h = f"(pow(sin(({lat(end)} - {lat(node)}) / 2), 2) + cos({lat(node)}) * cos({lat(end)}) * pow(sin(({lng(end)} - {lng(node)}) / 2), 2))"
+    return f"(2 * {EARTH_RADIUS_M} * asin(least(1D, sqrt({h}))))"
+
+
+_ROUND = """with known as (select * from {known} where not over),
+ahead as (select route_id, project_id, source, target, reach_m, best_m, node, e.side, e.d from known lateral view explode(array(named_struct('side', 0, 'd', if(open0, d0, null)), named_struct('side', 1, 'd', if(open1, d1, null)))) t as e
+ where (open0 or open1) and e.d is not null),
+step as (select a.*, g.neighbour, a.d + g.length_m as m from ahead a join {graph} g on g.project_id = a.project_id and g.node = a.node),
+met as (select route_id, node, project_id, source, target, reach_m, best_m, d0, d1, d0 as k0, d1 as k1 from known
+ union all select route_id, neighbour, project_id, source, target, reach_m, best_m, if(side = 0, m, null), if(side = 1, m, null), null, null from step),
+dealt as (select /*+ repartition(route_id) */ * from met),
+merged as (select route_id, node, first(project_id) as project_id, first(source) as source, first(target) as target, first(reach_m) as reach_m, min(best_m) as least_m, min(d0) as d0, min(d1) as d1, min(k0) as k0, min(k1) as k1 from dealt group by route_id, node),
+bounded as (select *, least(min(least_m) over (partition by route_id), min(d0 + d1) over (partition by route_id)) as best_m from merged),
+opened as (select *, OPEN0 as open0, OPEN1 as open1 from bounded)
+select route_id, project_id, node, source, target, reach_m, d0, d1, open0, open1, best_m,
+ (ENDED) or ((d0 is null or coalesce(d0 + reach_m < least(least0, BOUND), false)) and (d1 is null or coalesce(d1 + reach_m < least(least1, BOUND), false))) as over
+ from (select *, min(if(open0, d0, null)) over (partition by route_id) as least0, min(if(open1, d1, null)) over (partition by route_id) as least1 from opened)"""
+
+
+def _round(both_ends: bool) -> str:
+    """A round in SQL: analysed once, where as many DataFrame calls would be analysed one by one."""
+    nearer = lambda s: f"d{s} is not null and (k{s} is null or d{s} < k{s})"
+    if both_ends:
+        within = lambda s, end: f"2 * d{s} <= best_m + {SAME_M} and d{s} + ({_great_circle('node', end)} - 1) * {_NO_SHORTER} <= best_m + {SAME_M}"
+        parts = {"OPEN0": f"({nearer(0)} and (best_m is null or ({within(0, 'target')})))", "OPEN1": f"({nearer(1)} and (best_m is null or ({within(1, 'source')})))"}
+        # Without a meeting, the side that has seen all it can reach ends both.
+        parts |= {"ENDED": "if(best_m is null, least0 is null or least1 is null, least0 is null and least1 is null)", "BOUND": "best_m / 2"}
+    else:
+        parts = {"OPEN0": f"({nearer(0)} and (best_m is null or d0 <= best_m + {SAME_M}))", "OPEN1": "false", "ENDED": "least0 is null", "BOUND": "best_m"}
+    out = _ROUND
+    for name, text in parts.items():
+        out = out.replace(name, text)
+    return out
+
+
+def _search(neighbours: DataFrame, seeds: DataFrame, both_ends: bool, max_rounds: int) -> DataFrame:
+    """Labels (route_id, project_id, node, d0, d1) of all routes; d0 from the first end, d1 from the second.
+
+    ``seeds`` has the same columns with source, target and open0, open1: where
+    each side starts. Nodes are keys as ``graph`` makes them. What was seen of one node at different times may be rows
+    of its own. A label is over when all nodes as near as it and the longest
+    edge beyond are final, so that none of its neighbours can be open again.
     """
     spark = neighbours.sparkSession
     folder = fresh_path(spark, "labels")
-    start = sources.select("route_id", "project_id", "node", F.lit(0.0).alias("distance_m"), F.lit(None).cast(neighbours.schema["node"].dataType).alias("pred"))
+    # In place by node for all rounds; a lost part is read again from the written table.
+    graph = written(neighbours.select("project_id", _packed(F.col("node")).alias("node"), _packed(F.col("neighbour")).alias("neighbour"), "length_m"), "neighbours")
+    longest = graph.groupBy("project_id").agg(F.max("length_m").alias("reach_m"))
+    graph = graph.repartition("project_id", "node").persist()
+    key = lambda c: _packed(F.col(c)).alias(c)
+    start = seeds.join(longest, "project_id", "left").select("route_id", "project_id", key("node"), key("source"), key("target"), F.coalesce("reach_m", F.lit(0.0)).alias("reach_m"), "d0", "d1", "open0", "open1", F.lit(None).cast("double").alias("best_m"), F.lit(False).alias("over"))
     start.write.parquet(f"{folder}/round=0")
     schema = start.schema
-    read = lambda *rounds: spark.read.schema(schema).parquet(*[f"{folder}/round={r}" for r in rounds])
+    text = _round(both_ends)
+    try:
+        for r in range(1, max_rounds + 1):
+            seen = Observation()
+            now = spark.sql(text, known=spark.read.schema(schema).parquet(f"{folder}/round={r - 1}"), graph=graph)
+            now.observe(seen, F.count_if(~F.col("over")).alias("left")).write.parquet(f"{folder}/round={r}")
+            if not seen.get["left"]:
+                found = spark.read.schema(schema).parquet(*[f"{folder}/round={i}" for i in range(1, r + 1)])
+                return found.where("over").select("route_id", "project_id", _unpacked(F.col("node")).alias("node"), "d0", "d1")
+    finally:
+        graph.unpersist()
+    raise RuntimeError(f"no end after {max_rounds} rounds")
+
+
+def _predecessors(labels: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """``labels`` (route_id, project_id, node, distance_m) with ``pred``: the smallest node by which the distance is reached."""
     key = ["route_id", "project_id", "node"]
-    best = F.min(F.struct("distance_m", "pred")).alias("best")
-    graph = neighbours.select("project_id", "node", "neighbour", "length_m")
-    graph.write.parquet(f"{folder}/graph")
-    graph = spark.read.schema(graph.schema).parquet(f"{folder}/graph")
-    for r in range(1, max_rounds + 1):
-        known = read(*range(r)).groupBy(*key).agg(best).select(*key, F.col("best.distance_m").alias("known_m"))
-        reached = None
-        ahead = read(r - 1)
-        for _ in range(hops):
-            step = ahead.join(graph, ["project_id", "node"])
-            step = step.select("route_id", "project_id", F.col("neighbour").alias("node"), (F.col("distance_m") + F.col("length_m")).alias("distance_m"), F.col("node").alias("pred"))
-            ahead = step.groupBy(*key).agg(best).select(*key, "best.distance_m", "best.pred")
-            reached = ahead if reached is None else reached.unionByName(ahead)
-        nearer = reached.groupBy(*key).agg(best).select(*key, "best.distance_m", "best.pred")
-        if targets is not None:
-            limit = targets.join(known, ["route_id", "node"]).select("route_id", F.col("known_m").alias("limit_m"))
-            nearer = nearer.join(limit, "route_id", "left").where("limit_m is null or distance_m < limit_m").drop("limit_m")
-        new = nearer.join(known, key, "left").where("known_m is null or distance_m < known_m").select(*schema.names)
-        new.write.parquet(f"{folder}/round={r}")
-        if read(r).isEmpty():
-            break
-    else:
-        raise RuntimeError(f"no end after {max_rounds} rounds")
-    return read(*range(r)).groupBy(*key).agg(best).select(*key, "best.distance_m", "best.pred")
+    step = labels.join(neighbours.select("project_id", "node", "neighbour", "length_m"), ["project_id", "node"])
+    step = step.select("route_id", "project_id", F.col("neighbour").alias("node"), (F.col("distance_m") + F.col("length_m")).alias("m"), F.col("node").alias("pred"))
+    best = step.join(labels, key).where(F.col("m") <= F.col("distance_m") + SAME_M).groupBy(*key).agg(F.min("pred").alias("pred"))
+    return labels.join(best, key, "left").select(*key, "distance_m", "pred")
+
+
+def shortest_distances(neighbours: DataFrame, sources: DataFrame, max_rounds: int = 10_000, targets: DataFrame | None = None) -> DataFrame:
+    """(route_id, project_id, node, distance_m, pred) for every node in reach of a route's source.
+
+    ``neighbours`` has project_id, node, neighbour, length_m in both
+    directions; ``sources`` route_id, project_id, node. With ``targets``
+    (route_id, node) a route stops where no open node is nearer than its
+    target; nodes beyond it may lack a label then. Of equally short ways the
+    smallest predecessor wins. A source without neighbours reaches itself. Rows
+    with a null route, project or node find nothing.
+    """
+    none = F.lit(None)
+    kind = neighbours.schema["node"].dataType
+    plain = sources.where("route_id is not null and project_id is not null and node is not null").select("route_id", "project_id", "node").distinct()
+    seed = lambda df, d0, d1: df.select("route_id", "project_id", "node", none.cast(kind).alias("source"), none.cast(kind).alias("target"), d0.cast("double").alias("d0"), d1.cast("double").alias("d1"), d0.isNotNull().alias("open0"), F.lit(False).alias("open1"))
+    seeds = seed(plain, F.lit(0.0), none)
+    if targets is not None:
+        ends = targets.select("route_id", "node").join(plain.select("route_id", "project_id"), "route_id").distinct()
+        seeds = seeds.unionByName(seed(ends, none, F.lit(0.0)))
+    found = _search(neighbours, seeds, False, max_rounds)
+    labels = written(found.where("d0 is not null").groupBy("route_id", "project_id", "node").agg(F.min("d0").alias("distance_m")), "distances")
+    return _predecessors(labels, neighbours)
 
 
 def route_paths(labels: DataFrame, targets: DataFrame, max_hops: int = 100_000) -> DataFrame:
     """(route_id, project_id, hops_left, node): the nodes of each route, walked back from its target.
 
-    ``hops_left`` is 0 at the target and grows towards the source. Every round
-    follows one predecessor of all routes; a path beyond ``max_hops`` is an
-    error and never cut short.
+    ``hops_left`` is 0 at the target and grows towards the source. Predecessors
+    are doubled, those one hop away, two, four and so on, until none is left;
+    then each route's known places are carried on by the longest step, the next
+    shorter one, to one hop. So rounds are twice the logarithm of the hops. A
+    path beyond ``max_hops`` is an error and never cut short. A target without
+    a label has no path.
     """
-    spark = labels.sparkSession
-    folder = fresh_path(spark, "paths")
-    labels.write.parquet(f"{folder}/labels")
-    held = spark.read.schema(labels.schema).parquet(f"{folder}/labels").select("route_id", "project_id", "node", "pred")
-    at = targets.join(held, ["route_id", "project_id", "node"]).select("route_id", "project_id", F.lit(0).alias("hops_left"), "node", "pred")
-    schema = at.schema
-    for r in range(max_hops):
-        at.write.parquet(f"{folder}/hop={r}")
-        now = spark.read.schema(schema).parquet(f"{folder}/hop={r}")
-        ahead = now.where("pred is not null")
-        if ahead.isEmpty():
+    key = ["route_id", "project_id", "node"]
+    steps = []
+    now = labels.where("pred is not null").select(*key, "pred")
+    while True:
+        now = written(now, "hops")
+        if now.isEmpty():
             break
-        step = ahead.select("route_id", "project_id", (F.col("hops_left") + 1).alias("hops_left"), F.col("pred").alias("node"))
-        at = step.join(held, ["route_id", "project_id", "node"]).select(*schema.names)
-    else:
+        if 1 << len(steps) > max_hops:
+            raise RuntimeError(f"a path has more than {max_hops} hops")
+        steps.append(now)
+        on = now.select("route_id", "project_id", F.col("node").alias("pred"), F.col("pred").alias("far"))
+        now = now.join(on, ["route_id", "project_id", "pred"]).select(*key, F.col("far").alias("pred"))
+    at = targets.select(*key).distinct().join(labels.select(*key), key).withColumn("hops_left", F.lit(0))
+    for k in range(len(steps) - 1, -1, -1):
+        at = written(at, "places")
+        far = at.join(steps[k], key).select("route_id", "project_id", F.col("pred").alias("node"), (F.col("hops_left") + (1 << k)).alias("hops_left"))
+        at = at.unionByName(far)
+    at = written(at.select("route_id", "project_id", "hops_left", "node"), "places")
+    if (at.agg(F.max("hops_left")).first()[0] or 0) > max_hops:
         raise RuntimeError(f"a path has more than {max_hops} hops")
-    return spark.read.schema(schema).parquet(*[f"{folder}/hop={i}" for i in range(r + 1)]).drop("pred")
+    return at
 
 
 def path_lengths(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -93,20 +189,76 @@ def path_lengths(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.groupBy("route_id").agg(F.count(F.lit(1)).alias("nodes")).join(total, "route_id", "left").withColumn("length_m", F.coalesce("length_m", F.lit(0.0)))
 
 
-def route(requests: DataFrame, graph: Graph) -> DataFrame:
-    """Requests (route_id, project_id, origin, destination, zoom) with status, source, target and distance_m.
+def search_between(neighbours: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> Found:
+    """Shortest ways between two nodes each: ``pairs`` has route_id, project_id, source and target, which differ."""
+    kept = written(pairs.select("route_id", "project_id", "source", "target"), "pairs")
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    seed = lambda end, d0, d1: kept.select("route_id", "project_id", F.col(end).alias("node"), "source", "target", d0.alias("d0"), d1.alias("d1"), d0.isNotNull().alias("open0"), d1.isNotNull().alias("open1"))
+    found = _search(neighbours, seed("source", zero, none).unionByName(seed("target", none, zero)), True, max_rounds)
+    labels = written(found.groupBy("route_id", "project_id", "node").agg(F.min("d0").alias("d0"), F.min("d1").alias("d1")), "both")
+    best = labels.groupBy("route_id").agg(F.min(F.col("d0") + F.col("d1")).alias("distance_m"))
+    return Found(labels, written(kept.join(best, "route_id", "left").select("route_id", "project_id", "source", "target", "distance_m"), "lengths"))
+
 
-    NO_NODE where an end has no node nearby, SAME_NODE where both have the
-    same, NO_ROUTE where they are not connected, else OK.
+def ways(found: Found, neighbours: DataFrame, max_hops: int = 100_000) -> DataFrame:
+    """(route_id, project_id, position, node): every node of every way, from its source (0) to its target.
+
+    Of equally short ways one is chosen: by the node farthest from the source
+    within the first half, the smallest of several, and from there towards
+    both ends by the smallest neighbour on a shortest way.
     """
+    key = ["route_id", "project_id"]
+    labels = found.labels.join(found.lengths.where("distance_m is not null").select("route_id", "distance_m"), "route_id")
+    on = labels.where(F.col("d0") + F.col("d1") <= F.col("distance_m") + SAME_M).where(2 * F.col("d0") <= F.col("distance_m") + SAME_M)
+    middle = written(on.groupBy(*key).agg(F.min_by(F.struct("node", "d0", "d1"), F.struct(-F.round("d0", 3), F.col("node"))).alias("z")).select(*key, "z.*"), "middles")
+    # Both sides are one job: their routes are told apart by the side.
+    halves = [labels.where(2 * F.col(d) <= F.col("distance_m") + SAME_M).unionByName(middle, allowMissingColumns=True).where(F.col(d).isNotNull()).groupBy(F.struct("route_id", F.lit(s).alias("side")).alias("route_id"), "project_id", "node").agg(F.min(d).alias("distance_m")) for s, d in ((0, "d0"), (1, "d1"))]
+    both = written(halves[0].unionByName(halves[1]), "halves")
+    start = middle.select(F.explode(F.array(*[F.struct("route_id", F.lit(s).alias("side")) for s in (0, 1)])).alias("route_id"), "project_id", "node")
+    places = route_paths(written(_predecessors(both, neighbours), "predecessors"), start, max_hops)
+    flat = places.select("route_id.route_id", "route_id.side", "project_id", "hops_left", "node")
+    ahead = flat.where("side = 0").groupBy("route_id").agg(F.max("hops_left").alias("middle_at"))
+    placed = flat.where("side = 0 or hops_left > 0").join(ahead, "route_id")
+    return placed.select("route_id", "project_id", F.when(F.col("side") == 0, F.col("middle_at") - F.col("hops_left")).otherwise(F.col("middle_at") + F.col("hops_left")).alias("position"), "node")
+
+
+def _asked(requests: DataFrame, graph: Graph) -> DataFrame:
+    """(project_id, route_id, source, target): the nodes nearest to both ends of each request."""
     ends = F.explode(F.array(F.struct(F.lit("origin").alias("which"), F.col("origin").alias("p")), F.struct(F.lit("destination").alias("which"), F.col("destination").alias("p"))))
     points = requests.select("route_id", "project_id", "zoom", ends.alias("e")).select("project_id", F.struct("route_id", "e.which").alias("point_id"), "e.p", "zoom")
     near = nearest_node(points, graph.nodes)
     of = lambda which: F.max(F.when(F.col("point_id.which") == which, F.col("node")))
-    picked = near.groupBy("project_id", F.col("point_id.route_id").alias("route_id")).agg(of("origin").alias("source"), of("destination").alias("target"))
-    ask = picked.where("source is not null and target is not null and source <> target")
-    labels = shortest_distances(adjacency(graph.edges), ask.select("route_id", "project_id", F.col("source").alias("node")), targets=ask.select("route_id", F.col("target").alias("node")))
-    reached = labels.select("route_id", F.col("node").alias("target"), "distance_m")
-    joined = requests.join(picked, ["project_id", "route_id"], "left").join(reached, ["route_id", "target"], "left")
+    return near.groupBy("project_id", F.col("point_id.route_id").alias("route_id")).agg(of("origin").alias("source"), of("destination").alias("target"))
+
+
+def _answers(requests: DataFrame, picked: DataFrame, found: Found) -> DataFrame:
+    joined = requests.select("route_id", "project_id").join(picked, ["project_id", "route_id"], "left").join(found.lengths.select("route_id", "distance_m"), "route_id", "left")
     status = F.when(F.col("source").isNull() | F.col("target").isNull(), "NO_NODE").when(F.col("source") == F.col("target"), "SAME_NODE").when(F.col("distance_m").isNull(), "NO_ROUTE").otherwise("OK")
     return joined.select("route_id", "project_id", status.alias("status"), "source", "target", "distance_m")
+
+
+def route_with_ways(requests: DataFrame, graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """(answers, ways) for requests (route_id, project_id, origin, destination, zoom).
+
+    Answers have status, source, target and distance_m: NO_NODE where an end
+    has no node nearby, SAME_NODE where both have the same, NO_ROUTE where they
+    are not connected, else OK. Ways have every node of every OK route in
+    order: route_id, project_id, position, node and its point. A null place,
+    zoom or project has no node nearby. Other columns of requests do not
+    matter; route_id tells requests apart. No requests give no answers.
+    """
+    nodes, edges = written(graph.nodes, "nodes"), written(graph.edges, "edges")
+    neighbours = adjacency(edges)
+    picked = written(_asked(requests, Graph(nodes, edges, graph.segments)), "picked")
+    found = search_between(neighbours, picked.where("source is not null and target is not null and source <> target"))
+    answers = _answers(requests, picked, found)
+    way = ways(found, neighbours).join(nodes.select("project_id", "node", "point"), ["project_id", "node"])
+    return answers, way.select("route_id", "project_id", "position", "node", "point")
+
+
+def route(requests: DataFrame, graph: Graph) -> DataFrame:
+    """The answers of ``route_with_ways`` alone."""
+    nodes, edges = written(graph.nodes, "nodes"), written(graph.edges, "edges")
+    picked = written(_asked(requests, Graph(nodes, edges, graph.segments)), "picked")
+    found = search_between(adjacency(edges), picked.where("source is not null and target is not null and source <> target"))
+    return _answers(requests, picked, found)

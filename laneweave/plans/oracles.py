@@ -103,6 +103,31 @@ _ROUTES = f"""with recursive {_SEGMENTS}, {_EDGES},
  select n.area_id, n.w, n.x, n.d from (select a.area_id, a.w, a.x, min(r.d + a.len) as d from reach r join adj a on a.area_id = r.area_id and a.u = r.lat_e6 and a.v = r.lng_e6 group by all) n
  left join recurring.reach o on o.area_id = n.area_id and o.lat_e6 = n.w and o.lng_e6 = n.x where o.d is null or n.d < o.d)"""
 
+#: Requests with the nodes nearest to both ends, and all distances from both: by brute force, over whole areas.
+_ASKED = f"""{_SEGMENTS}, {_EDGES}, {_PINS}, ends as (select area_id, ka, kb, a_lat as lat, a_lng as lng, feature_id, k, 0 as e from segs union all select area_id, kc, kd, b_lat, b_lng, feature_id, k, 1 from segs),
+ places as (select area_id, (ka, kb) as node, arg_max(lat, (feature_id, k, e)) as lat, arg_max(lng, (feature_id, k, e)) as lng, min((feature_id, k, e)) as seq from ends group by all),
+ asked as (select area_id, point_id as route_id, 0 as side, lat, lng from pins union all select area_id, point_id, 1, lat + 0.0009, lng + 0.0006 from pins),
+ far as (select a.route_id, a.side, a.area_id, c.node, c.seq, sqrt(pow({_px('c.lng', '16.0')}-{_px('a.lng', '16.0')}, 2) + pow({_py('c.lat', '16.0')}-{_py('a.lat', '16.0')}, 2)) as px from asked a join places c on c.area_id = a.area_id and abs(c.lat - a.lat) < 0.002 and abs(c.lng - a.lng) < 0.002),
+ picked as (select route_id, any_value(area_id) as area_id, arg_min(node, (px, seq)) filter (side = 0) as source, arg_min(node, (px, seq)) filter (side = 1) as target from far where px <= 42 group by route_id),
+ adj as (select area_id, (lo[1], lo[2]) as u, (hi[1], hi[2]) as v, last.len as len from edges union all select area_id, (hi[1], hi[2]), (lo[1], lo[2]), last.len from edges),
+ tree as (select distinct area_id, source as root from picked where source <> target union select distinct area_id, target from picked where source <> target),
+ reach(area_id, root, node, d) using key (area_id, root, node) as (
+ select area_id, root, root, 0.0::double from tree union
+ select n.area_id, n.root, n.v, n.d from (select a.area_id, r.root, a.v, min(r.d + a.len) as d from reach r join adj a on a.area_id = r.area_id and a.u = r.node group by all) n
+ left join recurring.reach o on o.area_id = n.area_id and o.root = n.root and o.node = n.v where o.d is null or n.d < o.d),
+ answers as (select p.route_id, p.area_id, p.source, p.target, r.d as distance_m from picked p left join reach r on r.area_id = p.area_id and r.root = p.source and r.node = p.target and p.source <> p.target)"""
+_ROUTE_ANSWERS = f"""with recursive {_ASKED} select p.point_id as route_id, case when source is null or target is null then 'NO_NODE' when source = target then 'SAME_NODE' when distance_m is null then 'NO_ROUTE' else 'OK' end as status,
+ round(distance_m, 3) as distance_m, case when distance_m >= 1000 then printf('%.2f km', distance_m/1000) else cast(floor(distance_m + 0.5) as bigint) || ' m' end as shown from pins p left join answers a on a.route_id = p.point_id"""
+_ROUTE_WAYS = f"""with recursive {_ASKED}, ok as (select * from answers where distance_m is not null),
+ middle as (select route_id, any_value(area_id) as area_id, any_value(source) as source, any_value(target) as target, arg_min(node, (-round(d0, 3), node)) as node from
+ (select o.*, a.node, a.d as d0 from ok o join reach a on a.area_id = o.area_id and a.root = o.source join reach b on b.area_id = o.area_id and b.root = o.target and b.node = a.node where a.d + b.d <= o.distance_m + 1e-4 and 2*a.d <= o.distance_m + 1e-4) group by route_id),
+ pred as (select v.area_id, v.root, v.node, min(a.v) as pred from (select r.* from reach r semi join (select area_id, source as root from ok union select area_id, target from ok) t on t.area_id = r.area_id and t.root = r.root) v join adj a on a.area_id = v.area_id and a.u = v.node join reach w on w.area_id = v.area_id and w.root = v.root and w.node = a.v where w.d + a.len <= v.d + 1e-4 group by all),
+ walk as (select route_id, area_id, 0 as side, source as root, node, 0 as hops from middle union all select route_id, area_id, 1, target, node, 0 from middle union all
+ select w.route_id, w.area_id, w.side, w.root, p.pred, w.hops + 1 from walk w join pred p on p.area_id = w.area_id and p.root = w.root and p.node = w.node),
+ tops as (select route_id, max(hops) as top from walk where side = 0 group by 1)
+ select w.route_id, case when side = 0 then top - hops else top + hops end::bigint as position, w.node[1] as lat_e6, w.node[2] as lng_e6, round(lat, 6) as lat, round(lng, 6) as lng
+ from walk w join tops using (route_id) join places c on c.area_id = w.area_id and c.node = w.node where side = 0 or hops > 0"""
+
 _REPLAY = """with recursive log as (select user_id as project_id, row_number() over w as n, case event_type when 'error' then 'undo' when 'signup' then 'redo' when 'view' then 'remove' else 'add' end as action,
  'e' || case when event_type = 'view' then lag(event_id) over w else event_id end as id from events window w as (partition by user_id order by event_id)),
  state as (select project_id, 0::bigint as n, []::varchar[] as current, []::varchar[] as undone from (select distinct project_id from log) union all
@@ -213,6 +238,8 @@ ORACLES: dict[str, str] = {
     "edit_replay": f"{_REPLAY} select project_id, array_to_string(current, ',') as current, array_to_string(undone, ',') as undone from done",
     "last_edits": f"{_REPLAY} select project_id, current[-1] as last_id from done",
     "provider_rejects": "select event_id, case when event_type not in ('click', 'view', 'error') then 'UNKNOWN_PROVIDER' end as reject_reason from events",
+    "route_requests": _ROUTE_ANSWERS,
+    "route_request_ways": _ROUTE_WAYS,
     "route_ways": f"{_ROUTES} select area_id, round(max(d), 2) as length_m from reach group by 1",
     "document_round_trip": f"with {_ELEMENTS} select area_id, feature_id, feature_class, kind, cast(n_pts as bigint) as points from feats",
 }

@@ -92,10 +92,18 @@ def route_distances(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("project_id").alias("area_id"), "node.lat_e6", "node.lng_e6", _r("distance_m", 3).alias("distance_m"))
 
 
+def _route_asked(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.pins(spark, sf).withColumn("zoom", F.lit(16.0)).select(F.col("point_id").alias("route_id"), "project_id", F.col("p").alias("origin"), geo.point(F.col("p.lat") + 0.0009, F.col("p.lng") + 0.0006).alias("destination"), "zoom")
+
+
+def route_request_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of every way that is asked for, with its point."""
+    _, out = routing.route_with_ways(_route_asked(spark, sf), graph.build_graph(fx.roads(spark, sf)))
+    return out.select("route_id", F.col("position").cast("bigint").alias("position"), "node.lat_e6", "node.lng_e6", _r("point.lat").alias("lat"), _r("point.lng").alias("lng"))
+
+
 def route_requests(spark: SparkSession, sf: str) -> DataFrame:
-    g = graph.build_graph(fx.roads(spark, sf))
-    asked = fx.pins(spark, sf).withColumn("zoom", F.lit(16.0)).select(F.col("point_id").alias("route_id"), "project_id", F.col("p").alias("origin"), geo.point(F.col("p.lat") + 0.0009, F.col("p.lng") + 0.0006).alias("destination"), "zoom")
-    out = routing.route(asked, g)
+    out = routing.route(_route_asked(spark, sf), graph.build_graph(fx.roads(spark, sf)))
     return out.select("route_id", "status", _r("distance_m", 3).alias("distance_m"), text.format_distance(F.col("distance_m")).alias("shown"))
 
 
@@ -338,7 +346,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         network_report, network_report_drawn, graph_nodes, graph_edges, node_degrees, dead_end_segments, sidewalk_proximity, nearest_segment, nearest_vertex, nearest_node, nearest_ring_point,
-        snap_drafts, route_distances, route_requests, classify_elements, ingest_counts, ingest_quarantine, select_area, area_documents, bbox_validation, bounds_geojson, geometry_functions,
+        snap_drafts, route_distances, route_requests, route_request_ways, classify_elements, ingest_counts, ingest_quarantine, select_area, area_documents, bbox_validation, bounds_geojson, geometry_functions,
         canvas_points, edit_counts, change_analysis, save_projects, save_rejects, save_state, open_projects, latest_projects, users_and_cascade, edit_replay, autosave_sessions,
         changed_since_last, affected_projects, raw_drafts, analyze_rejects, document_round_trip, store_round_trip, analysis_documents, document_checks,
         gestures, drawn_boxes, event_stamps, near_own_path, user_projects, one_project, last_edits, provider_rejects, route_ways,

@@ -103,6 +103,36 @@ _ROUTES = f"""with recursive {_SEGMENTS}, {_EDGES},
  select n.area_id, n.w, n.x, n.d from (select a.area_id, a.w, a.x, min(r.d + a.len) as d from reach r join adj a on a.area_id = r.area_id and a.u = r.lat_e6 and a.v = r.lng_e6 group by all) n
  left join recurring.reach o on o.area_id = n.area_id and o.lat_e6 = n.w and o.lng_e6 = n.x where o.d is null or n.d < o.d)"""
 
+def _lat_of(y: str, zoom: str) -> str:
+    return f"degrees(atan(sinh(pi()*(1 - 2*({y})/(pow(2.0, {zoom})*512)))))"
+
+
+def _lng_of(x: str, zoom: str) -> str:
+    return f"(({x})*360/(pow(2.0, {zoom})*512) - 180)"
+
+
+_RING = f"""ring as (select area_id, point_id as seq, k, {_lat_of(f"{_py('lat', 'zoom')} + sin(k*pi()/4)*(12 + point_id % 20)", 'zoom')} as lat, {_lng_of(f"{_px('lng', 'zoom')} + cos(k*pi()/4)*(12 + point_id % 20)", 'zoom')} as lng
+ from (select p.area_id, p.point_id, p.zoom, p.lat + 0.00003 as lat, p.lng + 0.00007 as lng, unnest(range(0, 8)) as k from pins p semi join (select c_custkey as point_id from customer where c_mktsegment = 'MACHINERY') m on m.point_id = p.point_id))"""
+_DRAFTS = f"""drafts as (select *, ['road','bike','sidewalk','crossing','roundabout','signal'][point_id % 6 + 1] as type, lat + (point_id % 5)*0.0003 as lat2, lng + (point_id % 3)*0.0002 as lng2 from pins),
+ drawn as (select *, {_px('lng', 'zoom')} as x, {_py('lat', 'zoom')} as y, {_px('lng2', 'zoom')} as x2, {_py('lat2', 'zoom')} as y2 from drafts),
+ asks as (select point_id, area_id, zoom, 0 as side, x, y from drawn where type in ('road','bike','sidewalk') union all select point_id, area_id, zoom, 1, x2, y2 from drawn where type in ('road','bike','sidewalk')
+ union all select point_id, area_id, zoom, 2, (x+x2)/2, (y+y2)/2 from drawn where type = 'crossing'),
+ lines as (select a.*, c.feature_id, c.k, c.a_lat, c.a_lng, c.b_lat, c.b_lng, {_px('a_lng', 'a.zoom')} as ax, {_py('a_lat', 'a.zoom')} as ay, {_px('b_lng', 'a.zoom')} as bx, {_py('b_lat', 'a.zoom')} as by_ from asks a join pairs c on a.area_id = c.area_id),
+ ts as (select *, greatest(0.0, least(1.0, ((x-ax)*(bx-ax)+(y-ay)*(by_-ay))/(pow(bx-ax,2)+pow(by_-ay,2)))) as t from lines),
+ ds as (select *, sqrt(pow(ax+(bx-ax)*t-x,2)+pow(ay+(by_-ay)*t-y,2)) as d from ts),
+ roadsnap as (select * from (select *, row_number() over (partition by point_id, side order by d, feature_id, k) as rn from ds where d <= 34) where rn = 1),
+ ringsnap as (select * from (select a.point_id, a.side, r.lat, r.lng, row_number() over (partition by a.point_id, a.side order by sqrt(pow({_px('r.lng', 'a.zoom')}-a.x, 2)+pow({_py('r.lat', 'a.zoom')}-a.y, 2)), r.seq, r.k) as rn
+ from asks a join ring r on r.area_id = a.area_id where a.side < 2 and sqrt(pow({_px('r.lng', 'a.zoom')}-a.x, 2)+pow({_py('r.lat', 'a.zoom')}-a.y, 2)) <= 46) where rn = 1),
+ both_ends as (select d.*, r0.lat as r0_lat, r0.lng as r0_lng, r1.lat as r1_lat, r1.lng as r1_lng, s0.feature_id as f0, s1.feature_id as f1, s0.k as i, s1.k as j, s0.a_lat+(s0.b_lat-s0.a_lat)*s0.t as s0_lat, s0.a_lng+(s0.b_lng-s0.a_lng)*s0.t as s0_lng,
+ s1.a_lat+(s1.b_lat-s1.a_lat)*s1.t as s1_lat, s1.a_lng+(s1.b_lng-s1.a_lng)*s1.t as s1_lng from drawn d left join ringsnap r0 on r0.point_id = d.point_id and r0.side = 0 left join ringsnap r1 on r1.point_id = d.point_id and r1.side = 1
+ left join roadsnap s0 on s0.point_id = d.point_id and s0.side = 0 left join roadsnap s1 on s1.point_id = d.point_id and s1.side = 1 where d.type in ('road','bike','sidewalk')),
+ kinds as (select *, case when r0_lat is not null or r1_lat is not null then 'ring' when f0 = f1 then 'road' else 'raw' end as how from both_ends),
+ path as (select point_id, how, 0 as position, case how when 'ring' then coalesce(r0_lat, s0_lat, lat) when 'road' then s0_lat else lat end as lat, case how when 'ring' then coalesce(r0_lng, s0_lng, lng) when 'road' then s0_lng else lng end as lng from kinds
+ union all select point_id, how, case when how = 'road' then abs(i-j) else 0 end + 1, case how when 'ring' then coalesce(r1_lat, s1_lat, lat2) when 'road' then s1_lat else lat2 end, case how when 'ring' then coalesce(r1_lng, s1_lng, lng2) when 'road' then s1_lng else lng2 end from kinds
+ union all select q.point_id, q.how, case when q.i <= q.j then v.k - q.i else q.i - v.k + 1 end, v.lat, v.lng from kinds q join vertices v on v.feature_id = q.f0 and v.k between least(q.i, q.j) + 1 and greatest(q.i, q.j) where q.how = 'road')"""
+_VERTICES = f"vertices as (select area_id, feature_id, k, {_lat('k')} as lat, {_lng('k')} as lng from (select *, unnest(range(0, n_pts)) as k from roads))"
+_SNAPS = f"with {_ROADS}, {_PAIRS}, {_PINS}, {_VERTICES}, {_RING}, {_DRAFTS}"
+
 #: Requests with the nodes nearest to both ends, and all distances from both: by brute force, over whole areas.
 _ASKED = f"""{_SEGMENTS}, {_EDGES}, {_PINS}, ends as (select area_id, ka, kb, a_lat as lat, a_lng as lng, feature_id, k, 0 as e from segs union all select area_id, kc, kd, b_lat, b_lng, feature_id, k, 1 from segs),
  places as (select area_id, (ka, kb) as node, arg_max(lat, (feature_id, k, e)) as lat, arg_max(lng, (feature_id, k, e)) as lng, min((feature_id, k, e)) as seq from ends group by all),
@@ -238,6 +268,17 @@ ORACLES: dict[str, str] = {
     "edit_replay": f"{_REPLAY} select project_id, array_to_string(current, ',') as current, array_to_string(undone, ',') as undone from done",
     "last_edits": f"{_REPLAY} select project_id, current[-1] as last_id from done",
     "provider_rejects": "select event_id, case when event_type not in ('click', 'view', 'error') then 'UNKNOWN_PROVIDER' end as reject_reason from events",
+    "nearest_ring_point": f"""with {_PINS}, {_RING}, {_nearest('(select *, seq as ring_seq from ring)', 46, 'c.seq, c.k', '16.0')} select p.point_id, 'r' || near.seq as roundabout_id, near.k as ring_index, round(distance, 3) as distance from pins p left join near using (point_id)""",
+    "snap_paths": f"{_SNAPS} select point_id as draft_id, how <> 'raw' as snapped, position::bigint as position, round(lat, 6) as lat, round(lng, 6) as lng from path",
+    "snap_drafts": f"""{_SNAPS}, {_nearest('vertices', 44, 'c.feature_id, c.k')}, sizes as (select point_id, count(*)::int as n, bool_or(how <> 'raw') as snapped from path group by 1),
+ crossed as (select d.point_id, d.zoom, case when s.point_id is null then d.x else ax+(bx-ax)*t + (by_-ay)/len*half end as fx, case when s.point_id is null then d.y else ay+(by_-ay)*t - (bx-ax)/len*half end as fy,
+ case when s.point_id is null then d.x2 else ax+(bx-ax)*t - (by_-ay)/len*half end as tx, case when s.point_id is null then d.y2 else ay+(by_-ay)*t + (bx-ax)/len*half end as ty
+ from (select *, greatest(30.0, sqrt(pow(x2-x, 2)+pow(y2-y, 2)))/2 as half from drawn where type = 'crossing') d left join (select point_id, ax, ay, bx, by_, t, sqrt(pow(bx-ax, 2)+pow(by_-ay, 2)) as len from roadsnap where side = 2) s using (point_id))
+ select d.point_id as draft_id, d.type, n as path_points, snapped, round({_lat_of('fy', 'c.zoom')}, 6) as anchor_lat, round({_lng_of('fx', 'c.zoom')}, 6) as anchor_lng,
+ case when d.type = 'roundabout' then round(coalesce(near.lat, d.lat), 6) end as center_lat, case when d.type = 'roundabout' then round(coalesce(near.lng, d.lng), 6) end as center_lng,
+ case when d.type = 'signal' then round(d.lat, 6) end as point_lat, case when d.type = 'signal' then round(d.lng, 6) end as point_lng, round(tx - fx, 3) as dx, round(ty - fy, 3) as dy,
+ case when d.type = 'roundabout' then round(greatest(12.0, sqrt(pow(x2-x, 2)+pow(y2-y, 2))), 3) end as radius
+ from drawn d left join sizes using (point_id) left join crossed c using (point_id) left join near on near.point_id = d.point_id""",
     "route_requests": _ROUTE_ANSWERS,
     "route_request_ways": _ROUTE_WAYS,
     "route_ways": f"{_ROUTES} select area_id, round(max(d), 2) as length_m from reach group by 1",

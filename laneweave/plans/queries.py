@@ -85,6 +85,13 @@ def snap_drafts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("draft_id", "type", F.size("path").alias("path_points"), "snapped", *at("anchor"), *at("center"), *at("point"), _r("pixel_vector.x", 3).alias("dx"), _r("pixel_vector.y", 3).alias("dy"), _r("pixel_radius", 3).alias("radius"))
 
 
+def snap_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point of every line that was drafted, in order."""
+    out = snapping.snap_lines(fx.drafts(spark, sf), fx.roads(spark, sf), snapping.roundabout_ring(fx.roundabouts(spark, sf)))
+    rows = out.select("draft_id", "snapped", F.posexplode("path").alias("position", "p"))
+    return rows.select("draft_id", "snapped", F.col("position").cast("bigint").alias("position"), _r("p.lat").alias("lat"), _r("p.lng").alias("lng"))
+
+
 def route_distances(spark: SparkSession, sf: str) -> DataFrame:
     s = graph.road_segments(fx.roads(spark, sf))
     sources = graph.graph_nodes(s).groupBy("project_id").agg(F.min("node").alias("node")).withColumn("route_id", F.col("project_id"))
@@ -346,7 +353,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         network_report, network_report_drawn, graph_nodes, graph_edges, node_degrees, dead_end_segments, sidewalk_proximity, nearest_segment, nearest_vertex, nearest_node, nearest_ring_point,
-        snap_drafts, route_distances, route_requests, route_request_ways, classify_elements, ingest_counts, ingest_quarantine, select_area, area_documents, bbox_validation, bounds_geojson, geometry_functions,
+        snap_drafts, snap_paths, route_distances, route_requests, route_request_ways, classify_elements, ingest_counts, ingest_quarantine, select_area, area_documents, bbox_validation, bounds_geojson, geometry_functions,
         canvas_points, edit_counts, change_analysis, save_projects, save_rejects, save_state, open_projects, latest_projects, users_and_cascade, edit_replay, autosave_sessions,
         changed_since_last, affected_projects, raw_drafts, analyze_rejects, document_round_trip, store_round_trip, analysis_documents, document_checks,
         gestures, drawn_boxes, event_stamps, near_own_path, user_projects, one_project, last_edits, provider_rejects, route_ways,

@@ -37,6 +37,31 @@ def name_or_default(name: Column, default: str = DEFAULT_NAME) -> Column:
     return F.coalesce(F.nullif(strip(name), F.lit("")), F.lit(default))
 
 
+def json_kind(c: Column) -> Column:
+    """object, array, string, number, boolean or null: what a text of one JSON value is; null where it is none.
+
+    Parsers stop after a value, so the text is read as the only member of an
+    array and of an object: text that follows breaks one of them at least.
+    """
+    one = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    read = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string, bad string", {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "bad"})
+    alone = read.isNotNull() & read["bad"].isNull()
+    start = F.substring(F.regexp_replace(c, "^[ \\t\\n\\r]+", ""), 1, 1)
+    kind = F.when(start == "{", "object").when(start == "[", "array").when(start == '"', "string").when(start == "n", "null").when(start.isin("t", "f"), "boolean").otherwise("number")
+    return F.when(F.coalesce(one, F.lit(False)) & alone, kind)
+
+
+def is_truthy(v: Column) -> Column:
+    """Does a variant hold something: not null, false, zero or an empty text?"""
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    number = F.try_variant_get(v, "$", "double")
+    return (
+        F.when(kind == "VOID", False).when(kind == "BOOLEAN", F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(False)))
+        .when(kind == "STRING", F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")) != "").when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), True)
+        .otherwise(F.coalesce((number != 0) & ~F.isnan(number), F.lit(False)))
+    )
+
+
 def signature(*cols: Column) -> Column:
     """Digest of the content of columns, by which changes are noticed."""
     return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}), 256)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_area_km2, bounds_from_box, box_from_corners, dist, to_pixel
-from ..functions.text import strip
+from ..functions.text import is_truthy, json_kind, strip
 
 # Fixed values.
 NOT_ROUTABLE = ("construction", "proposed", "abandoned", "raceway")
@@ -62,9 +62,8 @@ def is_sidewalk_path(kind: Column, path: Column) -> Column:
     return F.coalesce((kind == "sidewalk") & (F.size(path) >= 2), F.lit(False))
 
 
-def _json_is(c: Column, start: str) -> Column:
-    # What follows the value is not looked at by the parser, so the end is.
-    return F.coalesce(F.try_parse_json(c).isNotNull() & F.startswith(strip(c), F.lit(start)) & F.endswith(strip(c), F.lit({"{": "}", "[": "]"}[start])), F.lit(False))
+def _json_is(c: Column, *kinds: str) -> Column:
+    return F.coalesce(json_kind(c).isin(*kinds), F.lit(False))
 
 
 def save_reject_reason(requests: DataFrame) -> DataFrame:
@@ -73,20 +72,21 @@ def save_reject_reason(requests: DataFrame) -> DataFrame:
     reason = (
         F.when(name == "", "NO_NAME")
         .when(~bbox_has_shape(F.col("bbox")), "BAD_BBOX")
-        .when(~(_json_is(F.col("osm_data"), "{") | _json_is(F.col("osm_data"), "[")), "NO_OSM_DATA")
-        .when(~_json_is(F.col("user_edits"), "["), "BAD_EDITS")
+        .when(~_json_is(F.col("osm_data"), "object", "array"), "NO_OSM_DATA")
+        .when(~_json_is(F.col("user_edits"), "array"), "BAD_EDITS")
     )
     return requests.withColumns({"name": name, "id": F.nullif("id", F.lit("")), "reject_reason": reason})
 
 
 def analyze_reject_reason(requests: DataFrame) -> DataFrame:
     """Analysis requests (bbox, osm_data, user_edits as JSON) with ``reject_reason``."""
-    has = lambda key, start: _json_is(F.get_json_object("osm_data", f"$.{key}"), start)
-    counts = F.coalesce(F.get_json_object("osm_data", "$.counts"), F.lit(""))
+    parts = F.from_json("osm_data", "counts variant, roads variant, buildings variant, openLand variant")
+    listed = lambda key: F.coalesce(F.schema_of_variant(parts[key]).startswith("ARRAY"), F.lit(False))
+    sound = _json_is(F.col("osm_data"), "object") & is_truthy(parts["counts"]) & listed("roads") & listed("buildings") & listed("openLand")
     reason = (
         F.when(~bbox_has_shape(F.col("bbox")), "BAD_BBOX")
-        .when(counts.isin("", "0", "false") | ~(has("roads", "[") & has("buildings", "[") & has("openLand", "[")), "NO_OSM_DATA")
-        .when(~_json_is(F.col("user_edits"), "["), "BAD_EDITS")
+        .when(~sound, "NO_OSM_DATA")
+        .when(~_json_is(F.col("user_edits"), "array"), "BAD_EDITS")
     )
     return requests.withColumn("reject_reason", reason)
 
@@ -108,15 +108,14 @@ def json_document_is_valid(document: Column) -> Column:
     """
     whole = F.try_parse_json(document)
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(whole, path, "variant")), F.lit("VOID"))
-    good = whole.isNotNull()
+    good = whole.isNotNull() & _json_is(document, "object")
     for name in ("buildings", "roads", "openLand"):
         features = F.try_variant_get(whole, f"$.{name}", _FEATURE)
         of = lambda f, c: F.coalesce(F.schema_of_variant(f[c]), F.lit("VOID"))
         each = F.forall(features, lambda f: of(f, "id").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (of(f, "kind") == "STRING") & of(f, "geometry").startswith("ARRAY"))
         good &= F.startswith(kind(f"$.{name}"), F.lit("ARRAY")) & F.coalesce(each, F.lit(False))
-    for name in ("bbox", "counts"):  # there, and not false, zero or empty
-        value = F.coalesce(F.try_variant_get(whole, f"$.{name}", "string"), F.lit(""))
-        good &= ~value.isin("", "0", "false") | kind(f"$.{name}").startswith("OBJECT")
+    for name in ("bbox", "counts"):
+        good &= is_truthy(F.try_variant_get(whole, f"$.{name}", "variant"))
     return F.coalesce(good, F.lit(False))
 
 

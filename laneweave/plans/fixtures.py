@@ -86,13 +86,16 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One response body for each hundred orders of an area; some with a remark, some broken."""
+    """One response body for each hundred orders of an area; some with a remark or an empty one, some broken, followed by text, of another kind, or with an element without a number."""
     e = elements(spark, sf_dir).withColumn("chunk", F.expr("element_seq div 400"))
-    body = F.struct(F.array_sort(F.collect_list(F.struct("id", "type", F.map_entries("tags").alias("t"), "geometry"))).alias("all"), F.max(F.expr("case when chunk % 5 = 3 then 'timed out' end")).alias("remark"))
+    body = F.struct(F.array_sort(F.collect_list(F.struct("id", "type", F.map_entries("tags").alias("t"), "geometry"))).alias("all"), F.max(F.expr("case when chunk % 5 = 3 then 'timed out' when chunk % 13 = 4 then '' end")).alias("remark"))
     grouped = e.groupBy("project_id", "chunk").agg(body.alias("b"))
     listed = F.transform("b.all", lambda x: F.struct(x["type"].alias("type"), x["id"].alias("id"), F.map_from_entries(x["t"]).alias("tags"), x["geometry"].alias("geometry")))
     text = F.to_json(F.struct(listed.alias("elements"), F.col("b.remark").alias("remark")))
-    return grouped.select("project_id", "chunk", F.when(F.expr("chunk % 7 = 5"), F.lit("{not json")).otherwise(text).alias("value"))
+    start = '{"elements":['
+    text = F.when(F.expr("chunk % 19 = 2"), F.concat(F.lit(start + '{"type":"way","id":"x"},'), F.substring(text, len(start) + 1, 1 << 30))).otherwise(text)
+    odd = F.when(F.expr("chunk % 7 = 5"), F.lit("{not json")).when(F.expr("chunk % 11 = 7"), F.concat(text, F.lit(" trailing"))).when(F.expr("chunk % 17 = 9"), F.lit("[1]"))
+    return grouped.select("project_id", "chunk", F.coalesce(odd, text).alias("value"))
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:

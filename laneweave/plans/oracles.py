@@ -194,9 +194,10 @@ ORACLES: dict[str, str] = {
     "route_distances": f"{_ROUTES} select area_id, lat_e6, lng_e6, round(d, 3) as distance_m from reach",
     "classify_elements": f"with {_ELEMENTS} select area_id, feature_id, feature_class, kind, cast(n_pts as bigint) as points from feats",
     "ingest_counts": f"""with {_ELEMENTS} select area_id, count(*) filter (feature_class = 'building') as building_count, count(*) filter (feature_class = 'road') as road_count, count(*) filter (feature_class = 'open_land') as open_land_count,
- count(*) filter (feature_class = 'road') = 0 as no_roads from feats where (feature_id // 400) % 5 <> 3 and (feature_id // 400) % 7 <> 5 group by 1""",
-    "ingest_quarantine": f"""with {_ROADS} select distinct area_id, feature_id // 400 as chunk, case when (feature_id // 400) % 7 = 5 then 'BAD_JSON' else 'REMARK' end as reason, case when (feature_id // 400) % 7 = 5 then null else 'timed out' end as remark
- from roads where (feature_id // 400) % 7 = 5 or (feature_id // 400) % 5 = 3""",
+ count(*) filter (feature_class = 'road') = 0 as no_roads from feats where (feature_id // 400) % 5 <> 3 and (feature_id // 400) % 7 <> 5 and (feature_id // 400) % 11 <> 7 and (feature_id // 400) % 17 <> 9 group by 1""",
+    "ingest_quarantine": f"""with {_ROADS}, chunks as (select distinct area_id, feature_id // 400 as chunk from roads),
+ told as (select *, case when chunk % 7 = 5 or chunk % 11 = 7 then 'BAD_JSON' when chunk % 17 = 9 then 'NOT_OBJECT' when chunk % 5 = 3 then 'REMARK' when chunk % 19 = 2 then 'BAD_ELEMENT' end as reason from chunks)
+ select area_id, chunk, reason, case when reason = 'REMARK' then 'timed out' end as remark, case when reason = 'BAD_ELEMENT' then 0 end::int as element_seq from told where reason is not null""",
     "area_documents": f"""with {_ELEMENTS} select n_nationkey::bigint as area_id, count(*) filter (feature_class = 'building') as buildings, count(*) filter (feature_class = 'road') as roads, count(*) filter (feature_class = 'open_land') as open_land
  from nation left join feats on n_nationkey = area_id group by 1""",
     "bbox_validation": f"""with {_AREAS} select area_id, case when east is null then 'BAD_SHAPE' when south >= north or west >= east then 'BAD_ORDER' when north > 90 or south < -90 or east > 180 or west < -180 then 'OUT_OF_RANGE' when {_AREA_KM2} > 5 then 'TOO_LARGE' end as reason, round({_AREA_KM2}, 4) as area_km2 from areas""",

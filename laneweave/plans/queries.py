@@ -126,7 +126,7 @@ def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     _, bad = osm.parse_responses(fx.responses(spark, sf))
-    return bad.select(F.col("project_id").alias("area_id"), "chunk", "reason", "remark")
+    return bad.select(F.col("project_id").alias("area_id"), "chunk", "reason", "remark", "element_seq")
 
 
 def select_area(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import RESPONSE
+from ..functions.text import is_truthy, json_kind
+from .schemas import ELEMENT
 
 #: Tag keys of which an element must have one.
 TAG_KEYS = ("building", "highway", "landuse", "leisure")
@@ -14,16 +15,28 @@ TAG_KEYS = ("building", "highway", "landuse", "leisure")
 def parse_responses(bodies: DataFrame, body_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(elements, quarantine) of response bodies.
 
-    A body with a remark, or that is no JSON object, goes to the quarantine as
-    a whole, with its reason. Elements keep their place as ``element_seq``.
+    To the quarantine go, with their reason: a body that is null or not one
+    JSON value from end to end (BAD_JSON), or no object (NOT_OBJECT), or has a
+    remark that says something (REMARK; an empty one does not), and of the
+    others each element without a whole number as id and a text as type
+    (BAD_ELEMENT, with ``element_seq`` and ``element`` instead of the body).
+    Elements keep their place in the body as ``element_seq``. A body without
+    elements has none.
     """
     rest = [c for c in bodies.columns if c != body_col]
-    parsed = bodies.withColumn("__doc", F.from_json(F.col(f"`{body_col}`"), RESPONSE, {"mode": "PERMISSIVE"}))
-    broken = F.get_json_object(F.col(f"`{body_col}`"), "$").isNull() | F.col("__doc").isNull()
-    reason = F.when(broken, "BAD_JSON").when(F.col("__doc.remark").isNotNull(), "REMARK")
+    body = F.col(f"`{body_col}`")
+    parsed = bodies.withColumns({"__kind": json_kind(body), "__doc": F.from_json(body, "elements array<string>, remark variant")})
+    reason = F.when(F.col("__kind").isNull(), "BAD_JSON").when(F.col("__kind") != "object", "NOT_OBJECT").when(is_truthy(F.col("__doc.remark")), "REMARK")
     marked = parsed.withColumn("reason", reason)
-    elements = marked.where("reason is null").select(*rest, F.posexplode("__doc.elements").alias("element_seq", "e")).select(*rest, "element_seq", "e.*")
-    return elements, marked.where("reason is not null").select(*bodies.columns, "reason", F.col("__doc.remark").alias("remark"))
+    listed = marked.where("reason is null").select(*rest, F.posexplode("__doc.elements").alias("element_seq", "element"))
+    typed = F.from_json("element", "id variant, type variant")
+    sound = F.coalesce((F.schema_of_variant(typed["id"]) == "BIGINT") & (F.schema_of_variant(typed["type"]) == "STRING"), F.lit(False))
+    read = listed.select(*rest, "element_seq", "element", F.from_json("element", ELEMENT).alias("e"), sound.alias("__sound"))
+    elements = read.where("__sound").select(*rest, "element_seq", "e.*")
+    of_body = marked.where("reason is not null").select(*bodies.columns, "reason", F.when(F.col("reason") == "REMARK", F.try_variant_get("__doc.remark", "$", "string")).alias("remark"), F.lit(None).cast("int").alias("element_seq"), F.lit(None).cast("string").alias("element"))
+    nothing = F.lit(None).cast("string")
+    of_element = read.where("not __sound").select(*[nothing.alias(c) if c == body_col else F.col(f"`{c}`") for c in bodies.columns], F.lit("BAD_ELEMENT").alias("reason"), nothing.alias("remark"), "element_seq", "element")
+    return elements, of_body.unionByName(of_element)
 
 
 def read_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -4,8 +4,7 @@ POINT = "struct<lat:double,lng:double>"
 PIXEL = "struct<x:double,y:double>"
 BBOX = "struct<north:double,south:double,east:double,west:double>"
 
-ELEMENTS = "array<struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
-RESPONSE = f"elements {ELEMENTS}, remark string"
+ELEMENT = "type string, id bigint, tags map<string,string>, geometry array<struct<lat:double,lon:double>>"
 
 FEATURES = f"area_id bigint, feature_seq int, feature_class string, feature_id bigint, kind string, tags map<string,string>, geometry array<{POINT}>"
 AREAS = "area_id bigint, north double, south double, east double, west double"

@@ -24,8 +24,8 @@ DIMENSIONS = 1 << 12
 FIT_PER_LANGUAGE = 500
 #: Labelled documents of all languages together that they are fitted on at most, but one of each language at least.
 FIT_ALL = 16_000
-#: Score below which keep_identified rejects a text: even the family that takes it best rather says no.
-LEAST_SCORE = 0.35
+#: Share of held-out labelled texts below whose score keep_identified puts its threshold, the part of that score that it takes, and bytes from which a text is long enough to be told by it.
+RARE, MARGIN, LONG_ENOUGH = 0.001, 0.5, 200
 
 # Family of common ISO 639-1 codes. Any other code is a family of its own.
 FAMILIES = {
@@ -239,21 +239,35 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)], "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **columns) -> DataFrame:
+def least_score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """Score below which a long text is in none of the languages: half of what all but one in a thousand held-out labelled texts reach.
+
+    Measured on all of them. 0 where there is none: then nothing is rejected by its score.
+    """
+    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    known = known.where(held_out("id") & F.col("lang").isNotNull() & (F.octet_length("text") >= LONG_ENOUGH)).select("text")
+    found = predict(known, model).where("lang_pred <> 'und'").agg(F.percentile_approx("score", RARE, 100_000)).first()[0]
+    return MARGIN * (found or 0.0)
+
+
+def keep_identified(docs: DataFrame, least: float | None = None, **columns) -> DataFrame:
     """Documents whose language is known, columns as they are.
 
-    Null texts, texts without a letter and those that the machines score below
-    ``least_score`` go: no family takes them, or no language of the family
-    (machines fitted on a few dozen documents of a language are less sure of
-    anything and reject less). Where no label can be learned from, the machines decide nothing and every
-    text with a letter stays. Rows count one by one, repeated ones too; an
-    empty table gives an empty result.
+    Null texts and texts without a letter go, and of texts of ``LONG_ENOUGH``
+    bytes and more those that score below ``least`` (None: ``least_score``, as
+    held-out labelled texts set it): no family takes them, or no language of
+    the family. Shorter texts stay, as they cannot be told. Where no label can
+    be learned from, the machines decide nothing and every text with a letter
+    stays. Rows count one by one, repeated ones too; an empty table gives an
+    empty result.
     """
     text_col = columns.get("text_col", "text")
     model = fit(docs, **columns)
     if model is None:
         return docs.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
+    if least is None:
+        least = least_score(docs, model, **{k: v for k, v in columns.items() if k in ("id_col", "text_col", "lang_col")})
     # Columns of these names may be the documents' own: the prediction stands beside them.
     own = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], F.lit(0).alias("none")).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    found = predict(own, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    found = predict(own, model).where((F.col("lang_pred") != "und") & ((F.col("score") >= least) | (F.octet_length("text") < LONG_ENOUGH)))
     return found.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -290,11 +290,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.withColumn("__tag", shared.text_tag(text_col))
     marks = shared.written(shingles.with_shingle_marks(keyed, [id_col, "__tag"], text_col, shingle), "marks")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("first")
-    by = [F.first(c).alias(c) for c in marks.columns if c not in (id_col, "__tag", "node")]
-    nodes = shared.written(marks.groupBy("node").agg(F.min(id_col).alias("first_id"), first, *by), "nodes")
+    # Equal hash, size and 256 fingerprint bits are one set; nodes are numbered when written, so no hash stands for one from here on.
+    key = ["node", "size", *shingles.MARKS]
+    sets = marks.groupBy(*key).agg(F.min(id_col).alias("first_id"), first, F.first("prefix").alias("prefix"))
+    numbered = shared.written(sets.withColumn("number", F.monotonically_increasing_id()), "nodes")
+    nodes = numbered.drop("node").withColumnRenamed("number", "node")
     texts = keyed.select(F.col(id_col).alias("id"), F.col("__tag").alias("tag"), text_col)
     edges = shingles.near_copy_links(texts, nodes, text_col, shingle)
-    groups = grouped(marks.select(id_col, "__tag", "node"), F.col("node"), nodes, edges)
+    placed = marks.select(id_col, "__tag", *key).join(numbered.select(*key, "number"), key).select(id_col, "__tag", F.col("number").alias("node"))
+    groups = grouped(placed, F.col("node"), nodes, edges)
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__tag").alias("tag"))).alias("best"))
     keep = best.select(F.col("best.id").alias("__id"), F.col("best.tag").alias("__of"))
     kept = keyed.join(keep, keyed[id_col].eqNullSafe(F.col("__id")) & (keyed["__tag"] == F.col("__of")), "left_semi")

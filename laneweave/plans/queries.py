@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import edits as log
 from ..operators import features, graph, projects, proximity, routing, rules, snapping, validate
-from ..sources import osm, schemas, store
+from ..sources import chunks, layout, osm, schemas, store
 from ..sources.scratch import fresh_path
 from ..sources.scratch import written as shared_table
 from . import fixtures as fx
@@ -131,7 +131,9 @@ def ingest_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 
 def select_area(spark: SparkSession, sf: str) -> DataFrame:
     boxes = fx.areas(spark, sf).selectExpr("area_id", "south + 0.0061D as north", "south + 0.003D as south", "west + 0.0062D as east", "west + 0.004D as west")
-    return osm.select_area(fx.elements(spark, sf), boxes).select("area_id", F.col("id").alias("feature_id"))
+    path = fresh_path(spark, "elements")
+    layout.write_elements(fx.elements(spark, sf), path)
+    return osm.select_stored(spark, path, boxes).select("area_id", F.col("id").alias("feature_id"))
 
 
 def area_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,12 +261,10 @@ def analyze_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature through its area's document in pieces of 64 KB and back."""
     feats = features.classify(fx.elements(spark, sf)).withColumnRenamed("project_id", "area_id")
-    docs = osm.area_document(feats, fx.areas(spark, sf))
-    item = f"array<struct<id:bigint,kind:string,tags:map<string,string>,geometry:array<{schemas.POINT}>>>"
-    doc = F.from_json("document", f"buildings {item}, roads {item}, openLand {item}")
-    back = features.flatten_document(docs.select("area_id", doc.alias("d")).select("area_id", "d.buildings", "d.roads", F.col("d.openLand").alias("open_land")))
-    return back.select("area_id", "feature_id", "feature_class", "kind", F.size("geometry").cast("bigint").alias("points"))
+    pieces = shared_table(chunks.document_chunks(feats, fx.areas(spark, sf), 64 << 10), "documents")
+    return chunks.chunk_features(pieces).select("area_id", "feature_id", "feature_class", "kind", F.size("geometry").cast("bigint").alias("points"))
 
 
 def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:

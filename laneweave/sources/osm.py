@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_truthy, json_kind
+from .layout import meet_areas, read_around
 from .schemas import ELEMENT
 
 #: Tag keys of which an element must have one.
@@ -45,11 +46,6 @@ def read_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parse_responses(files)
 
 
-def _bounds(geometry: Column) -> list[Column]:
-    lat, lon = F.transform(geometry, lambda p: p["lat"]), F.transform(geometry, lambda p: p["lon"])
-    return [F.array_min(lat).alias("__s"), F.array_max(lat).alias("__n"), F.array_min(lon).alias("__w"), F.array_max(lon).alias("__e")]
-
-
 def _crosses(p: Column, q: Column, a: Column) -> Column:
     """Does the segment p-q meet the box? Clipping by the parameter range inside each slab."""
     dx, dy = q["lon"] - p["lon"], q["lat"] - p["lat"]
@@ -66,25 +62,31 @@ def _crosses(p: Column, q: Column, a: Column) -> Column:
     return F.greatest(ex, ey, F.lit(0.0)) <= F.least(lx, ly, F.lit(1.0))
 
 
-def select_area(elements: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
+def select_area(elements: DataFrame, areas: DataFrame) -> DataFrame:
     """Ways with one of the four tag keys inside an area, with ``area_id``.
 
     Inside means that a vertex lies in the box or a segment crosses it. Boxes
-    and ways meet through cells of ``cell`` degrees, so no pair that is far
-    apart is made; way and area meet once, in the first cell that they share.
+    and ways meet in cells of the coarser of their two sizes (``layout``), so
+    neither a box as wide as a continent nor a long way is many cells, and way
+    and area meet once. Areas with a null, not a number or sides in the wrong
+    order have no ways; points without two numbers are passed over; ways
+    without any point are nowhere. Repeated rows of either table stay repeated.
+    An element column ``area_id`` is replaced.
     """
-    ways = elements.where((F.col("type") == "way") & (F.size("geometry") > 0) & F.exists(F.array(*map(F.lit, TAG_KEYS)), lambda k: F.try_element_at("tags", k).isNotNull()))
-    c = lambda x: F.floor(x / cell)
-    grid = lambda s, n, w, e: F.flatten(F.transform(F.sequence(c(s), c(n)), lambda y: F.transform(F.sequence(c(w), c(e)), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    boxes = areas.where("south <= north and west <= east").select("area_id", F.struct("north", "south", "east", "west").alias("__a"))
-    boxes = boxes.withColumn("__cell", F.explode(grid(F.col("__a.south"), F.col("__a.north"), F.col("__a.west"), F.col("__a.east"))))
-    placed = ways.select("*", *_bounds(F.col("geometry")))
-    placed = placed.withColumn("__cell", F.explode(grid(F.col("__s"), F.col("__n"), F.col("__w"), F.col("__e"))))
-    a, g = F.col("__a"), F.col("geometry")
-    first = (F.col("__cell.y") == F.greatest(c(F.col("__s")), c(a["south"]))) & (F.col("__cell.x") == F.greatest(c(F.col("__w")), c(a["west"])))
-    steps = F.sequence(F.lit(0), F.greatest(F.size(g) - 2, F.lit(0)))
-    inside = F.exists(steps, lambda i: _crosses(F.get(g, i), F.coalesce(F.get(g, i + 1), F.get(g, i)), a))
-    return placed.join(boxes, "__cell").where(first & inside).select("area_id", *elements.columns)
+    rest = [c for c in elements.columns if c != "area_id"]
+    tagged = F.exists(F.array(*map(F.lit, TAG_KEYS)), lambda k: F.try_element_at("tags", k).isNotNull())
+    ways = elements.select(*rest).where((F.col("type") == "way") & tagged)
+    a = F.col("__area")
+    g = F.filter("geometry", lambda p: (F.abs(p["lat"]) < float("inf")) & (F.abs(p["lon"]) < float("inf")))
+    steps = F.sequence(F.lit(0), F.greatest(F.size("__g") - 2, F.lit(0)))
+    at = lambda i: F.get(F.col("__g"), i)
+    inside = F.exists(steps, lambda i: _crosses(at(i), F.coalesce(at(i + 1), at(i)), a))
+    return meet_areas(ways, areas).withColumn("__g", g).where(inside).select("area_id", *rest)
+
+
+def select_stored(spark: SparkSession, path: str, areas: DataFrame) -> DataFrame:
+    """``select_area`` over elements that ``layout.write_elements`` wrote, reading what lies around the areas."""
+    return select_area(read_around(spark, path, areas), areas)
 
 
 def bounds_geojson(b: Column) -> Column:

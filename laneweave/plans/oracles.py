@@ -239,6 +239,11 @@ ORACLES: dict[str, str] = {
     "affected_projects": f"""with {_SEGMENTS}, size as (select area_id, s, count(distinct n) as nodes, count(distinct e) as edges from (
  select area_id, s, unnest([(ka, kb), (kc, kd)]) as n, least((ka,kb),(kc,kd)) as lo, greatest((ka,kb),(kc,kd)) as hi, (lo, hi) as e from segs, (values (0), (1)) t(s) where s = 1 or kind <> 'service') group by 1, 2)
  select coalesce(a.area_id, b.area_id) as project_id from (from size where s = 0) b full join (from size where s = 1) a on a.area_id = b.area_id where (a.nodes, a.edges) is distinct from (b.nodes, b.edges)""",
+    "affected_by_changes": f"""with {_SEGMENTS}, chosen as (select area_id, s, (ka, kb) as p, (kc, kd) as q from segs, (values (0), (1)) t(s)
+ where case when s = 0 or area_id % 3 = 2 then kind <> 'service' when area_id % 3 = 0 then true else kind not in ('service', 'footway') end),
+ ends as (select distinct area_id, s, p as node, q as other from chosen union select distinct area_id, s, q, p from chosen),
+ size as (select area_id, s, count(*) as nodes, cast(sum(degree) / 2 as bigint) as edges, count(*) filter (where degree <= 1) as dead_ends from (select area_id, s, node, count(*) as degree from ends group by 1, 2, 3) group by 1, 2)
+ select area_id, b.nodes as nodes_before, b.edges as edges_before, a.nodes, a.edges, a.dead_ends, a.nodes <> b.nodes or a.edges <> b.edges as affected from (from size where s = 0) b join (from size where s = 1) a using (area_id)""",
     "geometry_functions": f"""with {_PINS}, q as (select *, lat + 0.001 as qlat, lng - 0.002 as qlng from pins), g as (select *, {_px('lng', 'zoom')} as px, {_py('lat', 'zoom')} as py, {_px('qlng', 'zoom')} as qx, {_py('qlat', 'zoom')} as qy, {_haversine('lat', 'lng', 'qlat', 'qlng')} as hav,
  least(1088/((lng+0.004)-(lng-0.002)), 708/((lat+0.003)-(lat-0.001))) as sc from q)
  select point_id, round(hav, 3) as haversine_m, round(px, 3) as px, round(py, 3) as py, round(lat, 6) as back_lat, round(lng, 6) as back_lng,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import edits as log
-from ..operators import features, graph, projects, proximity, routing, rules, snapping, validate
+from ..operators import features, graph, increments, projects, proximity, routing, rules, snapping, validate
 from ..sources import chunks, layout, osm, schemas, store
 from ..sources.scratch import fresh_path
 from ..sources.scratch import written as shared_table
@@ -246,6 +246,17 @@ def affected_projects(spark: SparkSession, sf: str) -> DataFrame:
     return log.affected_projects(graph.network_report(now.where("kind <> 'service'")), graph.network_report(now))
 
 
+def affected_by_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of every area after a batch of changes: service roads come, footways go, or roads come that are there already."""
+    root = fresh_path(spark, "sizes")
+    increments.create(spark, root)
+    now = fx.roads(spark, sf)
+    increments.apply_changes(now.where("kind <> 'service'").withColumn("action", F.lit("add")), root, 0)
+    action = "case when project_id % 3 = 0 and kind = 'service' or project_id % 3 = 2 and kind = 'primary' then 'add' when project_id % 3 = 1 and kind = 'footway' then 'remove' end"
+    out = increments.apply_changes(now.selectExpr("*", f"{action} as action").where("action is not null"), root, 1)
+    return out.withColumnRenamed("project_id", "area_id")
+
+
 def raw_drafts(spark: SparkSession, sf: str) -> DataFrame:
     out = geo.render_edits(snapping.raw_geometry(fx.drafts(spark, sf)))
     xy = lambda c: [_r(f"{c}.x", 2).alias(f"{c}_x"), _r(f"{c}.y", 2).alias(f"{c}_y")]
@@ -355,7 +366,7 @@ QUERIES = {
         network_report, network_report_drawn, graph_nodes, graph_edges, node_degrees, dead_end_segments, sidewalk_proximity, nearest_segment, nearest_vertex, nearest_node, nearest_ring_point,
         snap_drafts, snap_paths, route_distances, route_requests, route_request_ways, classify_elements, ingest_counts, ingest_quarantine, select_area, area_documents, bbox_validation, bounds_geojson, geometry_functions,
         canvas_points, edit_counts, change_analysis, save_projects, save_rejects, save_state, open_projects, latest_projects, users_and_cascade, edit_replay, autosave_sessions,
-        changed_since_last, affected_projects, raw_drafts, analyze_rejects, document_round_trip, store_round_trip, analysis_documents, document_checks,
+        changed_since_last, affected_projects, affected_by_changes, raw_drafts, analyze_rejects, document_round_trip, store_round_trip, analysis_documents, document_checks,
         gestures, drawn_boxes, event_stamps, near_own_path, user_projects, one_project, last_edits, provider_rejects, route_ways,
     )
 }

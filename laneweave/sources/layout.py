@@ -123,9 +123,10 @@ def read_around(spark: SparkSession, path: str, areas: DataFrame) -> DataFrame:
 def meet_areas(elements: DataFrame, areas: DataFrame) -> DataFrame:
     """Elements with each area whose box meets theirs, once a pair, as ``area_id`` and ``__area``.
 
-    An element is looked up at its own level by coarser or equal areas'
-    absence there (key kind 0) and, once for each coarser or equal level that
-    some area has, among the areas of just that level (kind 1).
+    Keys of kind 0 bring an element, at its own level, together with areas of
+    finer levels. Keys of kind 1 bring it together with areas of one level,
+    its own or a coarser one, once for each such level that some area has. So
+    an element of a small size never meets all small areas of a wide cell.
     """
     boxes = area_boxes(areas)
     levels = sorted(r[0] for r in boxes.select("__level").distinct().collect())  # LEVELS + 1 numbers at most

@@ -259,6 +259,8 @@ ORACLES: dict[str, str] = {
  case when type = 'signal' then round(x, 2) end as at_x, case when type = 'signal' then round(y, 2) end as at_y from g""",
     "analyze_rejects": f"""with {_STORE}, {_REQUESTS} select seq, case when north is null then 'BAD_BBOX' when seq % 5 = 0 or seq % 7 = 0 or seq % 11 = 0 then 'NO_OSM_DATA' when seq % 4 = 0 then 'BAD_EDITS' end as reject_reason from requests""",
     "store_round_trip": f"""with {_STORE}, {_REQUESTS} select coalesce(s.id, a.pid) as id, coalesce(s.user_id, a.user_id) as user_id, coalesce(a.name, s.name) as name, coalesce(a.user_edits, '[]') as user_edits from store s full join accepted a on a.pid = s.id""",
+    "store_commits": f"""with {_STORE}, {_REQUESTS} select coalesce(s.id, a.pid) as id, coalesce(s.user_id, a.user_id) as user_id, coalesce(a.name, s.name) as name, round(coalesce(a.north, s.north), 2) as north,
+ strftime(coalesce(s.created_at, timestamp '2024-06-01 12:00:00'), '%Y-%m-%d %H:%M:%S') as created_at, coalesce(a.user_edits, '[]') as user_edits from store s full join accepted a on a.pid = s.id where coalesce(s.user_id, a.user_id) not like 'u1%'""",
     "document_checks": "select o_orderkey, o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM') and o_orderstatus <> 'P' as valid from orders",
     "gestures": f"""with {_PINS}, g as (select *, {_px('lng', 'zoom')} as x, {_py('lat', 'zoom')} as y, {_px('(lng + (point_id % 3)*0.0002)', 'zoom')} as x2, {_py('(lat + (point_id % 5)*0.0003)', 'zoom')} as y2 from pins)
  select point_id as draft_id from g where sqrt(pow(x2-x, 2) + pow(y2-y, 2)) >= 6""",

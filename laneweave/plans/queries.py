@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import edits as log
-from ..operators import features, graph, increments, projects, proximity, routing, rules, snapping, validate
-from ..sources import chunks, layout, osm, schemas, store
+from ..operators import features, graph, increments, projects, proximity, routing, rules, saves, snapping, validate
+from ..sources import chunks, layout, osm, schemas, store, versions
 from ..sources.scratch import fresh_path
 from ..sources.scratch import written as shared_table
 from . import fixtures as fx
@@ -289,6 +289,24 @@ def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return own.join(back["state"], own["id"] == back["state"]["project_id"]).select("id", "user_id", "name", "user_edits")
 
 
+def store_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """The store of versions after two batches of saves, the removal of a fifth of the users and compaction."""
+    root = fresh_path(spark, "versions")
+    saves.create(spark, root, 32)
+    old = fx.store_projects(spark, sf)
+    users = projects.ensure_users(spark.createDataFrame([], schemas.USERS), old.select("user_id"), F.lit(NOW))
+    versions.commit(spark, root, 0, {"users": users, "projects": old, "state": fx.store_state(spark, sf)})
+    asked = fx.save_requests(spark, sf)
+    middle = asked.agg(F.max("seq")).first()[0] // 2
+    for batch in (asked.where(F.col("seq") <= middle), asked.where(F.col("seq") > middle)):
+        saves.save_batch(spark, root, batch, F.lit(NOW))
+    saves.remove_users(spark, root, versions.read(spark, root, "users").where("id like 'u1%'").selectExpr("id as user_id"))
+    last = versions.compact(spark, root, 2)
+    own = versions.read(spark, root, "projects", last).join(versions.read(spark, root, "users", last).select(F.col("id").alias("user_id")), "user_id")
+    state = versions.read(spark, root, "state", last)
+    return own.join(state, own["id"] == state["project_id"]).select("id", "user_id", "name", _r("bbox.north", 2).alias("north"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "user_edits")
+
+
 def analysis_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = osm.analysis_document(rules.analyze(fx.projects_in(spark, sf), fx.edits(spark, sf), fx.roads(spark, sf)))
     of = lambda path: F.get_json_object("document", f"$.analysis.{path}")
@@ -366,7 +384,7 @@ QUERIES = {
         network_report, network_report_drawn, graph_nodes, graph_edges, node_degrees, dead_end_segments, sidewalk_proximity, nearest_segment, nearest_vertex, nearest_node, nearest_ring_point,
         snap_drafts, snap_paths, route_distances, route_requests, route_request_ways, classify_elements, ingest_counts, ingest_quarantine, select_area, area_documents, bbox_validation, bounds_geojson, geometry_functions,
         canvas_points, edit_counts, change_analysis, save_projects, save_rejects, save_state, open_projects, latest_projects, users_and_cascade, edit_replay, autosave_sessions,
-        changed_since_last, affected_projects, affected_by_changes, raw_drafts, analyze_rejects, document_round_trip, store_round_trip, analysis_documents, document_checks,
+        changed_since_last, affected_projects, affected_by_changes, raw_drafts, analyze_rejects, document_round_trip, store_round_trip, store_commits, analysis_documents, document_checks,
         gestures, drawn_boxes, event_stamps, near_own_path, user_projects, one_project, last_edits, provider_rejects, route_ways,
     )
 }

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, closest_on_segment, dist, lerp, pixel, point_segment_m, to_pixel, unit, vector
+from ..sources.scratch import written
+from .crowds import ROOT, full_cells, meet_in_full
+from .crowds import line_cells as _line_cells
 
 # Cutoffs in pixels, and in metres.
 SEGMENT_PX, VERTEX_PX, RING_PX, NODE_PX, SIDEWALK_M = 34.0, 44.0, 46.0, 42.0, 18.0
@@ -66,23 +69,7 @@ def _levels(points: DataFrame) -> DataFrame:
     return points.select("project_id", F.floor("zoom").cast("int").alias("level")).distinct()
 
 
-def _line_cells(ax: Column, ay: Column, bx: Column, by: Column, size: Column) -> Column:
-    """Cells that a line passes, row by row, so that a long slanting one does not fill its box."""
-    xa, ya, xb, yb = ax / size, ay / size, bx / size, by / size
-    rows = F.sequence(F.floor(F.least(ya, yb)), F.floor(F.greatest(ya, yb)))
-
-    def row(r: Column) -> Column:
-        # The part of the line within the row and a little beyond.
-        at = lambda y: F.when(ya == yb, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - ya) / (yb - ya))))
-        x = lambda t: xa + t * (xb - xa)
-        one, other = x(at(r - 0.001)), F.when(ya == yb, xb).otherwise(x(at(r + 1.001)))
-        columns = F.sequence(F.floor(F.least(one, other) - 0.001), F.floor(F.greatest(one, other) + 0.001))
-        return F.transform(columns, lambda c: F.struct(r.alias("y"), c.alias("x")))
-
-    return F.flatten(F.transform(rows, row))
-
-
-def _meet(points: DataFrame, candidates: DataFrame, px: float) -> DataFrame:
+def _meet(points: DataFrame, candidates: DataFrame, px: float, order: list[str]) -> DataFrame:
     """Points joined with the candidates of the same project in cells around them.
 
     A candidate has its ends in world pixels at zoom 0 (__ax, __ay, __bx,
@@ -90,7 +77,9 @@ def _meet(points: DataFrame, candidates: DataFrame, px: float) -> DataFrame:
     no pair projects anything. Cells are ``px`` wide at the whole zoom level
     below a point's own, so at its zoom they are at least as wide as the
     cutoff; a point looks into the nine cells around it. Pairs whose boxes are
-    farther apart than the cutoff go before any distance is computed.
+    farther apart than the cutoff go before any distance is computed. Cells
+    are counted first, and in full ones only candidates that may be nearest
+    are met (``crowds``), of those with equal ends the first by ``order``.
     """
     size = F.lit(px) / F.pow(F.lit(2.0), F.col("level"))
     held = candidates.join(_levels(points), "project_id").withColumn("__cell", F.explode(_line_cells(F.col("__ax"), F.col("__ay"), F.col("__bx"), F.col("__by"), size)))
@@ -105,7 +94,12 @@ def _meet(points: DataFrame, candidates: DataFrame, px: float) -> DataFrame:
     for w, a, b in (("__wx", "__ax", "__bx"), ("__wy", "__ay", "__by")):
         near &= (F.col(w) + F.col("__reach") >= F.least(a, b)) & (F.col(w) - F.col("__reach") <= F.greatest(a, b))
     # A long line meets a point in several cells; repeated pairs change no minimum.
-    return asking.join(held, ["project_id", "level", "__cell"]).where(near)
+    held = written(held, "cells")
+    full = written(full_cells(held, px), "full-cells")
+    if full.isEmpty():
+        return asking.join(held, ROOT).where(near)
+    plain = asking.join(full, ROOT, "left_anti").join(held, ROOT)
+    return plain.unionByName(meet_in_full(asking, held, full, px, order)).where(near)
 
 
 _SEGMENT = ["distance", "map_point", "px_point", "tangent", "feature_id", "feature_seq", "segment_index"]
@@ -123,7 +117,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, px: float = SEGMENT_
     zero = F.lit(0.0)
     held = segments.select("project_id", "feature_id", "feature_seq", "segment_index", "a", "b", to_pixel(F.col("a"), zero).alias("__a"), to_pixel(F.col("b"), zero).alias("__b"))
     held = held.select("*", F.col("__a.x").alias("__ax"), F.col("__a.y").alias("__ay"), F.col("__b.x").alias("__bx"), F.col("__b.y").alias("__by")).drop("__a", "__b")
-    met = _meet(points, held, px)
+    met = _meet(points, held, px, ["feature_seq", "segment_index"])
     at = lambda c: pixel(F.col(f"__{c}x") * F.col("__scale"), F.col(f"__{c}y") * F.col("__scale"))
     met = met.withColumn("__c", closest_on_segment(at("w"), at("a"), at("b"))).where(F.col("__c.distance") <= px)
     met = met.withColumns({"distance": F.col("__c.distance"), "map_point": lerp(F.col("a"), F.col("b"), F.col("__c.t")), "px_point": pixel(F.col("__c.x"), F.col("__c.y")), "tangent": unit(vector(at("a"), at("b")))})
@@ -134,7 +128,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, px: float = SEGMENT_
 def _nearest_place(points: DataFrame, places: DataFrame, px: float, order: list[str], value: list[str]) -> DataFrame:
     held = places.withColumn("__p", to_pixel(F.col("place"), F.lit(0.0)))
     held = held.withColumns({"__ax": F.col("__p.x"), "__ay": F.col("__p.y"), "__bx": F.col("__p.x"), "__by": F.col("__p.y")}).drop("__p")
-    met = _meet(points, held, px).withColumn("px_point", pixel(F.col("__ax") * F.col("__scale"), F.col("__ay") * F.col("__scale")))
+    met = _meet(points, held, px, order).withColumn("px_point", pixel(F.col("__ax") * F.col("__scale"), F.col("__ay") * F.col("__scale")))
     met = met.withColumn("distance", dist(pixel(F.col("__wx") * F.col("__scale"), F.col("__wy") * F.col("__scale")), F.col("px_point")))
     best = nearest_one(met.where(F.col("distance") <= px), ["project_id", "point_id"], ["distance", *order], ["distance", "px_point", *value])
     return points.join(best, ["project_id", "point_id"], "left")

@@ -18,7 +18,7 @@ from ..functions.geo import closest_on_segment, pixel
 from ..sources.scratch import written
 
 #: Candidates of a cell that is not divided, those that a finest cell would have if they were spread evenly, and how often a cell is halved at most.
-CROWD, FINEST, DEEPEST = 256, 1, 10
+CROWD, FINEST, DEEPEST = 4096, 1, 10
 
 ROOT = ["project_id", "level", "__cell"]
 ENDS = ["__ax", "__ay", "__bx", "__by"]

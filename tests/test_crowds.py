@@ -56,8 +56,9 @@ def test_no_points_or_no_segments(spark, streets, monkeypatch):
     assert proximity.nearest_segment(points, segments.limit(0)).where("distance is not null").count() == 0
 
 
-def test_fifty_thousand_in_one_cell(spark):
+def test_fifty_thousand_in_one_cell(spark, monkeypatch):
     """Points among the segments, and points that stand a little off all of them."""
+    monkeypatch.setattr(crowds, "CROWD", 256)
     rng = np.random.default_rng(3)
     n, zoom = 50_000, 16.0
     width = 20 * 360 / (512 * 2**zoom)  # 20 pixels

@@ -1,26 +1,34 @@
-"""Nearest places where very many lie in one cell of a grid.
-
-A cell with more than ``CROWD`` candidates is full: its candidates are put
-into cells of a finer grid inside it, more so the more there are, and every
-cell on the way down keeps the ends of one of its candidates. A point goes
-down from the full cells around it, all points together and a level a round:
-the candidate that is kept tells how far the nearest is at most, and cells
-that lie farther go. So a point is compared with the candidates of the few
-finest cells at its nearest distance, wherever in the full cell they lie.
+"""Points and the candidates that may be nearest to them, by blocks of cells.
+
+A point lies in one block of ``WIDE`` by ``WIDE`` cells; a candidate goes to
+every block from which it may be within the cutoff. Blocks with many points or
+candidates are dealt out in pieces, every piece of the one with every piece of
+the other. Within a piece the points are halved again and again: candidates
+that are farther from the middle of a part than its nearest candidate and its
+width can be nearest to none of its points, and go. So a point is compared
+with the few that are left for its part, however many lie in its block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.geo import closest_on_segment, pixel
 from ..sources.scratch import written
 
-#: Candidates of a cell that is not divided, those that a finest cell would have if they were spread evenly, and how often a cell is halved at most.
-CROWD, FINEST, DEEPEST = 4096, 1, 10
+#: A piece has so many times ``POINTS`` points and ``CANDIDATES`` candidates at most, about; how often points are halved at most.
+CROWD, DEEPEST = 4096, 32
+POINTS, CANDIDATES = 16, 64
+#: Cells along a block's side; pairs compared at once.
+WIDE, AT_ONCE = 8, 1 << 18
 
-ROOT = ["project_id", "level", "__cell"]
+BLOCK = ["project_id", "level", "__row", "__col"]
+PIECE = [*BLOCK, "__points", "__slice"]
 ENDS = ["__ax", "__ay", "__bx", "__by"]
 
 
@@ -49,73 +57,98 @@ def line_cells(ax: Column, ay: Column, bx: Column, by: Column, size: Column, wit
     return F.flatten(F.transform(run(F.least(ya, yb), F.greatest(ya, yb), "y"), row))
 
 
-def _size(px: float, halvings: Column) -> Column:
-    """Width in world pixels of a cell that was halved so often."""
-    return F.lit(px) / F.pow(F.lit(2.0), F.col("level")) / F.pow(F.lit(2.0), halvings)
-
-
-def full_cells(held: DataFrame, px: float) -> DataFrame:
-    """Cells (``ROOT``) with too many candidates, and how often each is to be halved.
-
-    Cells are not made much smaller than the lines in them are long, so that a line is in few.
-    """
-    whole = _size(px, F.lit(0))
-    length = F.greatest(F.abs(F.col("__ax") - F.col("__bx")), F.abs(F.col("__ay") - F.col("__by")))
-    counted = held.groupBy(*ROOT).agg(F.count("*").alias("__n"), F.avg(F.least(length, whole)).alias("__long")).where(F.col("__n") > CROWD)
-    by_number = F.ceil(F.log2(F.col("__n") / FINEST) / 2)
-    by_length = F.ceil(F.log2(whole / F.greatest("__long", whole / 2.0**DEEPEST))) + 2
-    return counted.select(*ROOT, F.greatest(F.least(by_number, by_length, F.lit(DEEPEST)), F.lit(1)).cast("int").alias("__depth"))
+def _block(cell: Column) -> Column:
+    return F.floor(cell / WIDE)
 
 
-def _leaves(held: DataFrame, full: DataFrame, px: float, order: list[str]) -> DataFrame:
-    """Candidates of full cells in the finest cells; of those with equal ends the first, which would win."""
-    rest = [c for c in held.columns if c not in ROOT + ENDS]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")
-    one = held.join(full, ROOT).groupBy(*ROOT, "__depth", *ENDS).agg(first).select(*ROOT, "__depth", *ENDS, "__first.*")
-    cells = line_cells(*[F.col(c) for c in ENDS], _size(px, F.col("__depth")), F.col("__cell"), F.pow(F.lit(2.0), F.col("__depth")))
-    return one.withColumn("__leaf", F.explode(cells))
+def _blocks_beside(size: Column) -> Column:
+    """Blocks of the cells that a candidate passes and of those beside them."""
 
+    def around(c: Column) -> Column:
+        at = lambda dy, dx: F.struct(_block(c["y"] + dy).alias("row"), _block(c["x"] + dx).alias("col"))
+        return F.array(*[at(dy, dx) for dy in (-1, 1) for dx in (-1, 1)])
 
-def _levels(leaves: DataFrame) -> DataFrame:
-    """All cells above the leaves and these themselves, each with the ends of some candidate."""
+    return F.array_distinct(F.flatten(F.transform(line_cells(*[F.col(c) for c in ENDS], size), around)))
 
-    def above(d: Column) -> Column:
-        wide = F.pow(F.lit(2.0), F.col("__depth") - d)
-        return F.struct(d.alias("d"), F.struct(*[F.floor(F.col(f"__leaf.{s}") / wide).alias(s) for s in ("y", "x")]).alias("at"))
 
-    cells = leaves.select(*ROOT, F.explode(F.transform(F.sequence(F.lit(0), F.col("__depth")), above)).alias("__at"), F.struct(*ENDS).alias("__ends"))
-    return cells.groupBy(*ROOT, "__at").agg(F.min("__ends").alias("__some"))
+def _distances(x, y, ends) -> np.ndarray:
+    """Distances of points (a column) from segments (a row)."""
+    ax, ay, dx, dy = ends
+    square = dx * dx + dy * dy
+    t = np.clip(((x - ax) * dx + (y - ay) * dy) / np.where(square == 0, 1.0, square), 0.0, 1.0)
+    return np.hypot(x - ax - t * dx, y - ay - t * dy)
 
 
-def meet_in_full(asking: DataFrame, held: DataFrame, full: DataFrame, px: float, order: list[str]) -> DataFrame:
-    """Points in or beside full cells joined with the candidates there that may be nearest, all of the equally near.
+def may_be_nearest(x, y, reach, ax, ay, bx, by) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of points and of segments, pair by pair: all that are nearest within reach, but for rounding.
 
-    ``asking`` has a row for each point and cell around it, with the place in
-    world pixels (__wx, __wy) and the scale of its zoom; ``held`` one for each
-    candidate and cell. Pairs may repeat. Many different candidates that meet
-    in one spot stay together in its finest cell.
+    Segments that are as near as the nearest but for what rounding may take are
+    kept, so that whoever computes distances anew decides between them.
     """
-    leaves = written(_leaves(held, full, px, order), "leaves")
-    levels = written(_levels(leaves), "levels")
-    deepest = full.agg(F.max("__depth")).first()[0]
-    scale = F.col("__scale")
-    d, at, some = F.col("__at.d"), F.col("__at.at"), F.col("__some")
-    here = pixel(F.col("__wx") * scale, F.col("__wy") * scale)
-    known = closest_on_segment(here, pixel(some["__ax"] * scale, some["__ay"] * scale), pixel(some["__bx"] * scale, some["__by"] * scale))["distance"]
-    size = _size(px, d) * scale
-    gap = lambda s: F.greatest(F.lit(0.0), at[s] * size - here[s], here[s] - (at[s] + 1) * size)
-    least = F.sqrt(gap("x") * gap("x") + gap("y") * gap("y"))
-    of_point = Window.partitionBy("project_id", "point_id")
-    half = lambda dy, dx: F.struct((d + 1).alias("d"), F.struct((at["y"] * 2 + dy).alias("y"), (at["x"] * 2 + dx).alias("x")).alias("at"))
-    parts = F.when(d < F.col("__depth"), F.array(*[half(dy, dx) for dy in (0, 1) for dx in (0, 1)])).otherwise(F.array("__at"))
-    # Dealt out by point once, in a number of tasks that stays as it is: rows multiply on the way down.
-    tasks = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_cells = asking.join(full, ROOT).repartition(tasks, "project_id", "point_id").withColumn("__at", F.struct(F.lit(0).alias("d"), F.col("__cell").alias("at")))
-    for halvings in range(deepest + 1):
-        if halvings:
-            open_cells = open_cells.drop("__some", "__most").withColumn("__at", F.explode(parts))
-        reached = open_cells.join(levels, [*ROOT, "__at"]).withColumn("__most", F.min(known).over(of_point))
-        # A little more than the bound, so that rounding loses nothing.
-        open_cells = reached.where(least <= F.least("__most", F.lit(px)) * (1 + 1e-6) + 1e-6)
-    found = open_cells.withColumn("__leaf", at).select(*asking.columns, "__leaf")
-    return found.join(leaves.drop("__depth"), [*ROOT, "__leaf"]).drop("__leaf")
+    ends = np.stack([ax, ay, bx - ax, by - ay])
+    slack = 4096 * np.finfo(float).eps * max(np.abs(v).max(initial=1.0) for v in (x, y, ax, ay, bx, by))
+    parts = [(np.arange(len(x)), np.arange(len(ax)), 0)]
+    while parts:
+        i, j, depth = parts.pop()
+        if len(i) > 8 and len(i) * len(j) > 4096 and depth < DEEPEST:
+            x0, x1, y0, y1 = x[i].min(), x[i].max(), y[i].min(), y[i].max()
+            half = np.hypot(x1 - x0, y1 - y0) / 2
+            away = _distances((x0 + x1) / 2, (y0 + y1) / 2, ends[:, j])
+            j = j[away <= min(away.min() + 2 * half, reach[i].max() + half) + slack]
+            if not len(j):
+                continue
+            if half > 0:
+                order = np.argpartition(x[i] if x1 - x0 >= y1 - y0 else y[i], len(i) // 2)
+                parts += [(i[order[: len(i) // 2]], j, depth + 1), (i[order[len(i) // 2 :]], j, depth + 1)]
+                continue
+        step = max(1, AT_ONCE // len(j))
+        for k in range(0, len(i), step):
+            some = i[k : k + step]
+            away = _distances(x[some, None], y[some, None], ends[:, j])
+            one, other = np.nonzero(away <= np.minimum(away.min(axis=1) + slack, reach[some] * (1 + 1e-6) + slack)[:, None])
+            yield some[one], j[other]
+
+
+def _pairs(columns: list[str], values: list[str]):
+    def of_piece(asks: pa.Table, held: pa.Table) -> pa.Table:
+        number = lambda t, c: t[c].to_numpy()
+        found = []
+        if len(asks) and len(held):
+            found = list(may_be_nearest(number(asks, "__wx"), number(asks, "__wy"), number(asks, "__reach"), *[number(held, c) for c in ENDS]))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.array([], dtype=np.int64) for k in (0, 1))
+        taken = [asks[c].take(i) for c in columns] + [held[c].take(j) for c in values]
+        return pa.table(taken, names=[*columns, *values])
+
+    return of_piece
+
+
+def meet(asks: DataFrame, held: DataFrame, px: float, order: list[str]) -> DataFrame:
+    """``asks`` with each of the candidates of its project that may be nearest to it.
+
+    ``asks`` has distinct rows of project_id and a place in world pixels (__wx,
+    __wy), its level and how far it looks (__reach), no farther than a cell of
+    its level is wide; ``held`` candidates with their ends (``ENDS``) in world
+    pixels, of which the first by ``order`` stands for all with equal ends.
+    No pair repeats.
+    """
+    size = F.lit(px) / F.pow(F.lit(2.0), F.col("level"))
+    rest = [c for c in held.columns if c not in ["project_id", *ENDS]]
+    sound = [F.col(c).between(-1e300, 1e300) for c in ENDS]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")
+    one = held.where(sound[0] & sound[1] & sound[2] & sound[3]).groupBy("project_id", *ENDS).agg(first).select("project_id", *ENDS, "__first.*")
+    one = written(one, "candidates")
+    placed = written(asks.withColumns({"__row": _block(F.floor(F.col("__wy") / size)), "__col": _block(F.floor(F.col("__wx") / size))}), "points")
+    levels = placed.select("project_id", F.col("level").alias("level")).distinct()
+    beside = one.join(levels, "project_id").withColumn("__block", F.explode(_blocks_beside(size)))
+    beside = beside.select("project_id", "level", F.col("__block.row").alias("__row"), F.col("__block.col").alias("__col"), *ENDS, *rest)
+    # Pieces that hold about as many rows each; a block without one or the other has none.
+    pieces = lambda df, most, name: df.groupBy(*BLOCK).agg(F.ceil(F.count("*") / F.lit(CROWD * most)).alias(name))
+    sizes = written(pieces(placed, POINTS, "__of_points").join(pieces(beside, CANDIDATES, "__of_slices"), BLOCK), "pieces")
+    # The piece of one's own, and all of the other side.
+    own = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("bigint")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = placed.join(sizes, BLOCK).withColumn("__points", own("__of_points", "__wx", "__wy", "__reach")).withColumn("__slice", every("__of_slices")).drop("__of_points", "__of_slices")
+    right = beside.join(sizes, BLOCK).withColumn("__slice", own("__of_slices", *ENDS)).withColumn("__points", every("__of_points")).drop("__of_points", "__of_slices")
+    columns, values = asks.columns, [*ENDS, *rest]
+    schema = StructType([placed.schema[c] for c in columns] + [right.schema[c] for c in values])
+    return left.groupBy(*PIECE).cogroup(right.groupBy(*PIECE)).applyInArrow(_pairs(columns, values), schema)

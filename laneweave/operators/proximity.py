@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE, closest_on_segment, dist, lerp, pixel, point_segment_m, to_pixel, unit, vector
-from ..sources.scratch import written
-from .crowds import ROOT, full_cells, meet_in_full
+from ..functions.geo import METRES_PER_DEGREE, closest_on_segment, dist, lerp, pixel, point, point_segment_m, to_pixel, unit, vector
 from .crowds import line_cells as _line_cells
+from .crowds import meet
 
 # Cutoffs in pixels, and in metres.
 SEGMENT_PX, VERTEX_PX, RING_PX, NODE_PX, SIDEWALK_M = 34.0, 44.0, 46.0, 42.0, 18.0
@@ -59,47 +58,37 @@ def within_distance(points: DataFrame, segments: DataFrame, metres: float = SIDE
 
 
 def nearest_one(candidates: DataFrame, by: list[str], order: list[str], value: list[str]) -> DataFrame:
-    """For each ``by`` the candidate that is first in ``order``, without a sort."""
+    """For each ``by`` the candidate that is first in ``order``."""
     best = F.min_by(F.struct(*value), F.struct(*order)).alias("__best")
     return candidates.groupBy(*by).agg(best).select(*by, *[F.col(f"__best.{v}").alias(v) for v in value])
 
 
-def _levels(points: DataFrame) -> DataFrame:
-    """Zoom levels at which a project's points ask."""
-    return points.select("project_id", F.floor("zoom").cast("int").alias("level")).distinct()
+_ASKED = ["project_id", "__lat", "__lng", "__zoom"]
 
 
 def _meet(points: DataFrame, candidates: DataFrame, px: float, order: list[str]) -> DataFrame:
-    """Points joined with the candidates of the same project in cells around them.
+    """Places and zooms of points (``_ASKED``), each asked once, joined with the candidates of the project that may be nearest.
 
     A candidate has its ends in world pixels at zoom 0 (__ax, __ay, __bx,
     __by); points get theirs (__wx, __wy) and the scale of their zoom, so that
     no pair projects anything. Cells are ``px`` wide at the whole zoom level
     below a point's own, so at its zoom they are at least as wide as the
-    cutoff; a point looks into the nine cells around it. Pairs whose boxes are
-    farther apart than the cutoff go before any distance is computed. Cells
-    are counted first, and in full ones only candidates that may be nearest
-    are met (``crowds``), of those with equal ends the first by ``order``.
+    cutoff. Of candidates with equal ends the first by ``order`` is met.
     """
-    size = F.lit(px) / F.pow(F.lit(2.0), F.col("level"))
-    held = candidates.join(_levels(points), "project_id").withColumn("__cell", F.explode(_line_cells(F.col("__ax"), F.col("__ay"), F.col("__bx"), F.col("__by"), size)))
-    world = to_pixel(F.col("p"), F.lit(0.0))
-    asking = points.withColumns({"level": F.floor("zoom").cast("int"), "__w": world, "__scale": F.pow(F.lit(2.0), F.col("zoom"))})
-    cell = lambda v: F.floor(v / size)
-    around = F.flatten(
-        F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dy: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dx: F.struct((cell(F.col("__w.y")) + dy).alias("y"), (cell(F.col("__w.x")) + dx).alias("x"))))
-    )
-    asking = asking.withColumns({"__wx": F.col("__w.x"), "__wy": F.col("__w.y"), "__reach": F.lit(px * 1.000001) / F.col("__scale")}).withColumn("__cell", F.explode(around)).drop("__w")
-    near = F.lit(True)
-    for w, a, b in (("__wx", "__ax", "__bx"), ("__wy", "__ay", "__by")):
-        near &= (F.col(w) + F.col("__reach") >= F.least(a, b)) & (F.col(w) - F.col("__reach") <= F.greatest(a, b))
-    # A long line meets a point in several cells; repeated pairs change no minimum.
-    held = written(held, "cells")
-    full = written(full_cells(held, px), "full-cells")
-    if full.isEmpty():
-        return asking.join(held, ROOT).where(near)
-    plain = asking.join(full, ROOT, "left_anti").join(held, ROOT)
-    return plain.unionByName(meet_in_full(asking, held, full, px, order)).where(near)
+    asks = points.select("project_id", F.col("p.lat").alias("__lat"), F.col("p.lng").alias("__lng"), F.col("zoom").alias("__zoom")).distinct()
+    world = to_pixel(point(F.col("__lat"), F.col("__lng")), F.lit(0.0))
+    asks = asks.withColumns({"level": F.floor("__zoom").cast("int"), "__w": world, "__scale": F.pow(F.lit(2.0), F.col("__zoom"))})
+    asks = asks.select(*_ASKED, "level", F.col("__w.x").alias("__wx"), F.col("__w.y").alias("__wy"), "__scale", (F.lit(px * 1.000001) / F.col("__scale")).alias("__reach"))
+    sound = F.col("__wx").between(-1e300, 1e300) & F.col("__wy").between(-1e300, 1e300) & F.col("__scale").between(1e-300, 1e300)
+    return meet(asks.where(sound & F.col("project_id").isNotNull()), candidates, px, order)
+
+
+def _answered(points: DataFrame, best: DataFrame, value: list[str]) -> DataFrame:
+    """All points, those of one place and zoom with the same answer."""
+    found = best.withColumnRenamed("project_id", "__project")
+    on = (F.col("project_id") == F.col("__project")) & (F.col("p.lat") == F.col("__lat")) & (F.col("p.lng") == F.col("__lng")) & (F.col("zoom") == F.col("__zoom"))
+    key = ["project_id", "point_id"]
+    return points.join(found, on, "left").select(*key, *[c for c in points.columns if c not in key], *value)
 
 
 _SEGMENT = ["distance", "map_point", "px_point", "tangent", "feature_id", "feature_seq", "segment_index"]
@@ -121,8 +110,8 @@ def nearest_segment(points: DataFrame, segments: DataFrame, px: float = SEGMENT_
     at = lambda c: pixel(F.col(f"__{c}x") * F.col("__scale"), F.col(f"__{c}y") * F.col("__scale"))
     met = met.withColumn("__c", closest_on_segment(at("w"), at("a"), at("b"))).where(F.col("__c.distance") <= px)
     met = met.withColumns({"distance": F.col("__c.distance"), "map_point": lerp(F.col("a"), F.col("b"), F.col("__c.t")), "px_point": pixel(F.col("__c.x"), F.col("__c.y")), "tangent": unit(vector(at("a"), at("b")))})
-    best = nearest_one(met, ["project_id", "point_id"], ["distance", "feature_seq", "segment_index"], _SEGMENT)
-    return points.join(best, ["project_id", "point_id"], "left")
+    best = nearest_one(met, _ASKED, ["distance", "feature_seq", "segment_index"], _SEGMENT)
+    return _answered(points, best, _SEGMENT)
 
 
 def _nearest_place(points: DataFrame, places: DataFrame, px: float, order: list[str], value: list[str]) -> DataFrame:
@@ -130,8 +119,8 @@ def _nearest_place(points: DataFrame, places: DataFrame, px: float, order: list[
     held = held.withColumns({"__ax": F.col("__p.x"), "__ay": F.col("__p.y"), "__bx": F.col("__p.x"), "__by": F.col("__p.y")}).drop("__p")
     met = _meet(points, held, px, order).withColumn("px_point", pixel(F.col("__ax") * F.col("__scale"), F.col("__ay") * F.col("__scale")))
     met = met.withColumn("distance", dist(pixel(F.col("__wx") * F.col("__scale"), F.col("__wy") * F.col("__scale")), F.col("px_point")))
-    best = nearest_one(met.where(F.col("distance") <= px), ["project_id", "point_id"], ["distance", *order], ["distance", "px_point", *value])
-    return points.join(best, ["project_id", "point_id"], "left")
+    value = ["distance", "px_point", *value]
+    return _answered(points, nearest_one(met.where(F.col("distance") <= px), _ASKED, ["distance", *order], value), value)
 
 
 def nearest_vertex(points: DataFrame, roads: DataFrame, px: float = VERTEX_PX) -> DataFrame:

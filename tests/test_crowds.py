@@ -84,3 +84,23 @@ def test_fifty_thousand_in_one_cell(spark, monkeypatch):
             assert got[i][0] == best and abs(got[i][1] - away[best]) < 1e-6, (i, got[i], best, away[best])
         elif away[best] > 34.1:
             assert got[i] == (None, None)
+
+
+def test_few_candidates_are_met(spark):
+    """Points asked often, candidates repeated, and thousands of others in one cell that is not full."""
+    at = lambda n, seed: [(1, i, 1.0 + 0.0002 * x, 1.0 + 0.0002 * y) for i, (x, y) in enumerate(np.random.default_rng(seed).uniform(0, 1, (n, 2)).tolist())]
+    names = "project_id bigint, point_id bigint, lat double, lng double"
+    asked = spark.createDataFrame(at(300, 1), names).crossJoin(spark.range(4).withColumnRenamed("id", "r"))
+    points = asked.selectExpr("project_id", "point_id + r * 1000 as point_id", "named_struct('lat', lat, 'lng', lng) as p", "16D as zoom")
+    places = spark.createDataFrame(at(2000, 2), names).crossJoin(spark.range(3).withColumnRenamed("id", "r"))
+    roads = places.selectExpr("project_id", "point_id + r * 10000 as feature_id", "point_id + r * 10000 as feature_seq", "array(named_struct('lat', lat, 'lng', lng)) as geometry")
+    zero = F.lit(0.0)
+    held = roads.select("project_id", "feature_seq", proximity.to_pixel(F.col("geometry")[0], zero).alias("w")).select("project_id", "feature_seq", *[F.col(c).alias(n) for c, n in (("w.x", "__ax"), ("w.y", "__ay"), ("w.x", "__bx"), ("w.y", "__by"))])
+    assert proximity._meet(points, held, 44.0, ["feature_seq"]).count() <= 2 * 300
+    got = proximity.nearest_vertex(points, roads).select("point_id", "feature_id", "distance").collect()
+    assert len(got) == 1200
+    (_, _, lat, lng), (_, _, plat, plng) = zip(*at(2000, 2), strict=True), zip(*at(300, 1), strict=True)
+    (qx, qy), (x, y) = world(np.array(lat), np.array(lng), 16.0), world(np.array(plat), np.array(plng), 16.0)
+    for row in got:
+        k = row.point_id % 1000
+        assert row.feature_id == int(np.hypot(qx - x[k], qy - y[k]).argmin())

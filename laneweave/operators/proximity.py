@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE, closest_on_segment, dist, lerp, pixel, point, point_segment_m, to_pixel, unit, vector
+from ..functions.geo import METRES_PER_DEGREE, closest_on_segment, dist, lerp, pixel, point, to_pixel, unit, vector
 from .crowds import line_cells as _line_cells
 from .crowds import meet
 
@@ -32,29 +32,42 @@ def _column(lng: Column, row: Column, cell: float) -> Column:
 def within_distance(points: DataFrame, segments: DataFrame, metres: float = SIDEWALK_M, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """Rows of ``points`` (with ``p``) that a segment (``a``, ``b``) of the same keys is within ``metres`` of.
 
-    A semi join: rows come out once, however many segments are near. A point
-    lies in one cell; a segment, widened by the cutoff, in all that it covers.
+    Rows come out as often as they are there, however many segments are near. A
+    point lies in one cell; a segment, widened by the cutoff, in all that it
+    covers. Each place and each segment is met once, however often it is there.
     """
+    asked = points.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("p.lat").alias("__lat"), F.col("p.lng").alias("__lng"))
+    places = asked.distinct().select("*", point(F.col("__lat"), F.col("__lng")).alias("p"))
+    segments = segments.select(*keys, point(F.col("a.lat"), F.col("a.lng")).alias("a"), point(F.col("b.lat"), F.col("b.lng")).alias("b")).distinct()
     cell = max(4 * metres, 50.0)
     reach = metres * 1.01 / METRES_PER_DEGREE
     a, b = F.col("a"), F.col("b")
     far = F.least(F.greatest(F.abs(a["lat"]), F.abs(b["lat"])) + reach, F.lit(89.9))
     wide = F.lit(reach) / F.cos(F.radians(far))
+    box = [F.least(a["lat"], b["lat"]) - reach, F.greatest(a["lat"], b["lat"]) + reach, F.least(a["lng"], b["lng"]) - wide, F.greatest(a["lng"], b["lng"]) + wide]
+    boxed = segments.select(*[F.col(k).alias(f"__{k}") for k in keys], "a", "b", *[c.alias(n) for c, n in zip(box, ("__south", "__north", "__west", "__east"), strict=True)])
     cells = F.flatten(
         F.transform(
-            F.sequence(_row(F.least(a["lat"], b["lat"]) - reach, cell), _row(F.greatest(a["lat"], b["lat"]) + reach, cell)),
-            lambda r: F.transform(
-                F.sequence(_column(F.least(a["lng"], b["lng"]) - wide, r, cell), _column(F.greatest(a["lng"], b["lng"]) + wide, r, cell)), lambda c: F.struct(r.alias("row"), c.alias("col"))
-            ),
+            F.sequence(_row(F.col("__south"), cell), _row(F.col("__north"), cell)),
+            lambda r: F.transform(F.sequence(_column(F.col("__west"), r, cell), _column(F.col("__east"), r, cell)), lambda c: F.struct(r.alias("row"), c.alias("col"))),
         )
     )
-    held = segments.select(*[F.col(k).alias(f"__{k}") for k in keys], "a", "b", F.explode(cells).alias("__cell"))
+    held = boxed.withColumn("__cell", F.explode(cells))
     row = _row(F.col("p.lat"), cell)
-    placed = points.withColumn("__at", F.struct(row.alias("row"), _column(F.col("p.lng"), row, cell).alias("col")))
-    on = F.col("__at") == F.col("__cell")
+    placed = places.withColumn("__at", F.struct(row.alias("row"), _column(F.col("p.lng"), row, cell).alias("col")))
+    on = (F.col("__at") == F.col("__cell")) & F.col("__lat").between(F.col("__south"), F.col("__north")) & F.col("__lng").between(F.col("__west"), F.col("__east"))
     for k in keys:
-        on &= F.col(k) == F.col(f"__{k}")
-    return placed.join(held, on & (point_segment_m(F.col("p"), F.col("a"), F.col("b")) <= metres), "left_semi").drop("__at")
+        on &= F.col(f"__of_{k}") == F.col(f"__{k}")
+    asked = [*[f"__of_{k}" for k in keys], "__lat", "__lng"]
+    met = placed.join(held, on).select(*asked, "p", "a", "b", F.cos(F.radians((F.col("p.lat") + F.col("a.lat") + F.col("b.lat")) / 3)).alias("__cos"))
+    # As point_segment_m has it, step by step: one expression, or the condition of a join, computes the cosine for every coordinate again.
+    flat = met.select(*asked, *[c.alias(f"__{v}{n}") for v in "pab" for n, c in (("x", F.col(f"{v}.lng") * METRES_PER_DEGREE * F.col("__cos")), ("y", F.col(f"{v}.lat") * METRES_PER_DEGREE))])
+    at = lambda v: pixel(F.col(f"__{v}x"), F.col(f"__{v}y"))
+    near = flat.groupBy(*asked).agg(F.min(closest_on_segment(at("p"), at("a"), at("b"))["distance"]).alias("__m")).where(F.col("__m") <= metres)
+    same = (F.col("p.lat") == F.col("__lat")) & (F.col("p.lng") == F.col("__lng"))
+    for k in keys:
+        same &= F.col(k) == F.col(f"__of_{k}")
+    return points.join(near, same, "left_semi")
 
 
 def nearest_one(candidates: DataFrame, by: list[str], order: list[str], value: list[str]) -> DataFrame:

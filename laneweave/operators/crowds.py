@@ -139,7 +139,9 @@ def meet(asks: DataFrame, held: DataFrame, px: float, order: list[str]) -> DataF
     one = written(one, "candidates")
     placed = written(asks.withColumns({"__row": _block(F.floor(F.col("__wy") / size)), "__col": _block(F.floor(F.col("__wx") / size))}), "points")
     levels = placed.select("project_id", F.col("level").alias("level")).distinct()
-    beside = one.join(levels, "project_id").withColumn("__block", F.explode(_blocks_beside(size)))
+    # Dealt out anew: a project with few bytes of candidates would have all its blocks made by one task.
+    parts = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    beside = one.join(levels, "project_id").repartition(parts, "level", *ENDS).withColumn("__block", F.explode(_blocks_beside(size)))
     beside = beside.select("project_id", "level", F.col("__block.row").alias("__row"), F.col("__block.col").alias("__col"), *ENDS, *rest)
     # Pieces that hold about as many rows each; a block without one or the other has none.
     pieces = lambda df, most, name: df.groupBy(*BLOCK).agg(F.ceil(F.count("*") / F.lit(CROWD * most)).alias(name))

@@ -104,6 +104,17 @@ def _answered(points: DataFrame, best: DataFrame, value: list[str]) -> DataFrame
     return points.join(found, on, "left").select(*key, *[c for c in points.columns if c not in key], *value)
 
 
+def first_of_equal(roads: DataFrame) -> DataFrame:
+    """Of the roads of a project with equal geometry the first (feature_seq): no other is ever the nearest.
+
+    Its number and identifier are kept beside the geometry by hashing: rows
+    that repeat are neither sorted nor cut into segments.
+    """
+    null = F.col("feature_seq").isNull().alias("__null")
+    identifier = F.coalesce(F.min_by("feature_id", "feature_seq"), F.min("feature_id")).alias("feature_id")
+    return roads.groupBy("project_id", "geometry", null).agg(F.min("feature_seq").alias("feature_seq"), identifier).select("project_id", "feature_id", "feature_seq", "geometry")
+
+
 _SEGMENT = ["distance", "map_point", "px_point", "tangent", "feature_id", "feature_seq", "segment_index"]
 
 
@@ -138,7 +149,7 @@ def _nearest_place(points: DataFrame, places: DataFrame, px: float, order: list[
 
 def nearest_vertex(points: DataFrame, roads: DataFrame, px: float = VERTEX_PX) -> DataFrame:
     """Nearest vertex of a road (project_id, feature_id, feature_seq, geometry) of every point."""
-    vertices = roads.select("project_id", "feature_id", "feature_seq", F.posexplode("geometry").alias("vertex_index", "place")).withColumn("map_point", F.col("place"))
+    vertices = first_of_equal(roads).select("project_id", "feature_id", "feature_seq", F.posexplode("geometry").alias("vertex_index", "place")).withColumn("map_point", F.col("place"))
     return _nearest_place(points, vertices, px, ["feature_seq", "vertex_index"], ["map_point", "feature_id", "vertex_index"])
 
 
@@ -152,5 +163,3 @@ def nearest_node(points: DataFrame, nodes: DataFrame, px: float = NODE_PX) -> Da
     """Nearest graph node (project_id, node, point, node_seq) of every point."""
     places = nodes.select("project_id", "node", "node_seq", F.col("point").alias("place"))
     return _nearest_place(points, places, px, ["node_seq"], ["node"])
-
-

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import dist, from_pixel, midpoint, pixel, to_pixel, unit, vector
 from ..sources.schemas import PIXEL, POINT
+from ..sources.scratch import written
 from .graph import explode_segments
-from .proximity import nearest_ring_point, nearest_segment, nearest_vertex
+from .proximity import first_of_equal, nearest_ring_point, nearest_segment, nearest_vertex
 from .validate import is_snappable
 
 LINE_TOOLS = ("road", "bike", "sidewalk")
@@ -38,17 +39,29 @@ def roundabout_ring(edits: DataFrame) -> DataFrame:
     return rows.select("project_id", "edit_seq", "id", "ring_index", from_pixel(at, F.col("zoom")).alias("map_point"))
 
 
+def _snappable(roads: DataFrame) -> DataFrame:
+    """Every road with two points, whatever its kind; of those that repeat the first."""
+    return first_of_equal(roads.where(is_snappable(F.col("geometry"))))
+
+
 def snap_segments(roads: DataFrame) -> DataFrame:
-    """Segments that drafts snap to: of every road with two points, whatever its kind."""
-    return explode_segments(roads.where(is_snappable(F.col("geometry"))).select("project_id", "feature_id", "feature_seq", "geometry"))
+    """Segments that drafts snap to: of every road with two points, whatever its kind; of roads that repeat the first's."""
+    return explode_segments(_snappable(roads))
 
 
 def _ends(drafts: DataFrame) -> DataFrame:
+    """Both ends of lines."""
     ends = F.explode(F.array(F.struct(F.lit("start").alias("which"), F.col("start").alias("p")), F.struct(F.lit("end").alias("which"), F.col("end").alias("p"))))
-    rows = drafts.select("project_id", "draft_id", "zoom", ends.alias("e"))
+    rows = drafts.where(F.col("tool").isin(*LINE_TOOLS)).select("project_id", "draft_id", "zoom", ends.alias("e"))
     return rows.select("project_id", F.struct("draft_id", "e.which").alias("point_id"), "e.p", "zoom")
 
 
+def _middles(drafts: DataFrame) -> DataFrame:
+    """The middle of crossings, on the screen."""
+    middle = from_pixel(midpoint(to_pixel(F.col("start"), F.col("zoom")), to_pixel(F.col("end"), F.col("zoom"))), F.col("zoom"))
+    return drafts.where("tool = 'crossing'").select("project_id", F.struct("draft_id", F.lit("middle").alias("which")).alias("point_id"), middle.alias("p"), "zoom")
+
+
 def _side_by_side(found: DataFrame, value: Column, name: str) -> DataFrame:
     of = lambda which: F.max(F.when(F.col("point_id.which") == which, value)).alias(f"{name}_{which}")
     return found.groupBy("project_id", F.col("point_id.draft_id").alias("draft_id")).agg(of("start"), of("end"))
@@ -68,11 +81,16 @@ def snap_lines(drafts: DataFrame, roads: DataFrame, ring: DataFrame) -> DataFram
     line straight between them. Otherwise both ends must snap to the same road
     and the line follows it; else it stays as drawn.
     """
+    kept = written(_snappable(roads), "roads")
+    return _lines(drafts, kept, ring, nearest_segment(_ends(drafts), explode_segments(kept)))
+
+
+def _lines(drafts: DataFrame, roads: DataFrame, ring: DataFrame, near: DataFrame) -> DataFrame:
+    """Lines, from the segments that are nearest to their ends; they are of ``roads``."""
     lines = drafts.where(F.col("tool").isin(*LINE_TOOLS))
-    ends = _ends(lines)
-    on_ring = _side_by_side(nearest_ring_point(ends, ring), F.col("map_point"), "ring")
+    on_ring = _side_by_side(nearest_ring_point(_ends(drafts), ring), F.col("map_point"), "ring")
     snap = F.when(F.col("distance").isNotNull(), F.struct("map_point", "segment_index", "feature_id", "feature_seq"))
-    on_road = _side_by_side(nearest_segment(ends, snap_segments(roads)), snap, "road")
+    on_road = _side_by_side(near.where("point_id.which <> 'middle'"), snap, "road")
     key = ["project_id", "draft_id"]
     both = lines.join(on_ring, key, "left").join(on_road, key, "left")
     same = F.col("road_start.feature_id") == F.col("road_end.feature_id")
@@ -89,15 +107,15 @@ def snap_lines(drafts: DataFrame, roads: DataFrame, ring: DataFrame) -> DataFram
     return _as_edit(found, path=path, snapped=ringed | F.coalesce(same, F.lit(False)))
 
 
-def _one_point(drafts: DataFrame, p: Column) -> DataFrame:
-    return drafts.select("project_id", F.col("draft_id").alias("point_id"), p.alias("p"), "zoom")
-
-
 def snap_crossings(drafts: DataFrame, roads: DataFrame) -> DataFrame:
     """Crossings turn across the road nearest to their middle, at least 30 pixels long; else as drawn."""
+    return _crossings(drafts, nearest_segment(_middles(drafts), snap_segments(roads)))
+
+
+def _crossings(drafts: DataFrame, near: DataFrame) -> DataFrame:
+    """Crossings, from the segments that are nearest to their middles."""
     drawn = drafts.where("tool = 'crossing'").withColumns({"__s": to_pixel(F.col("start"), F.col("zoom")), "__e": to_pixel(F.col("end"), F.col("zoom"))})
-    middle = from_pixel(midpoint(F.col("__s"), F.col("__e")), F.col("zoom"))
-    near = nearest_segment(_one_point(drawn, middle), snap_segments(roads)).select("project_id", F.col("point_id").alias("draft_id"), "px_point", "tangent")
+    near = near.where("point_id.which = 'middle'").select("project_id", F.col("point_id.draft_id").alias("draft_id"), "px_point", "tangent")
     found = drawn.join(near, ["project_id", "draft_id"], "left")
     half = F.greatest(F.lit(MIN_CROSSING_PX), dist(F.col("__s"), F.col("__e"))) / 2
     across = unit(pixel(-F.col("tangent.y"), F.col("tangent.x")))
@@ -111,7 +129,8 @@ def snap_crossings(drafts: DataFrame, roads: DataFrame) -> DataFrame:
 def snap_roundabouts(drafts: DataFrame, roads: DataFrame) -> DataFrame:
     """Roundabouts move to the nearest road vertex; the radius is at least 12 pixels, snapped or not."""
     drawn = drafts.where("tool = 'roundabout'")
-    near = nearest_vertex(_one_point(drawn, F.col("start")), roads.where(is_snappable(F.col("geometry")))).select("project_id", F.col("point_id").alias("draft_id"), "map_point")
+    points = drawn.select("project_id", F.col("draft_id").alias("point_id"), F.col("start").alias("p"), "zoom")
+    near = nearest_vertex(points, roads.where(is_snappable(F.col("geometry")))).select("project_id", F.col("point_id").alias("draft_id"), "map_point")
     radius = F.greatest(F.lit(MIN_RADIUS_PX), dist(to_pixel(F.col("start"), F.col("zoom")), to_pixel(F.col("end"), F.col("zoom"))))
     return _as_edit(drawn.join(near, ["project_id", "draft_id"], "left"), center=F.coalesce("map_point", "start"), pixel_radius=radius)
 
@@ -133,8 +152,10 @@ def raw_geometry(drafts: DataFrame) -> DataFrame:
 
 
 def snap_all(drafts: DataFrame, roads: DataFrame, edits: DataFrame) -> DataFrame:
-    """All tools together."""
-    parts = [snap_lines(drafts, roads, roundabout_ring(edits)), snap_crossings(drafts, roads), snap_roundabouts(drafts, roads), place_signals(drafts)]
+    """All tools together: roads are read once, and lines and crossings look for segments in one search."""
+    kept = written(_snappable(roads), "roads")
+    near = written(nearest_segment(_ends(drafts).unionByName(_middles(drafts)), explode_segments(kept)), "snaps")
+    parts = [_lines(drafts, kept, roundabout_ring(edits), near), _crossings(drafts, near), snap_roundabouts(drafts, kept), place_signals(drafts)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -74,7 +74,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundabouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of kind roundabout, beside the pins of customers in machinery, so that no pin is equally far from all ring points."""
     makers = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("point_id"))
-    return pins(spark, sf_dir).join(makers, "point_id", "left_semi").selectExpr("project_id", "point_id as edit_seq", "concat('r', point_id) as id", "'roundabout' as type", "named_struct('lat', p.lat + 0.00003D, 'lng', p.lng + 0.00007D) as center", "cast(12 + point_id % 20 as double) as pixel_radius", "zoom")
+    return dealt(pins(spark, sf_dir).join(makers, "point_id", "left_semi"), "point_id").selectExpr("project_id", "point_id as edit_seq", "concat('r', point_id) as id", "'roundabout' as type", "named_struct('lat', p.lat + 0.00003D, 'lng', p.lng + 0.00007D) as center", "cast(12 + point_id % 20 as double) as pixel_radius", "zoom")
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:

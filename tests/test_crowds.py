@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from laneweave.operators import crowds, proximity
+from laneweave.operators import crowds, proximity, snapping
 from laneweave.sources import schemas
 
 POINTS = f"project_id bigint, point_id bigint, p {schemas.POINT}, zoom double"
@@ -104,3 +104,20 @@ def test_few_candidates_are_met(spark):
     for row in got:
         k = row.point_id % 1000
         assert row.feature_id == int(np.hypot(qx - x[k], qy - y[k]).argmin())
+
+
+def test_equal_roads_are_cut_once(spark, monkeypatch):
+    """Of roads that repeat the first is met; lines and crossings look for segments in one search."""
+    way, other = [(1.0, 1.0), (1.0, 1.001), (1.001, 1.001)], [(1.0, 1.0), (1.0, 1.001)]
+    rows = [(1, f"w{seq}", seq, way) for seq in range(60, 2, -1)] + [(1, "o", 1, other), (2, "w", 9, way), (2, "n", None, way)]
+    roads = spark.createDataFrame(rows, f"project_id bigint, feature_id string, feature_seq int, geometry array<{schemas.POINT}>")
+    kept = sorted((r.project_id, r.feature_id, r.segment_index) for r in snapping.snap_segments(roads).collect())
+    assert kept == [(1, "o", 0), (1, "w3", 0), (1, "w3", 1), (2, "n", 0), (2, "n", 1), (2, "w", 0), (2, "w", 1)]
+    searches = []
+    monkeypatch.setattr(snapping, "nearest_segment", lambda *a: searches.append(1) or proximity.nearest_segment(*a))
+    drafts = [(1, i, tool, (1.0, 1.00005), (1.0005, 1.001), 16.0) for i, tool in enumerate(("road", "crossing", "roundabout", "signal"))]
+    drafts = spark.createDataFrame(drafts, f"project_id bigint, draft_id bigint, tool string, start {schemas.POINT}, end {schemas.POINT}, zoom double")
+    none = spark.createDataFrame([], f"project_id bigint, edit_seq bigint, id string, type string, center {schemas.POINT}, pixel_radius double, zoom double")
+    got = {r.type: r for r in snapping.snap_all(drafts, roads, none).collect()}
+    assert len(searches) == 1 and len(got) == 4 and got["roundabout"].center == (1.0, 1.0)
+    assert not got["road"].snapped  # the start is on the first road, which ends before the end

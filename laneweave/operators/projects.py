@@ -30,19 +30,32 @@ def save_projects(projects: DataFrame, requests: DataFrame, now: Column) -> tupl
     it never makes one. Of several for a project the last counts. Accepted
     requests carry ``project_id`` for ``upsert_state``.
     """
-    checked = save_reject_reason(requests)
+    found = judged(projects, save_reject_reason(requests))
+    accepted = last_accepted(found)
+    return applied(projects, accepted, now), found.where("reject_reason is not null"), accepted
+
+
+def judged(projects: DataFrame, checked: DataFrame) -> DataFrame:
+    """Requests that ``save_reject_reason`` has seen, those for projects that are not the user's own rejected as well."""
     owned = projects.select("id", "user_id", F.lit(True).alias("__owned"))
     found = checked.join(owned, ["id", "user_id"], "left")
     reason = F.coalesce("reject_reason", F.when(F.col("id").isNotNull() & F.col("__owned").isNull(), "NOT_FOUND"))
-    found = found.withColumn("reject_reason", reason).drop("__owned")
-    rejected = found.where("reject_reason is not null")
+    return found.withColumn("reject_reason", reason).drop("__owned")
+
+
+def last_accepted(found: DataFrame) -> DataFrame:
+    """Of the requests that are not rejected the last for each project, with ``project_id``."""
     good = found.where("reject_reason is null").withColumn("project_id", F.coalesce("id", new_id(F.col("user_id"), F.col("seq"))))
-    accepted = latest_per_key(good, ["project_id"], "seq")
+    return latest_per_key(good, ["project_id"], "seq")
+
+
+def applied(projects: DataFrame, accepted: DataFrame, now: Column, how: str = "full_outer") -> DataFrame:
+    """Projects after the accepted requests; with ``right_outer`` the changed ones only."""
     changed = accepted.select(F.col("project_id").alias("id"), F.col("user_id").alias("__user"), F.col("name").alias("__name"), F.col("bbox").alias("__bbox"))
-    joined = projects.join(changed, "id", "full_outer")
+    joined = projects.join(changed, "id", how)
     hit = F.col("__user").isNotNull()
     stamp = now.cast("timestamp")
-    saved = joined.select(
+    return joined.select(
         "id",
         F.coalesce("user_id", "__user").alias("user_id"),
         F.when(hit, F.col("__name")).otherwise(F.col("name")).alias("name"),
@@ -50,7 +63,6 @@ def save_projects(projects: DataFrame, requests: DataFrame, now: Column) -> tupl
         F.when(F.col("user_id").isNull(), stamp).otherwise(F.col("created_at")).alias("created_at"),
         F.when(hit, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    return saved, rejected, accepted
 
 
 def upsert_state(state: DataFrame, accepted: DataFrame) -> DataFrame:

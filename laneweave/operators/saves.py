@@ -9,7 +9,7 @@ from ..functions.text import new_id
 from ..sources import versions
 from ..sources.schemas import PROJECTS, STATE, USERS
 from ..sources.scratch import written
-from .projects import ensure_users, save_projects
+from .projects import applied, ensure_users, judged, last_accepted
 from .validate import save_reject_reason
 
 TABLES = {"users": (USERS, "id"), "projects": (PROJECTS, "id"), "state": (STATE, "project_id")}
@@ -31,17 +31,18 @@ def save_batch(spark: SparkSession, root: str, requests: DataFrame, now: Column)
     requests too; a null user is none.
     """
     base = versions.latest(spark, root)
-    asked = written(requests, "save-requests")
-    named = save_reject_reason(asked).where("reject_reason is null").select(F.coalesce("id", new_id(F.col("user_id"), F.col("seq"))).alias("id"))
+    # Names and JSON are looked at once, by all tasks; what follows reads what was found.
+    checked = written(save_reject_reason(requests.repartition("seq")), "save-requests")
+    named = checked.where("reject_reason is null").select(F.coalesce("id", new_id(F.col("user_id"), F.col("seq"))).alias("id"))
     held = versions.read(spark, root, "projects", base, named)
-    saved, rejected, accepted = save_projects(held, asked, now)
-    accepted = written(accepted, "accepted")
-    changed = saved.join(accepted.select(F.col("project_id").alias("id")), "id", "left_semi")
-    senders = asked.select("user_id").distinct()
+    found = written(judged(held, checked), "judged")
+    accepted = written(last_accepted(found), "accepted")
+    changed = applied(held, accepted, now, "right_outer")
+    senders = checked.select("user_id").distinct()
     known = versions.read(spark, root, "users", base, senders)
     new = ensure_users(known, senders, now).join(known.select("id"), "id", "left_anti")
-    rejected = written(rejected, "rejected")
-    return versions.commit(spark, root, base, {"users": new, "projects": changed, "state": accepted.select("project_id", "osm_data", "user_edits")}), rejected
+    state = accepted.select("project_id", "osm_data", "user_edits")
+    return versions.commit(spark, root, base, {"users": new, "projects": changed, "state": state}), found.where("reject_reason is not null")
 
 
 def remove_users(spark: SparkSession, root: str, ids: DataFrame) -> int:

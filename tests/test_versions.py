@@ -5,7 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from laneweave.operators import projects, saves
+from laneweave.operators import projects, saves, validate
 from laneweave.sources import schemas, versions
 
 BOX = (1.0, 0.0, 1.0, 0.0)
@@ -133,3 +133,20 @@ def test_saves_and_removals(spark, tmp_path):
     versions.compact(spark, root, 1)
     assert [read(t).count() for t in saves.TABLES] == [2, 1, 1]
     assert saves.save_batch(spark, root, make(), now)[1].count() == 0
+
+
+def test_requests_are_judged_once(spark, tmp_path, monkeypatch):
+    root, looked, judge = str(tmp_path / "projects"), spark.sparkContext.accumulator(0), validate.save_reject_reason
+
+    def look(reason):
+        looked.add(1)
+        return reason
+
+    counted = lambda df: judge(df).withColumn("reject_reason", F.udf(look)("reject_reason"))
+    monkeypatch.setattr(saves, "save_reject_reason", counted)
+    monkeypatch.setattr(projects, "save_reject_reason", counted)
+    saves.create(spark, root, 4)
+    requests = [(n, f"u{n % 3}", "" if n % 4 else "p9", f"plan {n}", BOX, "{}", f"[{n}]") for n in range(20)]
+    _, rejected = saves.save_batch(spark, root, spark.createDataFrame(requests, schemas.SAVE_REQUESTS), F.lit("2024-01-02 00:00:00"))
+    assert {(r.seq, r.reject_reason) for r in rejected.collect()} == {(n, "NOT_FOUND") for n in range(0, 20, 4)}
+    assert versions.read(spark, root, "projects").count() == 15 and looked.value == 20

@@ -7,10 +7,12 @@ attributes are those merged last.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..functions.geo import haversine_m, map_midpoint, node_key
 from ..sources.scratch import written
@@ -49,11 +51,39 @@ def with_drawn_sidewalks(segments: DataFrame, edits: DataFrame) -> DataFrame:
     return segments.join(near, key, "left").withColumn("has_sidewalk", F.col("has_sidewalk") | F.coalesce("__near", F.lit(False))).drop("__near")
 
 
+#: So many whole numbers of 64 and of 32 bits there are; null is one more, before them all.
+_LONGS, _INTS = Decimal(2**64), Decimal(2**32)
+
+
+def _packed(seq: Column, index: Column, end: int) -> Column:
+    """(seq, index, end) as one decimal of the same order, nulls first: unlike a struct, an aggregate updates it in place."""
+    place = lambda c, n: F.coalesce(c.cast("decimal(20,0)") + F.lit(n / 2 + 1), F.lit(Decimal(0)))
+    return ((place(seq, _LONGS) * F.lit(_INTS + 1) + place(index, _INTS)) * F.lit(Decimal(2)) + F.lit(Decimal(end))).cast("decimal(38,0)")
+
+
+def _unpacked(key: Column, seq: DataType, index: DataType) -> Column:
+    """struct(feature_seq, segment_index, end) of what was packed."""
+    over = lambda c, n: ((c - c % F.lit(n)) / F.lit(n)).cast("decimal(38,0)")
+    value = lambda c, n, t: F.when(c > 0, (c - F.lit(n / 2 + 1)).cast(t))
+    row = over(key, Decimal(2))
+    first, second = value(over(row, _INTS + 1), _LONGS, seq), value(row % F.lit(_INTS + 1), _INTS, index)
+    return F.struct(first.alias("feature_seq"), second.alias("segment_index"), (key % F.lit(Decimal(2))).cast("int").alias("end"))
+
+
 def graph_nodes(segments: DataFrame) -> DataFrame:
-    """(project_id, node, point, node_seq): both ends of all segments; the point merged last stands for the node."""
-    end = lambda key, p, n: segments.select("project_id", F.col(key).alias("node"), F.col(p).alias("point"), F.struct("feature_seq", "segment_index", F.lit(n).alias("end")).alias("at"))
-    ends = end("a_key", "a", 0).unionByName(end("b_key", "b", 1))
-    return ends.groupBy("project_id", "node").agg(F.max_by("point", "at").alias("point"), F.min("at").alias("node_seq"))
+    """(project_id, node, point, node_seq): both ends of all segments; the point merged last stands for the node.
+
+    Segments are read once, and all that is kept of a node is of fixed size, so
+    that ends are merged by hashing before the shuffle and never sorted:
+    feature_seq and segment_index are whole numbers. An end that is null has
+    the point of two nulls.
+    """
+    end = lambda key, p, n: F.struct(F.col(key).alias("node"), F.col(p).alias("point"), _packed(F.col("feature_seq"), F.col("segment_index"), n).alias("at"))
+    ends = segments.select("project_id", F.explode(F.array(end("a_key", "a", 0), end("b_key", "b", 1))).alias("__e")).select("project_id", "__e.*")
+    names = segments.schema["a"].dataType.names
+    merged = ends.groupBy("project_id", "node").agg(*[F.max_by(f"point.{c}", "at").alias(f"__{c}") for c in names], F.min("at").alias("at"))
+    seq = _unpacked(F.col("at"), segments.schema["feature_seq"].dataType, segments.schema["segment_index"].dataType)
+    return merged.select("project_id", "node", F.struct(*[F.col(f"__{c}").alias(c) for c in names]).alias("point"), seq.alias("node_seq"))
 
 
 def graph_edges(segments: DataFrame) -> DataFrame:
